@@ -71,7 +71,8 @@ def _plain() -> dict[int, str]:
             parts = unicodedata.decomposition(ch).split()
             if parts and parts[0] in SAME_PICTURE and parts[1] != "0020" and ch != "ſ":
                 table[cp] = unicodedata.normalize("NFKC", ch)
-    del table[0x20]
+    for cp in (0x20, 0xE33, 0xEB3):  # the space, and vowels that _southeast composes
+        del table[cp]
     table |= {0x17A3: "អ", 0x17A4: "អា", 0x17D8: "។ល។"}
     return table
 
