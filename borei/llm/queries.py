@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from borei.llm.confusables import look_alike_pairs
 from borei.llm.encode import with_token_ids
 from borei.llm.leaks import leaked_items
+from borei.llm.overlap import cross_split_overlaps, overlap_report
 from borei.session import read_table
 
 
@@ -19,6 +20,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = cross_split_overlaps(read_table(spark, folder, "corpus_split", "rec_id", "split", "text"))
+    return pairs.select(F.least("eval_id", "train_id").alias("a"), F.greatest("eval_id", "train_id").alias("b"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_report(read_table(spark, folder, "corpus_split", "rec_id", "split", "source", "text"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return with_token_ids(read_table(spark, folder, "documents", "doc_id", "text"))
 
@@ -27,6 +37,6 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "benchmark_case", "item_id", "input"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_report, p7_ids, p8_found)}
 #: None of these can be expressed in SQL over whole tables; tests/llm holds them against brute force and round trips.
 ORACLES: dict[str, str] = {}
