@@ -185,21 +185,26 @@ def _marks() -> np.ndarray:
     table[0x17D2] = 1
     table[[0x17C9, 0x17CA]] = 2
     table[0x17B6:0x17C6] = 3
+    table[[ord(c) for c in _ABOVE]] = 9
     table[[*range(0x17C6, 0x17C9), *range(0x17CB, 0x17D2), 0x17D3, 0x17DD]] = 4
     table[[*range(0xE48, 0xE4C), *range(0xEC8, 0xECC)]] = 5
     table[[0xE31, *range(0xE34, 0xE38), 0xEB1, *range(0xEB4, 0xEB8), 0xEBB]] = 6
     table[[0xE4D, 0xECD]] = 7
     table[[0xE40, 0xEC0]] = 8
+    table[[0xE32, 0xEB2]] = 10
     return table
 
 
 @lru_cache(None)
 def _pairs() -> np.ndarray:
     """Pairs of neighbouring mark classes that ask for the steps."""
-    ask = np.zeros((9, 9), bool)
-    for a, b in ((2, 1), (3, 1), (4, 1), (3, 2), (4, 2), (2, 2), (3, 3), (4, 3), (4, 4), (2, 3), (5, 6), (5, 7), (8, 8)):
+    ask = np.zeros((11, 11), bool)
+    for a, b in ((2, 1), (3, 1), (4, 1), (3, 2), (4, 2), (2, 2), (3, 3), (4, 3), (4, 4), (2, 9), (5, 6), (5, 7), (8, 8), (7, 10)):
         ask[a, b] = True
-    ask[7, :] = True
+    for pair in np.argwhere(ask[:, :9]):  # vowels above are vowels
+        pair = np.where(pair == 3, 9, pair)
+        ask[pair[0], pair[1]] = True
+    ask[3, 9] = ask[9, 3] = ask[9, 9] = True
     return ask
 
 
@@ -207,16 +212,21 @@ def mark_order_doubt(cps: np.ndarray) -> np.ndarray:
     """Positions where sequences of marks may have the picture of others."""
     kind = _marks()[cps]
     at = np.flatnonzero(_pairs()[kind[:-1], kind[1:]]) if len(cps) > 1 else np.zeros(0, np.int64)
-    coeng = np.flatnonzero(kind[:-2] == 1) if len(cps) > 2 else np.zeros(0, np.int64)
-    follow = cps[coeng + 1]
-    doubt = coeng[(follow == 0x178A) | ((follow == 0x179A) & (kind[coeng + 2] == 1))]
-    end = np.array([len(cps) - 2]) if len(cps) > 1 and kind[-2] == 1 and cps[-1] == 0x178A else np.zeros(0, np.int64)
-    return np.concatenate([at, doubt, end])
+    if len(cps) < 3:
+        return at
+    ro = np.flatnonzero((kind[:-2] == 1) & (cps[1:-1] == 0x179A) & (kind[2:] == 1))
+    am = np.flatnonzero((kind[:-2] == 7) & (kind[1:-1] == 5) & (kind[2:] == 10))
+    return np.concatenate([at, ro, am])
+
+
+def coeng_da(cps: np.ndarray) -> np.ndarray:
+    """Where a subscript DA stands, which has the picture of a subscript TA."""
+    return np.flatnonzero((cps[:-1] == 0x17D2) & (cps[1:] == 0x178A)) + 1 if len(cps) > 1 else np.zeros(0, np.int64)
 
 
 def needs_form(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each text of a batch whether :func:`consistent_form` may change it."""
-    at = np.concatenate([np.flatnonzero(_flags()[cps] == 1), mark_order_doubt(cps)])
+    at = np.concatenate([np.flatnonzero(_flags()[cps] == 1), mark_order_doubt(cps), coeng_da(cps)])
     need = np.zeros(len(starts) - 1, bool)
     need[np.searchsorted(starts, at, side="right") - 1] = True
     return need

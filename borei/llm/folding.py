@@ -10,53 +10,64 @@ from functools import lru_cache
 import numpy as np
 
 from borei.llm._text import codepoints
-from borei.llm.confusables import _TO_LATIN, _plain, consistent_form, mark_order_doubt
+from borei.llm.confusables import _TO_LATIN, _plain, coeng_da, consistent_form, mark_order_doubt
 
 _SLOW = 0xFFFFFFFF
 
 
 @lru_cache(None)
-def _table(marks: bool) -> np.ndarray:
+def _table() -> np.ndarray:
     """By code point: what it is folded to, 0 if it is dropped, _SLOW if the text must be brought to its form first."""
     table = np.arange(0x110000, dtype=np.uint32)
     plain = _plain()
     for cp in range(0x30000):
         ch = chr(cp)
-        if cp == 0x17D8 or 0x300 <= cp < 0x370 or ch in _TO_LATIN or 0x1100 <= cp < 0x1200:
+        if 0x300 <= cp < 0x370 or ch in _TO_LATIN or 0x1100 <= cp < 0x1200:
             table[cp] = _SLOW
             continue
         to = unicodedata.normalize("NFC", plain.get(cp, ch).casefold())
-        to = "".join(c for c in to if unicodedata.category(c)[0] in "LN" or (marks and unicodedata.category(c)[0] == "M"))
+        to = "".join(c for c in to if unicodedata.category(c)[0] in "LNM")
         table[cp] = 0 if not to else ord(to) if len(to) == 1 else _SLOW
     table[0xE0000:0xE1000] = 0
+    table[[0xEDC, 0xEDD]] = 0xEDC, 0xEDD  # written out below
     return table
 
 
-def _fold_one(text: str, marks: bool) -> np.ndarray:
-    kinds = "LNM" if marks else "LN"
+@lru_cache(None)
+def _is_mark() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[cp for cp in range(0x30000) if unicodedata.category(chr(cp))[0] == "M"]] = True
+    return table
+
+
+def _fold_one(text: str) -> np.ndarray:
     text = unicodedata.normalize("NFC", (consistent_form(text) or "").casefold())
-    return np.frombuffer("".join(c for c in text if unicodedata.category(c)[0] in kinds).encode("utf-32-le"), np.uint32)
+    return np.frombuffer("".join(c for c in text if unicodedata.category(c)[0] in "LNM").encode("utf-32-le"), np.uint32)
 
 
 def fold(texts: list[str | None], marks: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points of all texts, joined, and where each begins. Null and blank texts fold to nothing."""
     cps, starts = codepoints(texts)
-    to, full = _table(marks)[cps], _table(True)[cps]
+    to = _table()[cps]
     slow = np.zeros(len(texts) + 1, bool)
     slow[np.searchsorted(starts, np.flatnonzero(to == _SLOW), side="right") - 1] = True
-
-    def kept(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = table != 0
-        return keep, np.concatenate([[0], np.cumsum(keep)])[starts]
-
-    keep, begin = kept(to)
+    keep = to != 0
+    begin = np.concatenate([[0], np.cumsum(keep)])[starts]
     out = to[keep]
-    standing, where = kept(full)  # marks whose order is in doubt, with what stands between them dropped
-    doubt = mark_order_doubt(np.where(full == _SLOW, 0, full)[standing])
-    slow[np.searchsorted(where, doubt, side="right") - 1] = True
+    out[out == _SLOW] = 0
+    out[coeng_da(out)] = 0x178F
+    slow[np.searchsorted(begin, mark_order_doubt(out), side="right") - 1] = True
     slow = slow[: len(texts)]
-    if not slow.any():
-        return out, begin
-    parts = [(_fold_one(t or "", marks) if s else out[begin[i] : begin[i + 1]]) for i, (t, s) in enumerate(zip(texts, slow, strict=True))]
-    begin[1:] = np.cumsum([len(p) for p in parts])
-    return np.concatenate(parts), begin
+    two = np.flatnonzero((out == 0xEDC) | (out == 0xEDD))
+    if len(two):  # Lao HO NO and HO MO, with the picture of two letters
+        out[two] = np.where(out[two] == 0xEDC, 0xE99, 0xEA1)
+        out = np.insert(out, two, 0xEAB)
+        begin = begin + np.searchsorted(two, begin)
+    if slow.any():
+        parts = [(_fold_one(t or "") if s else out[begin[i] : begin[i + 1]]) for i, (t, s) in enumerate(zip(texts, slow, strict=True))]
+        begin[1:] = np.cumsum([len(p) for p in parts])
+        out = np.concatenate(parts)
+    if not marks:
+        keep = ~_is_mark()[out]
+        out, begin = out[keep], np.concatenate([[0], np.cumsum(keep)])[begin]
+    return out, begin
