@@ -7,11 +7,28 @@ from pyspark.sql import functions as F
 
 from borei.llm.confusables import look_alike_pairs
 from borei.llm.encode import with_token_ids
+from borei.llm.langid import fit_model, mislabelled_segments, with_languages
 from borei.llm.leaks import leaked_items
 from borei.llm.overlap import cross_split_overlaps, overlap_report
+from borei.llm.pairs import fit_ends, with_defects
+from borei.llm.sentences import with_sentences
 from borei.session import read_table
 
 
+def _model(spark: SparkSession, folder: str):
+    return fit_model(read_table(spark, folder, "lang_sample", "lang", "text"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "corpus_document", "id", "text", "language", "loaded_at")
+    return mislabelled_segments(docs, _model(spark, folder))
+
+
+def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "corpus_document", "id", "text")
+    return with_languages(docs, _model(spark, folder)).dropDuplicates(["id"])
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         look_alike_pairs(read_table(spark, folder, name, key, "text"), key).select(F.lit(name).alias("tbl"), "a", "b")
@@ -20,6 +37,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return with_sentences(read_table(spark, folder, "corpus_document", "id", "text", "loaded_at"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = read_table(spark, folder, "instruction_example", "example_id", "instruction", "input", "output", "loaded_at")
+    return with_defects(pairs, _model(spark, folder), fit_ends(pairs.select(F.col("input").alias("text"))))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = cross_split_overlaps(read_table(spark, folder, "corpus_split", "rec_id", "split", "text"))
     return pairs.select(F.least("eval_id", "train_id").alias("a"), F.greatest("eval_id", "train_id").alias("b"))
@@ -37,6 +63,6 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "benchmark_case", "item_id", "input"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_report, p7_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p3_found, p4_found, p5_found, p5_report, p7_ids, p8_found)}
 #: None of these can be expressed in SQL over whole tables; tests/llm holds them against brute force and round trips.
 ORACLES: dict[str, str] = {}
