@@ -12,6 +12,7 @@ from borei.llm.leaks import leaked_items
 from borei.llm.overlap import cross_split_overlaps, overlap_report
 from borei.llm.pairs import fit_ends, with_defects
 from borei.llm.sentences import with_sentences
+from borei.llm.spam import fit_trees, spam_pages
 from borei.session import read_table
 
 
@@ -63,6 +64,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(read_table(spark, folder, "documents", "doc_id", "text"), read_table(spark, folder, "benchmark_case", "item_id", "input"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p3_found, p4_found, p5_found, p5_report, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "documents", "doc_id", "text", "source")
+    return spam_pages(pages, fit_trees(pages)).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p3_found, p4_found, p5_found, p5_report, p7_ids, p8_found, p9_found)}
 #: None of these can be expressed in SQL over whole tables; tests/llm holds them against brute force and round trips.
 ORACLES: dict[str, str] = {}

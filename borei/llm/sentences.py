@@ -136,7 +136,7 @@ def _read(text: str) -> tuple[str, list[int] | None]:
 def lex(text: str) -> list[tuple[int, int, int]]:
     """Events of a text: (event, where a sentence that it ends stops, where the next may begin)."""
     events: list[tuple[int, int, int]] = []
-    cased = any(c.isupper() for c in text)
+    cased = text != text.lower()
     for m in _LEX.finditer(text):
         kind, a, b = m.lastgroup, m.start(), m.end()
         if kind == "blank":
