@@ -58,15 +58,19 @@ def without_blank_ends(code: str) -> str:
 _SIGNS = {
     "html": (r"<!DOCTYPE|<html\b|<body\b|<div\b|</?h[1-6]\b|</?li\b|</?[uo]l\b|<script\b|<pre><code|<p>|<br\b", r"<span class|<a\s+href|</?(?:b|i|em|strong)>|<pre\b"),
     "latex": (r"\\documentclass|\\usepackage|\\begin\{(?!equation|align)|\\(?:sub)*section\*?\{|\\item\b|\\(?:chapter|paragraph)\*?\{", r"\\(?:textbf|emph|underline|textit|href|cite|label|footnote|begin)\{|\{\\(?:it|bf|em)\s|\\&"),
-    "wiki": (r"\{\{|\[\[|^=+[^=\n].*[^=\n]=+\s*(?:<!--.*-->\s*)?$|</?(?:nowiki|ref|source|syntaxhighlight|math|gallery)\b|^\{\||__[A-Z]{3,}__|\A#[^\W\d]+\s*\[\[", r"''|\[https?://\S+ [^\]\n]+\]|<small>|<span style|^[*#]{2,}\s*[^*#\s]|^[#*][^\s*#]|^#.*\n#|<pre\b"),
-    "markdown": (r"^(?:`{3,}|~{3,})|\]\(\w|^(?:={3,}|-{3,})\s*$|^#{1,6} .*\n(?:\n|\Z)", r"(?<!\S)(?:\*\*|__|~~|`|_)[^\s*_`~].*?(?:\*\*|__|~~|`|_)|^#{1,6} |^\s*[-+] |^\s*\d+[.)] |^\s+\* |\$\S"),
+    "wiki": (r"\{\{|\[\[|^=+[^=\n].*[^=\n]=+\s*(?:<!--.*-->\s*)?$|</?(?:nowiki|ref|source|syntaxhighlight|math|gallery)\b|^\{\||__[A-Z]{3,}__|\A#[^\W\d]+\s*\[\[|<small>|<span style", r"''|\[https?://\S+ [^\]\n]+\]|^[*#]{2,}\s*[^*#\s]|^[#*][^\s*#]|^#.*\n#|<pre\b"),
+    "markdown": (r"^(?:`{3,}|~{3,})|\]\(\w|^(?:={3,}|-{3,})\s*$|(?:\A|\n\n)#{1,6} [^\n]+\n(?:\n|\Z)", r"(?<!\S)(?:\*\*|__|~~|`|_)[^\s*_`~].*?(?:\*\*|__|~~|`|_)|^#{1,6} |^\s*[-+] |^\s*\d+[.)] |^\s+\* |\$\S"),
 }
 _SIGNS = {name: tuple(re.compile(p, re.MULTILINE | (re.IGNORECASE if name == "html" else 0)) for p in pair) for name, pair in _SIGNS.items()}
 
 
+_CODE_BODY = re.compile(r"(<(?:pre|source|syntaxhighlight)\b[^<>]*>(?:<code[^<>]*>)?).*?(</)|(?<=\\begin\{verbatim\}).*?(?=\\end)|(?<=\\begin\{lstlisting\}).*?(?=\\end)|(?<=```\n).*?(?=```)|(?<=~~~\n).*?(?=~~~)", re.DOTALL | re.IGNORECASE)
+
+
 def markup_of(text: str) -> str:
     """html, latex, wiki, markdown or none: by sure signs (weight 3) and likely ones, each counted up to five times."""
     score = {}
+    text = _CODE_BODY.sub(r"\1\2", text)
     for name, (sure, likely) in _SIGNS.items():
         n = 0
         for pattern, weight in ((sure, 3), (likely, 1)):

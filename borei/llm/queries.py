@@ -9,6 +9,7 @@ from borei.llm.confusables import look_alike_pairs
 from borei.llm.encode import with_token_ids
 from borei.llm.langid import fit_model, mislabelled_segments, with_languages
 from borei.llm.leaks import leaked_items
+from borei.llm.markup import fit_tree_model, with_clean_text, with_elements
 from borei.llm.overlap import cross_split_overlaps, overlap_report
 from borei.llm.pairs import fit_ends, with_defects
 from borei.llm.sentences import with_sentences
@@ -56,6 +57,16 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(read_table(spark, folder, "corpus_split", "rec_id", "split", "source", "text"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "wiki_page", "page_id", "title", "text", "loaded_at")
+    return with_elements(pages, fit_tree_model(pages))
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read_table(spark, folder, "wiki_page", "page_id", "text")
+    return with_clean_text(pages, fit_tree_model(pages)).dropDuplicates(["page_id"])
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return with_token_ids(read_table(spark, folder, "documents", "doc_id", "text"))
 
@@ -69,6 +80,6 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam_pages(pages, fit_trees(pages)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p3_found, p4_found, p5_found, p5_report, p7_ids, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_languages, p2_found, p3_found, p4_found, p5_found, p5_report, p6_found, p6_clean, p7_ids, p8_found, p9_found)}
 #: None of these can be expressed in SQL over whole tables; tests/llm holds them against brute force and round trips.
 ORACLES: dict[str, str] = {}
