@@ -60,5 +60,6 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """A table of a test folder with only the named columns."""
+    ship(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
