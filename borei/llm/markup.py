@@ -25,7 +25,7 @@ KINDS = ("page", "template", "table", "comment", "script", "note", "literal", "c
 HIDDEN = frozenset({"template", "table", "comment", "script", "note"})
 OPAQUE = frozenset({"comment", "script", "code", "formula", "literal"})
 #: Pages that train the potentials, at most (those with the smallest hashes of their text).
-FIT_ROWS = 5_000
+FIT_ROWS = 2_000
 
 
 @dataclass
