@@ -50,6 +50,18 @@ def signature(items: Column, hashes: int = HASHES, seed: int = 0) -> Column:
     return run(items)
 
 
+def signatures(df: DataFrame, key: str, shingles: Column, hashes: int = HASHES, seed: int = 0) -> DataFrame:
+    """(``key``, sig) of each row, as an operator of its own (an expression could be moved into a later projection)."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        a, b = coefficients(hashes, seed)
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "sig": [sign(s, a, b) for s in pdf["_s"]]})
+
+    return df.select(key, shingles.alias("_s")).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, sig array<bigint>")
+
+
 def agreement(a: Column, b: Column) -> Column:
     """Share of equal places of two signatures: an estimate of the Jaccard similarity."""
     return F.try_divide(F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x), F.size(a))
@@ -100,7 +112,8 @@ def deduplicate(df: DataFrame, text: str = "text", ord: str = "ord", threshold:
     marked = hashed.join(heads, "_hash")
     if threshold >= 1.0:
         return marked.withColumn("duplicate", F.when(F.col(ord) != F.col("_head"), "exact")).drop("_hash", "_head")
-    first = marked.where(F.col(ord) == F.col("_head")).select(F.col(ord).alias("ord"), signature(U.shingles(F.coalesce(F.col(text), F.lit("")), shingle), hashes, seed).alias("sig"))
+    first = marked.where(F.col(ord) == F.col("_head")).select(F.col(ord).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    first = signatures(first, "ord", U.shingles("_t", shingle), hashes, seed)
     verdicts = near_verdicts(first, threshold, bands, hashes).select(F.col("ord").alias("_head"), "kept")
     out = marked.join(verdicts, "_head")
     return out.withColumn("duplicate", F.when(~F.col("kept"), "near").when(F.col(ord) != F.col("_head"), "exact")).drop("_hash", "_head", "kept")

@@ -1,13 +1,394 @@
-"""Queries over the test tables and their SQL."""
+"""Queries over the test tables, each over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from borei import chars as C
+from borei.functions import unicode as U
+from borei.functions.wikitext import REDIRECT, clean_wikitext
+from borei.operators import dedup, embeddings, evaluate, grammar, lexicon, lm, split, tokenizers
+from borei.plans import analyzer, pipeline
+from borei.session import read_table, spread
+from borei.sources.io import keep_pages
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def q(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def docs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Documents delivered once: of rows with the same id, the one loaded last (they hold the same content)."""
+    own = columns or ("id", "text", "source", "license", "domain", "language", "quality")
+    rows = read_table(spark, folder, "corpus_document", *own)
+    return rows.distinct()
+
+
+DOCS = "(select distinct id, text, source, license, domain, language from corpus_document)"
+N_GRAPHEMES = f"len(regexp_extract_all(text, {q(C.KCC)}))"
+KHMER = f"len(regexp_extract_all(text, {q(C.KHMER_CHARS)}))"
+OTHER = f"(len(regexp_extract_all(text, '\\p{{L}}')) - len(regexp_extract_all(text, {q(C.KHMER_LETTERS)})))"
+RATIO = f"(case when {KHMER} + {OTHER} = 0 then 0.0 else {KHMER} / ({KHMER} + {OTHER})::double end)"
+TRIM = f"regexp_replace(s, {q(f'\\A[{C.WS}]+|[{C.WS}]+\\z')}, '', 'g')"
+ERRORS = f"(len(regexp_extract_all(text, '\\x{{17D2}}')) - len(regexp_extract_all(text, {q(f'\\x{{17D2}}[{C.ZW}]*[{C.CONS}]')})) + len(regexp_extract_all(text, {q(C.UNASSIGNED)})) + (case when regexp_matches(text, {q(C.ORPHAN)}) then 1 else 0 end))"
+
+
+def normal_sql(column: str) -> str:
+    """Normal form of a column in SQL."""
+    x = f"nfc_normalize({column})"
+    for pattern, to in (("\\x{200B}{2,}", C.ZWSP), ("\\x{200B}([ \\t\\n])", "\\1"), ("([ \\t\\n])\\x{200B}", "\\1"), ("[ \\t]+", " "), ("\\n{3,}", "\n\n"), (f"[{C.WSN}]+(\\n|\\z)", "\\1"), (f"\\A[{C.WS}]+|[{C.WS}]+\\z", "")):
+        x = f"regexp_replace({x}, {q(pattern)}, {q(to)}, 'g')"
+    return x
+
+
+ZERO_WIDTH = f"translate({{}}, '{C.ZWSP}{C.ZWNJ}{C.ZWJ}', '')"
+HASH = f"sha256({ZERO_WIDTH.format(normal_sql('text'))})"
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/corpus_document.parquet").groupBy("domain").count()
+    """The corpus pipeline's counts on one folder."""
+    return pipeline_stats(spark, folder)
 
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+# --- Unicode engine ---------------------------------------------------------------------------------------------------
+
+
+@query(f"select language, count(*) as documents, sum({N_GRAPHEMES})::bigint as graphemes, round(avg({N_GRAPHEMES}), 6) as mean_graphemes, round(avg({RATIO}), 6) as mean_ratio from {DOCS} where text is not null group by language")
+def grapheme_profile(spark, folder):
+    rows = docs(spark, folder, "id", "text", "language").where("text is not null")
+    n = F.size(U.graphemes("text"))
+    return rows.select("language", n.alias("n"), U.script_ratio("text").alias("r")).groupBy("language").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("graphemes"), F.round(F.avg("n"), 6).alias("mean_graphemes"), F.round(F.avg("r"), 6).alias("mean_ratio"))
+
+
+@query(f"select g as grapheme, count(*) as n from (select unnest(regexp_extract_all(text, {q(C.KCC)})) as g from {DOCS}) group by g order by n desc, g limit 50")
+def grapheme_top(spark, folder):
+    return docs(spark, folder, "id", "text").select(F.explode(U.graphemes("text")).alias("grapheme")).groupBy("grapheme").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "grapheme").limit(50)
+
+
+@query(f"select id, round({RATIO}, 6) as ratio, {KHMER} as khmer, {OTHER} as other from {DOCS} where text is not null")
+def script_ratio(spark, folder):
+    rows = docs(spark, folder, "id", "text").where("text is not null")
+    return rows.select("id", F.round(U.script_ratio("text"), 6).alias("ratio"), U.khmer_chars("text").alias("khmer"), U.other_chars("text").alias("other"))
+
+
+@query(f"select id from {DOCS} where {RATIO} >= 0.5")
+def language_filter(spark, folder):
+    return docs(spark, folder, "id", "text").where(U.is_khmer("text")).select("id")
+
+
+@query(f"select id, {normal_sql('text')} as text from {DOCS} where text is not null")
+def normalize_text(spark, folder):
+    return spread(docs(spark, folder, "id", "text").where("text is not null")).select("id", U.normalize("text").alias("text"))
+
+
+@query(f"select id, {ZERO_WIDTH.format('text')} as text, regexp_matches(text, '[\\x{{200B}}-\\x{{200D}}]') as had from {DOCS} where text is not null")
+def strip_zero_width(spark, folder):
+    rows = docs(spark, folder, "id", "text").where("text is not null")
+    return rows.select("id", U.strip_zero_width("text").alias("text"), U.has_zero_width("text").alias("had"))
+
+
+@query(f"select id, row_number() over (partition by id order by i) - 1 as pos, s as sentence from (select id, i, {TRIM} as s from (select id, unnest(p) as s, generate_subscripts(p, 1) as i from (select id, regexp_extract_all(text, {q(C.SENTENCE)}) as p from {DOCS}))) where s <> ''")
+def sentences(spark, folder):
+    return pipeline.to_sentences(docs(spark, folder, "id", "text"), "text", "id").select("id", F.col("pos").cast("bigint").alias("pos"), "sentence")
+
+
+@query(f"select id, w as word, count(*) as n from (select id, unnest(regexp_extract_all(text, {q(C.WORD)}, 1)) as w from {DOCS}) where w <> '' group by id, w")
+def words(spark, folder):
+    return docs(spark, folder, "id", "text").select("id", F.explode(U.words("text")).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select id, {ERRORS} as errors, {ERRORS} = 0 as valid from {DOCS} where text is not null")
+def unicode_errors(spark, folder):
+    rows = docs(spark, folder, "id", "text").where("text is not null")
+    return rows.select("id", U.error_count("text").alias("errors"), U.is_valid("text").alias("valid"))
+
+
+@query(f"select round(avg(case when {ERRORS} = 0 then 1.0 else 0.0 end), 6) as validity_rate from {DOCS} where text is not null")
+def validity_rate(spark, folder):
+    return evaluate.validity_rate(docs(spark, folder, "id", "text").where("text is not null")).select(F.round("validity_rate", 6).alias("validity_rate"))
+
+
+@query()
+def validation_issues(spark, folder):
+    return evaluate.error_counts(spread(docs(spark, folder, "id", "text")))
+
+
+@query()
+def transliterate(spark, folder):
+    return docs(spark, folder, "id", "text").select("id", U.transliterate("text").alias("latin"))
+
+
+@query()
+def clusters(spark, folder):
+    parts = docs(spark, folder, "id", "text").select(F.explode(U.clusters("text")).alias("k"))
+    return parts.groupBy("k.base_type", F.size("k.subscripts").alias("subscripts"), F.col("k.vowel").isNotNull().alias("has_vowel")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select t as type, count(*) as n from (select case when c between chr(6016) and chr(6050) then 'CONSONANT' when c between chr(6112) and chr(6121) then 'DIGIT' when regexp_matches(c, '[{C.WS}]') then 'WHITESPACE' else 'REST' end as t from (select unnest(regexp_extract_all(text, '(?s).')) as c from {DOCS})) group by t")
+def character_types(spark, folder):
+    kind = F.col("type")
+    parts = docs(spark, folder, "id", "text").select(F.explode(U.char_types("text")).alias("type"))
+    named = F.when(kind.isin("CONSONANT", "SUBSCRIPT_CONSONANT"), "CONSONANT").when(kind.isin("DIGIT", "WHITESPACE"), kind).otherwise("REST")
+    return parts.groupBy(named.alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def analyze_texts(spark, folder):
+    return analyzer.analyze(spread(docs(spark, folder, "id", "text")), "id").select("id", "transliteration", "is_valid", F.size("graphemes").alias("graphemes"), F.size("words").alias("words"))
+
+
+# --- corpus -----------------------------------------------------------------------------------------------------------
+
+
+_FIVE = f"(select id, g, len(g) as n from (select id, regexp_extract_all(text, {q(C.KCC)}) as g from {DOCS} where text is not null))"
+
+
+@query(f"select id, round(case when n < 6 then 1.0 else len(list_distinct([g[i:i+4] for i in generate_series(1, n - 4)])) / (n - 4)::double end, 6) as repetition from {_FIVE}")
+def repetition(spark, folder):
+    rows = docs(spark, folder, "id", "text").where("text is not null")
+    return rows.select("id", F.round(U.repetition_score("text"), 6).alias("repetition"))
+
+
+_MARKED = " + ".join(f"length(array_to_string(regexp_extract_all(text, {q(p)}), ''))" for p in U.MARKUP)
+
+
+@query(f"select id, round(case when length(text) = 0 then 1.0 else greatest(0.0, 1 - ({_MARKED}) / length(text)::double) end, 6) as markup from {DOCS} where text is not null")
+def markup(spark, folder):
+    rows = docs(spark, folder, "id", "text").where("text is not null")
+    return rows.select("id", F.round(U.markup_score("text"), 6).alias("markup"))
+
+
+@query()
+def quality(spark, folder):
+    rows = docs(spark, folder, "id", "text").where("text is not null").select("id", U.quality("text").alias("q"))
+    return rows.select("id", F.round("q.score", 6).alias("score"), "q.components")
+
+
+@query(f"select id, {HASH} as hash from {DOCS} where text is not null")
+def content_hash(spark, folder):
+    return spread(docs(spark, folder, "id", "text").where("text is not null")).select("id", U.content_hash("text").alias("hash"))
+
+
+@query(f"select hash, min(id) as head, count(*) as copies from (select id, {HASH} as hash from {DOCS} where text is not null) group by hash")
+def exact_duplicates(spark, folder):
+    rows = spread(docs(spark, folder, "id", "text").where("text is not null")).select("id", U.content_hash("text").alias("hash"))
+    return dedup.exact_heads(rows, "id", "hash")
+
+
+@query()
+def minhash_signatures(spark, folder):
+    return dedup.signatures(spread(docs(spark, folder, "id", "text").where("text is not null")), "id", U.shingles("text")).withColumnRenamed("sig", "signature")
+
+
+@query()
+def near_duplicates(spark, folder):
+    return dedup.deduplicate(docs(spark, folder, "id", "text"), "text", "id").select("id", "duplicate")
+
+
+_STAGED = f"(select *, case when trim(coalesce(license, '')) = '' then 'missing_license' end as r1 from (select id, license, {normal_sql(chr(99) + chr(111) + 'alesce(text, ' + chr(39) * 2 + ')')} as text from {DOCS}))"
+_HASHED = f"(select *, sha256({ZERO_WIDTH.format(normal_sql('text'))}) as h from {_STAGED})"
+_RANKED = f"(select *, case when r1 is null and row_number() over (partition by r1, h order by id) > 1 then 'exact_duplicate' end as r2 from {_HASHED})"
+_JUDGED = f"(select *, {RATIO} as ratio, {N_GRAPHEMES} as n, coalesce(r1, r2) as r from {_RANKED})"
+
+
+@query(f"select coalesce(r, case when ratio < 0.5 then 'wrong_language' when n < 20 then 'too_short' else 'kept' end) as reason, count(*) as documents from {_JUDGED} group by 1")
+def pipeline_reasons(spark, folder):
+    """The pipeline with exact duplicates only and no quality bar, which SQL can follow."""
+    result = pipeline.run_pipeline(docs(spark, folder, "id", "text", "license"), near_duplicate_threshold=1.0, min_quality=0.0)
+    return result.verdicts.groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query()
+def pipeline_stats(spark, folder):
+    return pipeline.run_pipeline(docs(spark, folder, "id", "text", "source", "license", "domain", "language")).stats
+
+
+@query("select split, documents from (select 'validation' as split, greatest(floor(n * 0.05), 1)::bigint as documents from (select count(distinct id) as n from corpus_document)) union all select 'test', greatest(floor(n * 0.05), 1)::bigint from (select count(distinct id) as n from corpus_document) union all select 'train', (n - 2 * greatest(floor(n * 0.05), 1))::bigint from (select count(distinct id) as n from corpus_document)")
+def split_sizes(spark, folder):
+    return split.split_sizes(split.split_documents(docs(spark, folder, "id")))
+
+
+@query(f"select page_id, title from (select distinct page_id, title, ns, text from wiki_page) where ns = '0' and coalesce(title, '') <> '' and coalesce(text, '') <> '' and not regexp_matches(text, {q(REDIRECT)})")
+def wiki_pages(spark, folder):
+    return keep_pages(read_table(spark, folder, "wiki_page", "page_id", "title", "ns", "text").distinct()).select("page_id", "title")
+
+
+@query()
+def wiki_text(spark, folder):
+    pages = spread(keep_pages(read_table(spark, folder, "wiki_page", "page_id", "title", "ns", "text").distinct()))
+    return pages.select("page_id", clean_wikitext("text").alias("text")).where("text <> ''")
+
+
+# --- tokenizers -------------------------------------------------------------------------------------------------------
+
+
+@query("select token, count(*) as n from (select unnest(regexp_extract_all(text, '(?s).')) as token from (select distinct id, text from corpus_document)) group by token order by n desc, token limit 96")
+def character_vocabulary(spark, folder):
+    return docs(spark, folder, "id", "text").select(F.explode(U.characters("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(96)
+
+
+@query()
+def grapheme_encoding(spark, folder):
+    rows = docs(spark, folder, "id", "text")
+    tokenizer = tokenizers.GraphemeTokenizer().train(rows, vocab_size=500)
+    return rows.select("id", tokenizer.ids(F.col("text")).alias("ids"), F.round(tokenizer.unknown_rate(F.col("text")), 6).alias("unknown"))
+
+
+@query()
+def bpe_tokens(spark, folder):
+    tokenizer = tokenizers.BPETokenizer().train(read_table(spark, folder, "lexicon", "word"), "word", vocab_size=200)
+    return docs(spark, folder, "id", "text").select("id", F.size(tokenizer.pieces(F.col("text"))).alias("tokens"))
+
+
+@query()
+def unigram_tokens(spark, folder):
+    tokenizer = tokenizers.UnigramTokenizer().train(read_table(spark, folder, "lexicon", "word"), "word", vocab_size=150)
+    return docs(spark, folder, "id", "text").select("id", F.size(tokenizer.pieces(F.col("text"))).alias("tokens"))
+
+
+@query()
+def tokenizer_comparison(spark, folder):
+    sample = spark.createDataFrame(list(enumerate(tokenizers.SAMPLE)), "id bigint, text string")
+    return tokenizers.compare({n: k() for n, k in tokenizers.KINDS.items()}, sample, vocab_size=100)
+
+
+# --- lexicon, grammar -------------------------------------------------------------------------------------------------
+
+
+@query("select word, sum(case when text is null then 0 else (length(text) - length(replace(text, word, ''))) / length(word) end)::bigint as count from lexicon left join (select distinct id, text from corpus_document) d on contains(d.text, word) group by word")
+def lexicon_frequency(spark, folder):
+    return lexicon.word_frequencies(read_table(spark, folder, "lexicon", "word"), docs(spark, folder, "id", "text"))
+
+
+@query()
+def word_segmentation(spark, folder):
+    words = lexicon.Segmenter(lexicon.Lexicon(read_table(spark, folder, "lexicon", "word", "pos", "count"))).words("text")
+    rows = spread(docs(spark, folder, "id", "text").where("text is not null")).select("id", words.alias("w"))
+    return rows.select("id", F.size("w").alias("words"), F.round(lexicon.coverage(F.col("w")), 6).alias("coverage"), F.size(lexicon.unknown_words(F.col("w"))).alias("unknown"))
+
+
+@query()
+def spelling(spark, folder):
+    table = read_table(spark, folder, "lexicon", "word", "pos", "count")
+    asked = docs(spark, folder, "id", "text").select(F.explode(U.words("text")).alias("word")).where(F.col("word").rlike(C.ANY_KHMER)).distinct()
+    return lexicon.check_words(asked, table)
+
+
+@query()
+def grammar_features(spark, folder):
+    rows = grammar.analyze_text(spread(docs(spark, folder, "id", "text")), "id")
+    return rows.groupBy("tense", "aspect", "is_question", "is_negated").agg(F.count(F.lit(1)).alias("sentences"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------
+
+
+@query("select category, count(*) as n from benchmark_case group by category")
+def case_counts(spark, folder):
+    return evaluate.case_counts(read_table(spark, folder, "benchmark_case", "category"))
+
+
+@query("select category, count(*) as cases, round(avg(case when expected = input then 1.0 else 0.0 end), 6) as exact_match, round(avg(case when contains(input, trim(expected)) then 1.0 else 0.0 end), 6) as contains from benchmark_case group by rollup (category)")
+def benchmark_echo(spark, folder):
+    results = evaluate.run_benchmark(read_table(spark, folder, "benchmark_case", "item_id", "category", "input", "expected"), F.col("input"))
+    return evaluate.category_scores(results).select("category", "cases", F.round("exact_match", 6).alias("exact_match"), F.round("contains", 6).alias("contains"))
+
+
+@query()
+def error_rates(spark, folder):
+    rows = read_table(spark, folder, "benchmark_case", "item_id", "input", "expected")
+    return rows.select("item_id", F.round(evaluate.character_error_rate("input", "expected"), 6).alias("cer"), F.round(evaluate.grapheme_error_rate("input", "expected"), 6).alias("ger"))
+
+
+_GRAMS = f"(select item_id, unnest([array_to_string(g[i:i+2], '|') for i in generate_series(1, len(g) - 2)]) as gram from (select item_id, regexp_extract_all(input, {q(C.KCC)}) as g from benchmark_case))"
+_CORPUS_GRAMS = f"(select distinct unnest([array_to_string(g[i:i+2], '|') for i in generate_series(1, len(g) - 2)]) as gram from (select regexp_extract_all(text, {q(C.KCC)}) as g from {DOCS}))"
+
+
+@query(f"select item_id, count(*) as total, count(c.gram) as attested from {_GRAMS} b left join {_CORPUS_GRAMS} c on b.gram = c.gram group by item_id")
+def ngram_grounding(spark, folder):
+    index = evaluate.Grounding(docs(spark, folder, "id", "text"), orders=(3,))
+    return index.score(read_table(spark, folder, "benchmark_case", "item_id", "input"), "item_id", "input").select("item_id", "total", "attested")
+
+
+@query(f"select id, round(case when n < 2 then 0.0 else len(list_distinct([g[i:i+1] for i in generate_series(1, n - 1)])) / (n - 1)::double end, 6) as distinct_2 from {_FIVE}")
+def distinct_bigrams(spark, folder):
+    return docs(spark, folder, "id", "text").where("text is not null").select("id", F.round(U.distinct_n("text", 2), 6).alias("distinct_2"))
+
+
+@query()
+def longest_runs(spark, folder):
+    return docs(spark, folder, "id", "text").where("text is not null").select("id", U.longest_run("text").alias("run"))
+
+
+@query()
+def output_checks(spark, folder):
+    rows = evaluate.analyze_outputs(spread(read_table(spark, folder, "instruction_example", "example_id", "output").distinct()), "example_id", "output")
+    return rows.select("example_id", "passed", "coverage", F.transform("checks", lambda c: c["status"]).alias("statuses"))
+
+
+# --- embeddings, language model ---------------------------------------------------------------------------------------
+
+
+@query("with v as (select vec_id, embedding::double[] as e from embeddings), s as (select a.vec_id as query, b.vec_id as neighbour, round(list_cosine_similarity(a.e, b.e), 6) as cosine, row_number() over (partition by a.vec_id order by list_cosine_similarity(a.e, b.e) desc, b.vec_id) as r from v a, v b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id) select query, neighbour, cosine from s where r <= 5")
+def cosine_top(spark, folder):
+    vectors = read_table(spark, folder, "embeddings", "vec_id", "embedding")
+    return embeddings.cosine_top(vectors.where("vec_id % 50 = 0"), vectors).select("query", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def skipgram_pairs(spark, folder):
+    pairs = embeddings.training_pairs(docs(spark, folder, "id", "text"), tokenizers.GraphemeTokenizer(), "id")
+    return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def word_vectors(spark, folder):
+    model = embeddings.Word2Vec(tokenizers.GraphemeTokenizer(), dim=16, min_count=2)
+    model.train(read_table(spark, folder, "lexicon", "word"), "word", "word", epochs=2)
+    return model.table(spark)
+
+
+@query("select example_id, '### សំណួរ:' || chr(10) || instruction || (case when coalesce(input, '') = '' then '' else chr(10) || input end) || chr(10) || chr(10) || '### ចម្លើយ:' || chr(10) as prompt from (select distinct example_id, instruction, input from instruction_example) where instruction is not null")
+def instruction_prompts(spark, folder):
+    rows = read_table(spark, folder, "instruction_example", "example_id", "instruction", "input").distinct().where("instruction is not null")
+    return rows.select("example_id", lm.format_prompt("instruction", "input").alias("prompt"))
+
+
+@query()
+def instruction_encoding(spark, folder):
+    rows = read_table(spark, folder, "instruction_example", "example_id", "instruction", "input", "output").distinct()
+    tokenizer = tokenizers.GraphemeTokenizer().train(rows, "output", vocab_size=400)
+    return lm.encode_examples(rows, tokenizer, 512)
+
+
+@query("select window_no, min(p) as first, count(*) as tokens from (select floor(p / 32)::bigint as window_no, p from (select unnest(generate_series(0, n - 2)) as p from (select sum(length(text))::bigint as n from lang_sample))) group by window_no having count(*) = 32")
+def token_windows(spark, folder):
+    rows = read_table(spark, folder, "lang_sample", "sample_id", "text")
+    tokenizer = tokenizers.CharacterTokenizer().train(rows, vocab_size=300)
+    made = evaluate.windows(lm.token_stream(rows, tokenizer, "sample_id"), 32)
+    return made.select(F.col("window").alias("window_no"), (F.col("window") * 32).alias("first"), F.size("inputs").cast("bigint").alias("tokens"))
+
+
+@query()
+def characters(spark, folder):
+    return C.characters(spark)
+
+
+@query()
+def function_words(spark, folder):
+    return grammar.function_words(spark)

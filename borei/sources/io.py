@@ -76,7 +76,7 @@ def pages_to_documents(pages: DataFrame, limit: int | None = None, domain: str =
 def read_text(spark: SparkSession, path: str, by_paragraph: bool = True, source: str = "text", license: str = "") -> DataFrame:
     """Plain text files as documents, whole or split at blank lines."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    parts = files.select("file", F.posexplode(F.split("value", "\n\s*\n") if by_paragraph else F.array("value")).alias("at", "text"))
+    parts = files.select("file", F.posexplode(F.split("value", "\n\\s*\n") if by_paragraph else F.array("value")).alias("at", "text"))
     rows = parts.select(F.concat_ws("#", F.element_at(F.split("file", "/"), -1), F.lpad(F.col("at").cast("string"), 7, "0")).alias("id"), U.trim_ws("text").alias("text"))
     return rows.where("text <> ''").select("id", "text", F.lit(source).alias("source"), F.lit(license).alias("license"), F.lit("general").alias("domain"), F.lit("km").alias("language"), F.lit(None).cast("double").alias("quality"), F.create_map().cast("map<string,string>").alias("metadata"))
 
