@@ -134,8 +134,13 @@ _STACK = f"\\x{{17D2}}[{ZW}]*[{CONS}]?"
 ATT = f"(?:{_STACK}|[{MARK}{ZW}{combining_class()}])*"
 #: One cluster: a base (or a stack that has none) and all that attaches to it.
 KCC = f"(?s)(?:{_STACK}|.){ATT}"
+#: The same for Java: without backtracking, and with a look at ranges that hold no combining character before the many
+#: that do (a class is a chain of tests there).
+_JAVA_ATT = f"(?:{_STACK}|[{MARK}{ZW}]|(?![\\x{{0}}-\\x{{2FF}}\\x{{1780}}-\\x{{17FF}}\\x{{4E00}}-\\x{{9FFF}}])[{combining_class()}])*+"
+KCC_JAVA = f"(?s)(?:{_STACK}|.){_JAVA_ATT}"
 #: Group 1: a word between hints (spaces, zero-width spaces, punctuation).
 WORD = f"(?s)[{BND}]{ATT}|((?:(?:{_STACK}|[^{BND}\\x{{17D2}}]){ATT})+)"
+WORD_JAVA = f"(?s)[{BND}]{_JAVA_ATT}|((?:(?:{_STACK}|[^{BND}\\x{{17D2}}]){_JAVA_ATT})++)"
 _ENDS = "\\x{17D4}\\x{17D5}.!?"
 SENTENCE = f"[^{_ENDS}]*[{_ENDS}]+|[^{_ENDS}]+"
 KHMER_CHARS = "[\\x{1780}-\\x{17DD}\\x{17E0}-\\x{17E9}\\x{17F0}-\\x{17F9}]"

@@ -44,7 +44,7 @@ SEPARATOR = "\ue001"
 
 def graphemes(c: Column | str) -> Column:
     """Khmer character clusters, as an array of strings; null for null."""
-    return every(c, C.KCC)
+    return every(c, C.KCC_JAVA)
 
 
 #: Syllables are clusters in this model.
@@ -175,7 +175,7 @@ def sentence_spans(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Words between hints: spaces, zero-width spaces and punctuation."""
-    return F.filter(every(c, C.WORD, 1), lambda w: w != "")
+    return F.filter(every(c, C.WORD_JAVA, 1), lambda w: w != "")
 
 
 # --- validation -------------------------------------------------------------------------------------------------------
@@ -299,14 +299,21 @@ def ngrams(items: Column, n: int, separator: str = "") -> Column:
 MARKUP = ("</?[a-zA-Z][^>]{0,200}>", "&(?:[a-zA-Z]{2,10}|#\\d{1,5});", "https?://\\S+")
 
 
+def _unicode_part(c: Column, g: Column) -> Column:
+    return F.greatest(F.lit(0.0), 1 - F.try_divide(error_count(c), F.greatest(F.size(g), F.lit(1))))
+
+
+def _repetition_part(g: Column, window: int) -> Column:
+    return let(ngrams(g, window, SEPARATOR), lambda r: F.when(F.size(r) < 2, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_distinct(r)), F.size(r))))
+
+
 def unicode_score(c: Column | str) -> Column:
-    return F.greatest(F.lit(0.0), 1 - F.try_divide(error_count(c), F.greatest(F.size(graphemes(c)), F.lit(1))))
+    return _unicode_part(_c(c), graphemes(c))
 
 
 def repetition_score(c: Column | str, window: int = 5) -> Column:
     """Distinct share of the runs of ``window`` clusters; 1 for texts of no more than one run."""
-    runs = ngrams(graphemes(c), window, SEPARATOR)
-    return let(runs, lambda r: F.when(F.size(r) < 2, F.lit(1.0)).otherwise(F.try_divide(F.size(F.array_distinct(r)), F.size(r))))
+    return _repetition_part(graphemes(c), window)
 
 
 def markup_score(c: Column | str) -> Column:
@@ -324,7 +331,15 @@ def quality(c: Column | str, weights: dict[str, float] | None = None, source: Co
     """score, components and what can't be measured: the weighted geometric mean of the components (and of a score of
     the source, weight 1, if given); 0 if one that counts is not positive."""
     weights = dict(weights or WEIGHTS)
-    parts = {"script": script_ratio(c), "unicode": unicode_score(c), "repetition": repetition_score(c), "markup": markup_score(c)}
+    shared = let(graphemes(c), lambda g: F.struct(_unicode_part(_c(c), g).alias("unicode"), _repetition_part(g, 5).alias("repetition")))
+    given = {"script": script_ratio(c), "markup": markup_score(c)} | ({"source": source} if source is not None else {})
+    measured = F.struct(shared.alias("g"), *[v.cast("double").alias(k) for k, v in given.items()])
+    return let(measured, lambda m: _weighted(c, weights, m, list(given)))
+
+
+def _weighted(c: Column | str, weights: dict[str, float], m: Column, given: list[str]) -> Column:
+    parts = {"script": m["script"], "unicode": m["g"]["unicode"], "repetition": m["g"]["repetition"], "markup": m["markup"]}
+    source = m["source"] if "source" in given else None
     if source is not None:
         parts["source"], weights["source"] = source, weights.get("source", 1.0)
     used = {k: w for k, w in weights.items() if w > 0 and k in parts}

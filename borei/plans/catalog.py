@@ -36,7 +36,8 @@ def docs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Documents delivered once: of rows with the same id, the one loaded last (they hold the same content)."""
     own = columns or ("id", "text", "source", "license", "domain", "language", "quality")
     rows = read_table(spark, folder, "corpus_document", *own)
-    return rows.distinct()
+    parts = max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions())  # as many as the scan has
+    return rows.repartition(parts, "id").distinct()
 
 
 DOCS = "(select distinct id, text, source, license, domain, language from corpus_document)"
@@ -93,7 +94,7 @@ def language_filter(spark, folder):
 
 @query(f"select id, {normal_sql('text')} as text from {DOCS} where text is not null")
 def normalize_text(spark, folder):
-    return spread(docs(spark, folder, "id", "text").where("text is not null")).select("id", U.normalize("text").alias("text"))
+    return (docs(spark, folder, "id", "text").where("text is not null")).select("id", U.normalize("text").alias("text"))
 
 
 @query(f"select id, {ZERO_WIDTH.format('text')} as text, regexp_matches(text, '[\\x{{200B}}-\\x{{200D}}]') as had from {DOCS} where text is not null")
@@ -125,7 +126,7 @@ def validity_rate(spark, folder):
 
 @query()
 def validation_issues(spark, folder):
-    return evaluate.error_counts(spread(docs(spark, folder, "id", "text")))
+    return evaluate.error_counts((docs(spark, folder, "id", "text")))
 
 
 @query()
@@ -149,7 +150,7 @@ def character_types(spark, folder):
 
 @query()
 def analyze_texts(spark, folder):
-    return analyzer.analyze(spread(docs(spark, folder, "id", "text")), "id").select("id", "transliteration", "is_valid", F.size("graphemes").alias("graphemes"), F.size("words").alias("words"))
+    return analyzer.analyze((docs(spark, folder, "id", "text")), "id").select("id", "transliteration", "is_valid", F.size("graphemes").alias("graphemes"), F.size("words").alias("words"))
 
 
 # --- corpus -----------------------------------------------------------------------------------------------------------
@@ -181,18 +182,18 @@ def quality(spark, folder):
 
 @query(f"select id, {HASH} as hash from {DOCS} where text is not null")
 def content_hash(spark, folder):
-    return spread(docs(spark, folder, "id", "text").where("text is not null")).select("id", U.content_hash("text").alias("hash"))
+    return (docs(spark, folder, "id", "text").where("text is not null")).select("id", U.content_hash("text").alias("hash"))
 
 
 @query(f"select hash, min(id) as head, count(*) as copies from (select id, {HASH} as hash from {DOCS} where text is not null) group by hash")
 def exact_duplicates(spark, folder):
-    rows = spread(docs(spark, folder, "id", "text").where("text is not null")).select("id", U.content_hash("text").alias("hash"))
+    rows = (docs(spark, folder, "id", "text").where("text is not null")).select("id", U.content_hash("text").alias("hash"))
     return dedup.exact_heads(rows, "id", "hash")
 
 
 @query()
 def minhash_signatures(spark, folder):
-    return dedup.signatures(spread(docs(spark, folder, "id", "text").where("text is not null")), "id", U.shingles("text")).withColumnRenamed("sig", "signature")
+    return dedup.signatures((docs(spark, folder, "id", "text").where("text is not null")), "id", U.shingles("text")).withColumnRenamed("sig", "signature")
 
 
 @query()
@@ -278,7 +279,7 @@ def lexicon_frequency(spark, folder):
 @query()
 def word_segmentation(spark, folder):
     words = lexicon.Segmenter(lexicon.Lexicon(read_table(spark, folder, "lexicon", "word", "pos", "count"))).words("text")
-    rows = spread(docs(spark, folder, "id", "text").where("text is not null")).select("id", words.alias("w"))
+    rows = (docs(spark, folder, "id", "text").where("text is not null")).select("id", words.alias("w"))
     return rows.select("id", F.size("w").alias("words"), F.round(lexicon.coverage(F.col("w")), 6).alias("coverage"), F.size(lexicon.unknown_words(F.col("w"))).alias("unknown"))
 
 
@@ -291,7 +292,7 @@ def spelling(spark, folder):
 
 @query()
 def grammar_features(spark, folder):
-    rows = grammar.analyze_text(spread(docs(spark, folder, "id", "text")), "id")
+    rows = grammar.analyze_text((docs(spark, folder, "id", "text")), "id")
     return rows.groupBy("tense", "aspect", "is_question", "is_negated").agg(F.count(F.lit(1)).alias("sentences"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
