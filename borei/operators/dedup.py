@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from borei.functions import unicode as U
 from borei.session import ship, use_checkpoints
@@ -39,27 +38,24 @@ def sign(items: list[str] | np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     return ((a[:, None] * x + b[:, None]) % np.uint64(PRIME)).min(axis=1).astype(np.int64)
 
 
-def signature(items: Column, hashes: int = HASHES, seed: int = 0) -> Column:
-    """MinHash signature of an array of shingles, as an array of BIGINT."""
-
-    @pandas_udf(T.ArrayType(T.LongType()))
-    def run(rows: pd.Series) -> pd.Series:
-        a, b = coefficients(hashes, seed)
-        return rows.map(lambda r: None if r is None else sign(r, a, b))
-
-    return run(items)
-
-
-def signatures(df: DataFrame, key: str, shingles: Column, hashes: int = HASHES, seed: int = 0) -> DataFrame:
-    """(``key``, sig) of each row, as an operator of its own (an expression could be moved into a later projection)."""
+def with_signature(df: DataFrame, shingles: Column, hashes: int = HASHES, seed: int = 0) -> DataFrame:
+    """``df`` with ``sig``, the MinHash signature of an array of shingles per row, as an operator of its own: a Python
+    function whose argument holds lambdas can't be evaluated where the optimizer moves it into an aggregate."""
     ship(df.sparkSession)
 
     def run(batches):
         a, b = coefficients(hashes, seed)
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "sig": [sign(s, a, b) for s in pdf["_s"]]})
+            pdf["sig"] = [None if s is None else sign(s, a, b) for s in pdf.pop("_s")]
+            yield pdf
+
+    schema = T.StructType([*df.schema.fields, T.StructField("sig", T.ArrayType(T.LongType()))])
+    return df.withColumn("_s", shingles).mapInPandas(run, schema)
 
-    return df.select(key, shingles.alias("_s")).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, sig array<bigint>")
+
+def signatures(df: DataFrame, key: str, shingles: Column, hashes: int = HASHES, seed: int = 0) -> DataFrame:
+    """(``key``, sig) of each row."""
+    return with_signature(df.select(key, shingles.alias("_in")), F.col("_in"), hashes, seed).drop("_in")
 
 
 def agreement(a: Column, b: Column) -> Column:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from borei.functions import unicode as U
-from borei.operators.dedup import BANDS, HASHES, THRESHOLD, agreement, band_keys, signature
+from borei.operators.dedup import BANDS, HASHES, THRESHOLD, agreement, band_keys, with_signature
 from borei.plans.pipeline import run_pipeline
 
 
 def _signed(df: DataFrame) -> DataFrame:
-    sig = signature(U.shingles("text"))
-    return df.withColumn("hash", U.content_hash("text", normalized=True)).withColumn("sig", sig).withColumn("keys", band_keys(F.col("sig"), BANDS, HASHES))
+    signed = with_signature(df, U.shingles("text"))
+    return signed.withColumn("hash", U.content_hash("text", normalized=True)).withColumn("keys", band_keys(F.col("sig"), BANDS, HASHES))
 
 
 def new_documents(batch: DataFrame, store: DataFrame | None, key: str = "id", threshold: float = THRESHOLD) -> DataFrame:
