@@ -3,8 +3,9 @@
 A document leaks an item if it holds at least ``run`` folded characters in a row of the item's input. Each such run
 holds one whole block of ``run // 2`` characters that begins at a multiple of that length, so the patterns are these
 aligned blocks. The search keeps a shift table over hashed suffix blocks: at each position the block that ends there
-tells how far the window may skip; where it tells 0, the bucket of the window's hash selects the patterns, and they are
-compared character by character. Hits are then widened to both sides and count from ``run`` characters on.
+tells how far the window may skip; where it tells 0, the bucket of the window's hash tells whether it is a pattern. Around
+each hit all windows of ``run`` characters are looked up among those of the items and compared character by character,
+so an item that repeats itself costs no more than another.
 
 The texts of a batch are one joined stream cut into lanes that advance together, so each step is one array operation.
 """
@@ -21,8 +22,8 @@ from borei.llm.folding import fold
 
 #: Characters of the suffix block, bits of the shift table, length of a lane.
 BLOCK, BITS, LANE = 8, 20, 1024
-#: Items in one broadcast table (300 characters each are 1.2 MB); more items are searched in further passes.
-ITEMS_PER_PASS = 20_000
+#: Items in one broadcast table (of 300 characters: 25 MB); more items are searched in further passes.
+ITEMS_PER_PASS = 5_000
 
 
 class Patterns:
@@ -30,30 +31,31 @@ class Patterns:
 
     def __init__(self, ids: list[int], texts: list[str | None], run: int = 60):
         self.run, self.m = run, run // 2
-        cps, starts = fold(texts)
-        wide = self.run
-        #: Items with ``run`` zeros around each, so that widening stops at their ends.
-        self.stream = np.zeros(len(cps) + wide * (len(texts) + 1), np.uint32)
-        self.item_at = np.zeros(len(self.stream), np.int32)
-        at = []
-        for i in range(len(texts)):
-            n = starts[i + 1] - starts[i]
-            begin = starts[i] + wide * (i + 1)
-            self.stream[begin : begin + n] = cps[starts[i] : starts[i + 1]]
-            self.item_at[begin : begin + n] = i
-            if n >= run:
-                at.extend(range(begin, begin + n - self.m + 1, self.m))
         self.ids = np.array(ids, np.int64)
-        self.at = np.array(at, np.int64)
-        windows = self.stream[self.at[:, None] + np.arange(self.m)] if at else np.zeros((0, self.m), np.uint32)
+        self.stream, starts = fold(texts)
+        sizes = np.diff(starts)
+        long = np.flatnonzero(sizes >= run)
+        # All windows of ``run`` characters, each once per item.
+        at = np.concatenate([np.arange(starts[i], starts[i + 1] - run + 1) for i in long]) if len(long) else np.zeros(0, np.int64)
+        item = np.repeat(long, sizes[long] - run + 1)
+        keys = self._hash_windows(self.stream, at, run)
+        order = np.lexsort((item, keys))
+        keys, at, item = keys[order], at[order], item[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])
+        self.runs, self.run_at, self.run_item = keys[first], at[first], item[first]
+        # The patterns: blocks that begin at multiples of their length, each once.
+        begin = np.concatenate([np.arange(starts[i], starts[i + 1] - self.m + 1, self.m) for i in long]) if len(long) else np.zeros(0, np.int64)
+        self.keys, unique = np.unique(self._hash_windows(self.stream, begin, self.m), return_index=True)
+        windows = self.stream[begin[unique][:, None] + np.arange(self.m)]
         self.shift = np.full(1 << BITS, self.m - BLOCK + 1, np.uint8)
-        if at:
-            for end in range(BLOCK, self.m + 1):
-                h = self._block_hash(windows[:, end - BLOCK : end])
-                np.minimum.at(self.shift, h, self.m - end)
-        keys = self._window_hash(windows)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at = keys[order], self.at[order]
+        for end in range(BLOCK, self.m + 1):
+            np.minimum.at(self.shift, self._block_hash(windows[:, end - BLOCK : end]), self.m - end)
+
+    @classmethod
+    def _hash_windows(cls, cps: np.ndarray, at: np.ndarray, size: int, step: int = 50_000) -> np.ndarray:
+        parts = [cls._window_hash(cps[at[i : i + step, None] + np.arange(size)]) for i in range(0, len(at), step)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
     @staticmethod
     def _block_hash(windows: np.ndarray) -> np.ndarray:
@@ -81,7 +83,7 @@ class Patterns:
     def search(self, cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, item) index pairs, each once: the texts that hold ``run`` characters in a row of the items."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.at) or len(cps) < self.m:
+        if not len(self.keys) or len(cps) < self.run:
             return none
         shift = self.shift[self._stream_blocks(cps)].astype(np.int64)
         pos = np.arange(self.m - 1, len(cps), LANE, dtype=np.int64)
@@ -99,31 +101,24 @@ class Patterns:
         if not found:
             return none
         begin = np.concatenate(found) - self.m + 1
-        windows = cps[begin[:, None] + np.arange(self.m)]
-        keys = self._window_hash(windows)
-        lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
-        which = np.repeat(np.arange(len(begin)), hi - lo)
-        slot = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]
-        at, begin = self.at[slot], begin[which]
-        same = (self.stream[at[:, None] + np.arange(self.m)] == windows[which]).all(axis=1)
-        at, begin = at[same], begin[same]
-        text = np.searchsorted(starts, begin, side="right") - 1
-        inside = begin + self.m <= starts[text + 1]
-        at, begin, text = at[inside], begin[inside], text[inside]
-        if not len(at):
+        keys = self._hash_windows(cps, begin, self.m)
+        begin = begin[self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys]
+        if not len(begin):
             return none
-        reach = np.arange(1, self.run + 1)
-
-        def widened(step: int, item: np.ndarray, here: np.ndarray) -> np.ndarray:
-            where = here[:, None] + step * reach
-            ok = (where >= starts[text][:, None]) & (where < starts[text + 1][:, None])
-            ok &= self.stream[item[:, None] + step * reach] == cps[np.clip(where, 0, len(cps) - 1)]
-            return np.where(ok.all(axis=1), self.run, np.argmin(ok, axis=1))
-
-        length = widened(-1, at, begin) + self.m + widened(1, at + self.m - 1, begin + self.m - 1)
-        good = length >= self.run
-        pairs = np.unique(np.stack([text[good], self.item_at[at[good]]], axis=1), axis=0)
-        return pairs[:, 0], pairs[:, 1]
+        text = np.searchsorted(starts, begin, side="right") - 1
+        lo, hi = np.maximum(starts[text], begin + self.m - self.run), np.minimum(begin, starts[text + 1] - self.run)
+        count = np.maximum(hi - lo + 1, 0)
+        at = np.unique(np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count))
+        keys = self._hash_windows(cps, at, self.run)
+        left, right = np.searchsorted(self.runs, keys), np.searchsorted(self.runs, keys, side="right")
+        times = right - left
+        slot = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(left, times)
+        at = np.repeat(at, times)
+        text, item = np.searchsorted(starts, at, side="right") - 1, self.run_item[slot]
+        pairs, one = np.unique(np.stack([text, item], axis=1), axis=0, return_index=True)
+        reach = np.arange(self.run)
+        same = (cps[at[one][:, None] + reach] == self.stream[self.run_at[slot[one]][:, None] + reach]).all(axis=1)
+        return pairs[same, 0], pairs[same, 1]
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "input", run: int = 60) -> DataFrame:

@@ -59,7 +59,7 @@ _SIGNS = {
     "html": (r"<!DOCTYPE|<html\b|<body\b|<div\b|</?h[1-6]\b|</?li\b|</?[uo]l\b|<script\b|<pre><code|<p>|<br\b", r"<span class|<a\s+href|</?(?:b|i|em|strong)>|<pre\b"),
     "latex": (r"\\documentclass|\\usepackage|\\begin\{(?!equation|align)|\\(?:sub)*section\*?\{|\\item\b|\\(?:chapter|paragraph)\*?\{", r"\\(?:textbf|emph|underline|textit|href|cite|label|footnote|begin)\{|\{\\(?:it|bf|em)\s|\\&"),
     "wiki": (r"\{\{|\[\[|^=+[^=\n].*[^=\n]=+\s*(?:<!--.*-->\s*)?$|</?(?:nowiki|ref|source|syntaxhighlight|math|gallery)\b|^\{\||__[A-Z]{3,}__|\A#[^\W\d]+\s*\[\[|<small>|<span style", r"''|\[https?://\S+ [^\]\n]+\]|^[*#]{2,}\s*[^*#\s]|^[#*][^\s*#]|^#.*\n#|<pre\b"),
-    "markdown": (r"^(?:`{3,}|~{3,})|\]\(\w|^(?:={3,}|-{3,})\s*$|(?:\A|\n\n)#{1,6} [^\n]+\n(?:\n|\Z)", r"(?<!\S)(?:\*\*|__|~~|`|_)[^\s*_`~].*?(?:\*\*|__|~~|`|_)|^#{1,6} |^\s*[-+] |^\s*\d+[.)] |^\s+\* |\$\S"),
+    "markdown": (r"^(?:`{3,}|~{3,})|\]\(\w|^(?:={3,}|-{3,})\s*$|(?:\A|\n\n)#{1,6} [^\n]+\n(?:\n|\Z)", r"(?<!\S)(?:\*\*|__|~~|`|_)[^\s*_`~].*?(?:\*\*|__|~~|`|_)|^#{1,6} |^\s*[-+] |^\s*\d+[.)] |^\s+\* |\$[^\s\d$][^$\n]*\$"),
 }
 _SIGNS = {name: tuple(re.compile(p, re.MULTILINE | (re.IGNORECASE if name == "html" else 0)) for p in pair) for name, pair in _SIGNS.items()}
 
@@ -379,6 +379,10 @@ def parse_latex(text: str) -> list[Node]:
     open_item: tuple[int, int] | None = None
     depth = 0
     for m in _LATEX_STOP.finditer(text):
+        if any(a < m.start() < b for a, b in blocks):
+            if m["what"] == "item":
+                nodes.append(Node("list_item", m.start(), text.find("\n", m.end()) % (len(text) + 1), content="item"))
+            continue
         if m["what"] == "begin" and m["env"] not in ("itemize", "enumerate", "description"):
             continue
         if m["what"] == "end" and m["env"] not in ("itemize", "enumerate", "description", "document"):
@@ -412,6 +416,7 @@ def parse(text: str) -> list[Node]:
         while len(open_) > 1 and (n.start >= nodes[open_[-1]].end):
             open_.pop()
         n.parent = open_[-1]
+        n.end = min(n.end, nodes[n.parent].end)
         n.depth = nodes[n.parent].depth + 1
         nodes.append(n)
         open_.append(len(nodes) - 1)
