@@ -30,8 +30,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start)
 
 
-def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
-    """``fn`` over slices of rows, in Arrow; rows are spread over the cores first where the scan has too few splits."""
+def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES, scan: bool = True) -> DataFrame:
+    """``fn`` over slices of rows, in Arrow. Rows are spread over the cores first: those of a ``scan`` where it has too
+    few splits, those of a computed table always."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,8 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
                 if out.num_rows:
                     yield out
 
-    return spread(df).mapInArrow(run, schema)
+    rows = spread(df) if scan else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return rows.mapInArrow(run, schema)
 
 
 def strings(batch: pa.RecordBatch, column: str) -> list[str | None]:
