@@ -16,8 +16,8 @@ from borei.operators.tokenizers import SPECIALS, Tokenizer, Vocabulary
 def vocabulary(corpus: DataFrame, tokenizer: Tokenizer, text: str = "text", min_count: int = 1) -> DataFrame:
     """(token, count, noise): tokens that occur ``min_count`` times, and the noise distribution count^0.75."""
     counts = corpus.select(F.explode(tokenizer.pieces(F.col(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= min_count)
-    total = counts.agg(F.sum(F.pow("count", F.lit(0.75))).alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select("token", "count", (F.pow("count", F.lit(0.75)) / F.col("_total")).alias("noise"))
+    total = counts.agg(F.sum(F.pow("count", F.lit(0.75))).alias("_total")).first()["_total"]
+    return counts.select("token", "count", (F.pow("count", F.lit(0.75)) / F.lit(total or 1.0)).alias("noise"))
 
 
 def training_pairs(corpus: DataFrame, tokenizer: Tokenizer, key: str, text: str = "text", window: int = 2, known: DataFrame | None = None) -> DataFrame:

@@ -166,7 +166,7 @@ class Grounding:
         grams = _grams(df, text, self.orders, key).groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
         joined = grams.join(self.index.withColumn("hit", F.lit(1)), ["n", "gram"], "left")
         sums = joined.groupBy(key, "n").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("hit") == 1, F.col("c")).otherwise(0)).alias("attested"))
-        every = df.select(key).distinct().join(df.sparkSession.createDataFrame([(n,) for n in self.orders], "n int"))
+        every = df.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, self.orders))).alias("n"))
         every = every.join(sums, [key, "n"], "left").select(key, "n", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("attested", F.lit(0)).alias("attested"))
         return every.withColumn("ratio", F.coalesce(F.try_divide(F.col("attested"), F.col("total")), F.lit(0.0)))
 

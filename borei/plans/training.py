@@ -67,6 +67,6 @@ def tune_sampling(model: lm.GPT, tokenizer: Tokenizer, corpus: DataFrame, prompt
     made = jobs.mapInPandas(run, jobs.schema.simpleString()[7:-1].replace(":", " ") + ", text string, job string").persist()
     grounding = evaluate.Grounding(corpus, orders=(3,))
     scored = grounding.score(made, "job").select("job", "ratio").join(made.select("job", "setting", "temperature", "top_k", "top_p", "penalty", U.distinct_n("text", 2).alias("diversity")), "job")
-    real = corpus.agg(F.avg(U.distinct_n("text", 2)).alias("real"))
+    real = corpus.agg(F.avg(U.distinct_n("text", 2)).alias("real")).first().real or 0.0
     means = scored.groupBy("setting", "temperature", "top_k", "top_p", "penalty").agg(F.avg("ratio").alias("grounding"), F.avg("diversity").alias("diversity"))
-    return means.crossJoin(F.broadcast(real)).withColumn("distance", F.sqrt(F.pow(1 - F.col("grounding"), 2) + F.pow(F.col("real") - F.col("diversity"), 2))).orderBy("distance", "setting")
+    return means.withColumn("distance", F.sqrt(F.pow(1 - F.col("grounding"), 2) + F.pow(F.lit(real) - F.col("diversity"), 2))).orderBy("distance", "setting")
