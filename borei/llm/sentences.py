@@ -31,17 +31,18 @@ _LATIN = _UPPER + _LOWER
 _TAI = "ก-ฺเ-๎ກ-ຽເ-໎ໜ-ໟ"
 _LOCAL = f"ក-៓ៜ៝{_TAI}"
 _SPACE = "[ \t\xa0 -  　]"
+_SPACES = " \t\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+# Each alternative begins with a character or class and without a group, so the search skips along one character set.
 _LEX = re.compile(
-    rf"(?P<blank>\n{_SPACE}*\n\s*)"
-    rf"|(?P<andsoon>។{_SPACE}?ល{_SPACE}?។|៘)"
-    rf"|(?P<dots>\.{{2,}}|…)"
-    rf"|(?P<mark>[!?។៕。！？][.!?។៕。！？]*)"
-    rf"|(?P<point>\.(?:[!?]+)?)"
-    rf"|(?P<tai>(?<=[{_TAI}]){_SPACE}+(?=[{_TAI}]))"
-    rf"|(?P<closed>(?<=[.!?…]){_SPACE}?[»”\"])"
-    rf"|(?P<quote>[«»“”\"「」『』])"
-    rf"|(?P<bracket>[()\[\]【】（）])"
+    rf"\n[{_SPACES}]*\n\s*"
+    rf"|[{_SPACES}]+(?=[{_TAI}])"
+    rf"|។[{_SPACES}]?ល[{_SPACES}]?។|៘"
+    rf"|\.\.+|…"
+    rf"|[!?។៕。！？][.!?។៕。！？]*"
+    rf"|\.[!?]*"
+    rf"|[«»“”\"「」『』()\[\]【】（）]"
 )
+_TAI_CHAR = re.compile(f"[{_TAI}]")
 _BEFORE = re.compile(rf"[{_LATIN}][{_LATIN}.]*\Z")
 _NEXT_NEW = re.compile(rf"\s+(?:[«“\"(]\s*[{_LATIN}]|(?P<word>[{_UPPER}][{_LATIN}']*))")
 _NEXT_LOWER = re.compile(rf"{_SPACE}+[{_LOWER}]")
@@ -138,30 +139,38 @@ def lex(text: str) -> list[tuple[int, int, int]]:
     events: list[tuple[int, int, int]] = []
     cased = text != text.lower()
     for m in _LEX.finditer(text):
-        kind, a, b = m.lastgroup, m.start(), m.end()
-        if kind == "blank":
+        a, b, c = m.start(), m.end(), text[m.start()]
+        if c == "\n":
             events.append((RESET, a, b))
-        elif kind == "mark":
-            events.append((MARK, b, b))
-        elif kind == "tai":
-            events.append((TAI, a, b))
-        elif kind == "dots":
-            if a and not text[a - 1].isspace() and _NEXT_NEW.match(text, b):
+        elif c in "!?។៕。！？":
+            if not (c == "។" and b - a > 2 and "ល" in m[0]):
                 events.append((MARK, b, b))
-        elif kind == "point":
-            if _ends_at_point(text, a, b, cased):
+        elif c == ".":
+            if b - a > 1 and text[a + 1] == ".":
+                if a and not text[a - 1].isspace() and _NEXT_NEW.match(text, b):
+                    events.append((MARK, b, b))
+            elif _ends_at_point(text, a, b, cased):
                 events.append((MARK, b, b))
-        elif kind == "bracket":
-            events.append((LEFT if m[0] in "([【（" else RIGHT, b, b))
-        elif kind in ("closed", "quote"):
-            q = m[0][-1]
-            new = kind == "closed" and _new_sentence(text, a, b)
-            if q == '"':
+        elif c == "…":
+            if a and not text[a - 1].isspace() and _NEXT_NEW.match(text, b):
+                events.append((MARK, b, b))
+        elif c in "([【（":
+            events.append((LEFT, b, b))
+        elif c in ")]】）":
+            events.append((RIGHT, b, b))
+        elif c in _KINDS:
+            before = text[a - 1 : a]
+            if before and before in " \xa0\u202f":
+                before = text[a - 2 : a - 1]
+            new = bool(before) and before in ".!?…" and c not in "«“「『" and _new_sentence(text, a, b)
+            if c == '"':
                 events.append((TOGGLE_NEW if new else TOGGLE, b, b))
-            elif q in "«“「『":
-                events.append((OPEN + _KINDS[q], b, b))
+            elif c in "«“「『":
+                events.append((OPEN + _KINDS[c], b, b))
             else:
-                events.append(((CLOSE_NEW if new else CLOSE) + _KINDS[q], b, b))
+                events.append(((CLOSE_NEW if new else CLOSE) + _KINDS[c], b, b))
+        elif c != "៘" and a and _TAI_CHAR.match(text, a - 1):
+            events.append((TAI, a, b))
     return _paired(events)
 
 
