@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from borei.llm._text import codepoints, map_text, strings
+from borei.session import use_checkpoints
 
 # Letters of other scripts with the picture of a Latin letter, after Unicode Technical Standard 39.
 CYRILLIC = dict(zip("АВЕКМНОРСТУХЅІЈԚԜаеорсухѕіјһԁԛԝӏү", "ABEKMHOPCTYXSIJQWaeopcyxsijhdqwly", strict=True))
@@ -279,7 +280,8 @@ def look_alike_pairs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     Groups of plain copies never meet in a join: forms with one spelling only are left out by a pre-aggregated count
     before it, however many rows they hold. Null keys, null texts and texts that show nothing give no pair; a record
     delivered again counts once."""
-    rows = form_keys(df.where(F.col(key).isNotNull()), key, text).distinct()
+    use_checkpoints(df.sparkSession)
+    rows = form_keys(df.where(F.col(key).isNotNull()), key, text).distinct().checkpoint()  # digests only; read three times below
     several = rows.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("form_key")
     rows = rows.join(several, "form_key", "left_semi")
     a, b = (rows.select("form_key", F.col("text_key").alias(f"text_{s}"), F.col(key).alias(s)) for s in "ab")
