@@ -58,7 +58,7 @@ def without_blank_ends(code: str) -> str:
 _SIGNS = {
     "html": (r"<!DOCTYPE|<html\b|<body\b|<div\b|</?h[1-6]\b|</?li\b|</?[uo]l\b|<script\b|<pre><code|<p>|<br\b", r"<span class|<a\s+href|</?(?:b|i|em|strong)>|<pre\b"),
     "latex": (r"\\documentclass|\\usepackage|\\begin\{(?!equation|align)|\\(?:sub)*section\*?\{|\\item\b|\\(?:chapter|paragraph)\*?\{", r"\\(?:textbf|emph|underline|textit|href|cite|label|footnote|begin)\{|\{\\(?:it|bf|em)\s|\\&"),
-    "wiki": (r"\{\{|\[\[|^=+[^=\n].*[^=\n]=+\s*(?:<!--.*-->\s*)?$|</?(?:nowiki|ref|source|syntaxhighlight|math|gallery)\b|^\{\||__[A-Z]{3,}__|\A#[^\W\d]+\s*\[\[|<small>|<span style", r"''|\[https?://\S+ [^\]\n]+\]|^[*#]{2,}\s*[^*#\s]|^[#*][^\s*#]|^#.*\n#|<pre\b"),
+    "wiki": (r"\{\{|\[\[|^=+[^=\n].*[^=\n]=+\s*(?:<!--.*-->\s*)?$|</?(?:nowiki|ref|source|syntaxhighlight|math|gallery)\b|^\{\||__[A-Z]{3,}__|<small>|<span style", r"''|\[https?://\S+ [^\]\n]+\]|^[*#]{2,}\s*[^*#\s]|^[#*][^\s*#]|^#.*\n#|<pre\b"),
     "markdown": (r"^(?:`{3,}|~{3,})|\]\(\w|^(?:={3,}|-{3,})\s*$|(?:\A|\n\n)#{1,6} [^\n]+\n(?:\n|\Z)", r"(?<!\S)(?:\*\*|__|~~|`|_)[^\s*_`~].*?(?:\*\*|__|~~|`|_)|^#{1,6} |^\s*[-+] |^\s*\d+[.)] |^\s+\* |\$[^\s\d$][^$\n]*\$"),
 }
 _SIGNS = {name: tuple(re.compile(p, re.MULTILINE | (re.IGNORECASE if name == "html" else 0)) for p in pair) for name, pair in _SIGNS.items()}
@@ -89,6 +89,8 @@ _WIKI_TOKEN = re.compile(r"<!--|<(?P<raw>nowiki|pre|source|syntaxhighlight|math|
 _WIKI_LINE = re.compile(r"^(?:(?P<eq>={1,6})(?P<head>.+?)(?P=eq)[ \t]*(?:<!--.*?-->[ \t]*)*$|(?P<list>[:;]*[*#][*#:;]*)[ \t]*(?P<item>.*)$)", re.MULTILINE)
 _RAW_KIND = {"nowiki": "literal", "pre": "code", "source": "code", "syntaxhighlight": "code", "math": "formula", "ref": "note", "gallery": "table", "script": "script", "style": "script"}
 _DROPPED_LINK = re.compile(r"\[\[\s*(?:file|image|category|media|fichier|catégorie|tập tin|thể loại|berkas|kategori|文件|分类|ไฟล์|หมวดหมู่|ໝວດ|ຮູບ|រូបភាព|ឯកសារ|ចំណាត់ថ្នាក់ក្រុម|[a-z]{2,3})\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", re.IGNORECASE)
+# What a redirect begins with.
+_REDIRECT = re.compile(r"\s*#\s*(?:redirect(?:ion)?|renvoi|ប្តូរទីតាំង|ប្ដូរទីតាំង|បញ្ជូនបន្ត|重定向|เปลี่ยนทาง|ປ່ຽນທາງ|đổi|alih)\s*:?\s*\[\[[^\]]*\]\]", re.IGNORECASE)
 _KEEP = "\ue000{}\ue001"
 
 
@@ -166,7 +168,7 @@ def wiki_inline(text: str) -> str:
 
 def parse_wiki(text: str) -> list[Node]:
     nodes = _wiki_containers(text)
-    redirect = re.match(r"\s*#[^\W\d]+\s*:?\s*\[\[[^\]]*\]\]", text)
+    redirect = _REDIRECT.match(text)
     for m in _WIKI_LINE.finditer(text):
         if m["eq"]:
             nodes.append(Node("heading", m.start(), m.end(), content=wiki_inline(m["head"])))

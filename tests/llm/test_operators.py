@@ -216,7 +216,7 @@ def test_short_and_repeated_records(spark):
 
 PAGES = [
     ("wiki", "{{Infobox x\n* no\n}}\n== H ''i''<ref>n</ref> ==\n* a [[b|c]]\n** [http://x.y d] &amp; e\n#<nowiki>[f]</nowiki>\n<pre>\n# g\n</pre>\n<math> x^2 </math>\n{| \n* h\n|}\n[[Category:k]]\n{{stub|l", [("heading", 1, "H i"), ("list_item", 1, "a c"), ("list_item", 2, "d & e"), ("list_item", 3, "[f]"), ("code", 1, "# g"), ("formula", 1, "x^2")]),
-    ("wiki", "#REDIRECT [[x]]", []),
+    ("wiki", "#REDIRECT [[x]]", []), ("wiki", "#ប្តូរទីតាំង [[ផ្លូវ|x]]", []), ("wiki", "#Boat [[x]]\n#Lamp", [("list_item", 1, "Boat x"), ("list_item", 2, "Lamp")]),
     ("html", "<div><H2 class='t'><b>A</b> b &lt; c<!-- <b> --></H2>\n<script>'<li>no</li>'</script><ul>\n<li>one\n<li value=\"3\"><i>two</i></li></ul><PRE>if a &lt; b\n</PRE>\\( x \\) $$y$$ $5 , $7</div>", [("heading", 1, "A b < c"), ("list_item", 1, "one"), ("list_item", 2, "two"), ("code", 1, "if a < b"), ("formula", 1, "x"), ("formula", 2, "y")]),
     ("markdown", "## A `b` **c** ##\n\nTitle __d__\n====\n\n* [e](http://x)\n  * ~~f~~\n1. g_h_i\n\n```py\n# no\n$x$\n```\n\nprice $5 , $7 and $k \\le 2$\n\n$$\na+b\n$$\n", [("heading", 1, "A b c"), ("heading", 2, "Title d"), ("list_item", 1, "e"), ("list_item", 2, "f"), ("list_item", 3, "g_h_i"), ("code", 1, "# no\n$x$"), ("formula", 1, "k \\le 2"), ("formula", 2, "a+b")]),
     ("latex", "% \\section{no}\n\\begin{document}\n\\subsection*{A \\textbf{b}\\cite{z}}\n\\begin{itemize}\n  \\item {\\it c} \\& d\n  \\item \\href{http://x}{e}\n\\end{itemize}\n\\begin{verbatim}\n\\item no\n\\end{verbatim}\n\\begin{equation}\nx_1\n\\end{equation}\n$y$\n\\end{document}", [("heading", 1, "A b"), ("list_item", 1, "c & d"), ("list_item", 2, "e"), ("code", 1, "\\item no"), ("formula", 1, "x_1"), ("formula", 2, "y")]),
