@@ -12,7 +12,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,19 +39,43 @@ def sign(items: list[str] | np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     return ((a[:, None] * x + b[:, None]) % np.uint64(PRIME)).min(axis=1).astype(np.int64)
 
 
+def sign_batch(values: np.ndarray, counts: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 16_384) -> np.ndarray:
+    """Signatures of many rows: ``values`` are the rows' base hashes one after the other, ``counts`` of them each."""
+    out = np.full((len(counts), len(a)), NONE, np.int64)
+    ends = np.cumsum(counts)
+    row = 0
+    while row < len(counts):
+        first = ends[row] - counts[row]
+        last = max(row + 1, int(np.searchsorted(ends, first + step, side="right")))
+        own = np.flatnonzero(counts[row:last]) + row
+        if len(own):
+            x = values[first : ends[last - 1]].astype(np.uint64)
+            hashed = (x[:, None] * a + b) % np.uint64(PRIME)
+            out[own] = np.minimum.reduceat(hashed, ends[own] - counts[own] - first, axis=0).astype(np.int64)
+        row = last
+    return out
+
+
 def with_signature(df: DataFrame, shingles: Column, hashes: int = HASHES, seed: int = 0) -> DataFrame:
-    """``df`` with ``sig``, the MinHash signature of an array of shingles per row, as an operator of its own: a Python
-    function whose argument holds lambdas can't be evaluated where the optimizer moves it into an aggregate."""
+    """``df`` with ``sig``, the MinHash signature of an array of shingles per row (null for null). The JVM makes the base
+    hashes; the family is applied to whole Arrow batches, as an operator of its own: a Python function whose argument
+    holds lambdas can't be evaluated where the optimizer moves it into an aggregate."""
     ship(df.sparkSession)
+    base = F.transform(shingles, lambda s: F.conv(F.substring(F.sha1(s.cast("binary")), 1, 8), 16, 10).cast("bigint"))
 
     def run(batches):
         a, b = coefficients(hashes, seed)
-        for pdf in batches:
-            pdf["sig"] = [None if s is None else sign(s, a, b) for s in pdf.pop("_s")]
-            yield pdf
+        for batch in batches:
+            at = batch.schema.get_field_index("_s")
+            rows = batch.column(at)
+            counts = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sig = sign_batch(rows.flatten().to_numpy(zero_copy_only=False), counts, a, b)
+            offsets = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * hashes, pa.int32(), mask=np.append(pc.is_null(rows).to_numpy(zero_copy_only=False), False))
+            others = [i for i in range(batch.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in others), pa.ListArray.from_arrays(offsets, pa.array(sig.reshape(-1), pa.int64()))], [*(batch.schema.names[i] for i in others), "sig"])
 
     schema = T.StructType([*df.schema.fields, T.StructField("sig", T.ArrayType(T.LongType()))])
-    return df.withColumn("_s", shingles).mapInPandas(run, schema)
+    return df.withColumn("_s", base).mapInArrow(run, schema)
 
 
 def signatures(df: DataFrame, key: str, shingles: Column, hashes: int = HASHES, seed: int = 0) -> DataFrame:

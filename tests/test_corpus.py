@@ -40,6 +40,18 @@ def test_keep_first_equals_the_sequential_rule(spark, smallest):
     assert {r.id: r.duplicate for r in got} == want
 
 
+def test_signatures_equal_one_by_one(spark):
+    rows = spark.createDataFrame([(1, ["ab", "ក"]), (2, []), (3, None), (4, ["x"] * 3), (5, [str(i) for i in range(700)])], "id int, s array<string>")
+    a, b = dedup.coefficients()
+    got = {r.id: r.sig for r in dedup.with_signature(rows, F.col("s")).collect()}
+    assert got == {r.id: None if r.s is None else dedup.sign(r.s, a, b).tolist() for r in rows.collect()}
+    big = np.random.default_rng(0).integers(0, 1 << 32, 50_000)
+    counts = np.array([0, 30_000, 0, 1, 19_999, 0])
+    out = dedup.sign_batch(big, counts, a, b)
+    x = big[:30_000].astype(np.uint64)
+    assert out[1].tolist() == ((x[:, None] * a + b) % np.uint64(dedup.PRIME)).min(axis=0).tolist() and (out[[0, 2, 5]] == dedup.NONE).all()
+
+
 def test_chains_keep_both_ends(spark):
     """a~b, b~c, a!~c: b goes, a and c stay."""
     def sig(values):
