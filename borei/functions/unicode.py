@@ -357,6 +357,12 @@ def quality_score(c: Column | str, weights: dict[str, float] | None = None) -> C
     return quality(c, weights)["score"]
 
 
+def format_quality(report) -> str:
+    """A quality struct that was collected, as text."""
+    lines = [f"score {report['score']:.3f}", *(f"  {k:<12} {v:.3f}" for k, v in sorted(report["components"].items()))]
+    return "\n".join([*lines, *(f"  {u:<12} not measured" for u in report["unavailable"])])
+
+
 # --- hashes and sets --------------------------------------------------------------------------------------------------
 
 

@@ -218,6 +218,11 @@ def analyze_outputs(df: DataFrame, key: str, text: str = "text", lexicon: Lexico
     return out.select("*", F.forall("checks", lambda c: c["status"] != FAIL).alias("passed"), F.format_string("%d/7 checks implemented", made).alias("coverage"))
 
 
+def format_report(row) -> str:
+    """A row of :func:`analyze_outputs`, as text."""
+    return "\n".join([f"{c['status']:<12} {c['name']}: {c['detail']}" for c in row["checks"]] + [row["coverage"]])
+
+
 # --- translation look-up ----------------------------------------------------------------------------------------------
 
 

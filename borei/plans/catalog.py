@@ -157,6 +157,7 @@ def analyze_texts(spark, folder):
 
 
 _FIVE = f"(select id, g, len(g) as n from (select id, regexp_extract_all(text, {q(C.KCC)}) as g from {DOCS} where text is not null))"
+_RUNS = f"(select id, generate_subscripts(g, 1) as i, unnest(g) as c from (select id, regexp_extract_all(text, {q(C.KCC)}) as g from {DOCS} where text is not null))"
 
 
 @query(f"select id, round(case when n < 6 then 1.0 else len(list_distinct([g[i:i+4] for i in generate_series(1, n - 4)])) / (n - 4)::double end, 6) as repetition from {_FIVE}")
@@ -235,6 +236,28 @@ def wiki_text(spark, folder):
     return pages.select("page_id", clean_wikitext("text").alias("text")).where("text <> ''")
 
 
+@query("select id, text, loaded_at from (select id, text, loaded_at, row_number() over (partition by id order by loaded_at desc, text desc nulls last) as r from corpus_document) where r = 1")
+def latest_deliveries(spark, folder):
+    """Of rows with the same id, the one loaded last (a map-side maximum, so a key with many rows is no hot window)."""
+    rows = read_table(spark, folder, "corpus_document", "id", "text", "loaded_at")
+    return rows.groupBy("id").agg(F.max(F.struct("loaded_at", "text")).alias("m")).select("id", "m.text", "m.loaded_at")
+
+
+@query(f"select id from {DOCS} where regexp_replace(coalesce(license, ''), {q(f'[{C.WS}]+')}, '', 'g') <> ''")
+def licensed(spark, folder):
+    return docs(spark, folder, "id", "license").where(U.trim_ws(F.coalesce("license", F.lit(""))) != "").select("id")
+
+
+_CLUSTERS = f"(select item_id, regexp_extract_all(input, {q(C.KCC)}) as a, regexp_extract_all(expected, {q(C.KCC)}) as b from benchmark_case)"
+_SHINGLES = "(case when len({0}) = 0 then [] when len({0}) < 2 then [array_to_string({0}, '')] else list_distinct([array_to_string({0}[i:i+1], '') for i in generate_series(1, len({0}) - 1)]) end)"
+
+
+@query(f"select item_id, round(case when len(list_distinct(x || y)) = 0 then 1.0 else len(list_intersect(x, y)) / len(list_distinct(x || y))::double end, 6) as jaccard from (select item_id, {_SHINGLES.format('a')} as x, {_SHINGLES.format('b')} as y from {_CLUSTERS})")
+def shingle_jaccard(spark, folder):
+    rows = read_table(spark, folder, "benchmark_case", "item_id", "input", "expected").select("item_id", U.shingles("input", 2).alias("a"), U.shingles("expected", 2).alias("b"))
+    return rows.select("item_id", F.round(U.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
 # --- tokenizers -------------------------------------------------------------------------------------------------------
 
 
@@ -290,6 +313,17 @@ def spelling(spark, folder):
     return lexicon.check_words(asked, table)
 
 
+@query(f"select word, unnest(list_distinct([array_to_string(g[1:i-1] || g[i+1:], '') for i in generate_series(1, len(g))])) as variant from (select word, regexp_extract_all(word, {q(C.KCC)}) as g from lexicon)")
+def spelling_variants(spark, folder):
+    return read_table(spark, folder, "lexicon", "word").select("word", F.explode(lexicon.deletions(F.col("word"))).alias("variant"))
+
+
+@query(f"with c as (select c as token, count(*) as n from {_RUNS} group by c) select token, n as count, round(pow(n, 0.75) / sum(pow(n, 0.75)) over (), 8) as noise from c")
+def noise_distribution(spark, folder):
+    made = embeddings.vocabulary(docs(spark, folder, "id", "text"), tokenizers.GraphemeTokenizer())
+    return made.select("token", "count", F.round("noise", 8).alias("noise"))
+
+
 @query()
 def grammar_features(spark, folder):
     rows = grammar.analyze_text((docs(spark, folder, "id", "text")), "id")
@@ -331,7 +365,7 @@ def distinct_bigrams(spark, folder):
     return docs(spark, folder, "id", "text").where("text is not null").select("id", F.round(U.distinct_n("text", 2), 6).alias("distinct_2"))
 
 
-@query()
+@query(f"select d.id, coalesce(max(n), 0) as run from (select id from {DOCS} where text is not null) d left join (select id, count(*) as n from (select id, c, i - row_number() over (partition by id, c order by i) as island from {_RUNS}) group by id, c, island) r on d.id = r.id group by d.id")
 def longest_runs(spark, folder):
     return docs(spark, folder, "id", "text").where("text is not null").select("id", U.longest_run("text").alias("run"))
 
@@ -351,7 +385,7 @@ def cosine_top(spark, folder):
     return embeddings.cosine_top(vectors.where("vec_id % 50 = 0"), vectors).select("query", "neighbour", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+@query(f"with t as (select id, i, c from {_RUNS}) select a.c as center, b.c as context, count(*) as n from t a join t b on a.id = b.id and b.i between a.i - 2 and a.i + 2 and a.i <> b.i group by a.c, b.c")
 def skipgram_pairs(spark, folder):
     pairs = embeddings.training_pairs(docs(spark, folder, "id", "text"), tokenizers.GraphemeTokenizer(), "id")
     return pairs.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: dict[str, str] = {}
@@ -44,6 +44,14 @@ def ship(spark: SparkSession) -> None:
     _shipped[app] = str(target)
 
 
+def on_texts(column: Column, *texts: str | None, spark: SparkSession | None = None) -> list:
+    """What an expression over a column ``text`` gives for single texts, for use at a prompt."""
+    spark = spark or SparkSession.getActiveSession() or build_session()
+    ship(spark)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", column.alias("x"))
+    return [r.x for r in sorted(rows.collect(), key=lambda r: r.i)]
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Point checkpoint() at ``spark.checkpoint.dir``; a private folder only where none is set (tests)."""
     context = spark.sparkContext

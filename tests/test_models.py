@@ -41,6 +41,7 @@ def test_grounding(spark):
 def test_output_checks(spark):
     rows = {r.id: r for r in evaluate.analyze_outputs(spark.createDataFrame([(1, "ក" * 20), (2, "កម្ពុជា"), (3, None)], "id int, text string"), "id").collect()}
     assert [c.status for c in rows[1].checks][:3] == ["PASS", "PASS", "FAIL"] and rows[1].checks[2].score == 20.0 and not rows[1].passed
+    assert "Khmer script" in evaluate.format_report(rows[2]) and lm.relative_error(np.array([1.0]), np.array([2.0])) == 0.5
     assert rows[2].passed and rows[2].coverage == "3/7 checks implemented"
 
 

@@ -111,6 +111,13 @@ def test_quality(spark):
     assert one(spark, U.markup_score("t"), "<b>x</b>", "") == [pytest.approx(1 - 7 / 8), 1.0]
 
 
+def test_prompt_helper_and_report(spark):
+    from borei.session import on_texts
+
+    assert on_texts(U.transliterate("text"), "ន", None) == ["nô", None]
+    assert "script" in U.format_quality(on_texts(U.quality("text"), "កម្ពុជា")[0])
+
+
 def test_shingles_and_jaccard(spark):
     assert one(spark, U.shingles("t", 2), "កម្ពុជា", "ក", "") == [["កម្ពុ", "ម្ពុជា"], ["ក"], []]
     pair = lambda a, b: one(spark, U.jaccard(F.array(*map(F.lit, a)).cast("array<string>"), F.array(*map(F.lit, b)).cast("array<string>")), "x")[0]
