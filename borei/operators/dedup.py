@@ -128,13 +128,17 @@ def deduplicate(df: DataFrame, text: str = "text", ord: str = "ord", threshold:
 
     ``ord`` must be unique and gives the order in which the first is kept."""
     ship(df.sparkSession)
-    hashed = df.withColumn("_hash", U.content_hash(F.coalesce(F.col(text), F.lit("")), normalized))
-    heads = exact_heads(hashed, ord, "_hash").select("_hash", F.col("head").alias("_head"))
-    marked = hashed.join(heads, "_hash")
-    if threshold >= 1.0:
-        return marked.withColumn("duplicate", F.when(F.col(ord) != F.col("_head"), "exact")).drop("_hash", "_head")
-    first = marked.where(F.col(ord) == F.col("_head")).select(F.col(ord).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    first = signatures(first, "ord", U.shingles("_t", shingle), hashes, seed)
-    verdicts = near_verdicts(first, threshold, bands, hashes).select(F.col("ord").alias("_head"), "kept")
-    out = marked.join(verdicts, "_head")
-    return out.withColumn("duplicate", F.when(~F.col("kept"), "near").when(F.col(ord) != F.col("_head"), "exact")).drop("_hash", "_head", "kept")
+    use_checkpoints(df.sparkSession)
+    body = F.coalesce(F.col(text), F.lit(""))
+    keys = df.select(F.col(ord).alias("_ord"), U.content_hash(body, normalized).alias("_hash")).checkpoint()  # texts are hashed once
+    heads = exact_heads(keys, "_ord", "_hash").select("_hash", F.col("head").alias("_head"))
+    verdicts = keys.join(heads, "_hash").select("_ord", "_head")
+    copy = F.when(F.col("_ord") != F.col("_head"), "exact")
+    if threshold < 1.0:
+        firsts = verdicts.where("_ord = _head").select("_ord")
+        rows = df.select(F.col(ord).alias("_ord"), body.alias("_t")).join(firsts, "_ord").select(F.col("_ord").alias("ord"), "_t")
+        kept = near_verdicts(signatures(rows, "ord", U.shingles("_t", shingle), hashes, seed), threshold, bands, hashes)
+        verdicts = verdicts.join(kept.select(F.col("ord").alias("_head"), "kept"), "_head")
+        copy = F.when(~F.col("kept"), "near").otherwise(copy)
+    labels = verdicts.select("_ord", copy.alias("duplicate"))
+    return df.join(labels, df[ord] == labels["_ord"]).drop("_ord")

@@ -48,15 +48,16 @@ def run_pipeline(df: DataFrame, key: str = "id", text: str = "text", license: st
     rows = rows.withColumn(text, U.normalize(F.coalesce(F.col(text), F.lit(""))))
     unlicensed = rows.where("not _licensed").withColumn("drop_reason", F.lit("missing_license")).withColumn("quality", F.lit(None).cast("double"))
     left = deduplicate(rows.where("_licensed"), text, key, near_duplicate_threshold, normalized=False)
-    score = U.quality_score(text)
+    # Measured in a projection of their own, so that each is worked out once however often it is read below.
+    left = left.withColumns({"_ratio": U.script_ratio(text), "_clusters": F.size(U.graphemes(text)), "_score": U.quality_score(text)})
     reason = (
         F.when(F.col("duplicate") == "exact", "exact_duplicate")
         .when(F.col("duplicate") == "near", "near_duplicate")
-        .when(U.script_ratio(text) < min_khmer_ratio, "wrong_language")
-        .when(F.size(U.graphemes(text)) < min_graphemes, "too_short")
-        .when(score < min_quality, "low_quality")
+        .when(F.col("_ratio") < min_khmer_ratio, "wrong_language")
+        .when(F.col("_clusters") < min_graphemes, "too_short")
+        .when(F.col("_score") < min_quality, "low_quality")
     )
-    judged = left.withColumn("drop_reason", reason).withColumn("quality", F.when(F.col("drop_reason").isNull(), F.bround(score, 4))).drop("duplicate")
+    judged = left.withColumn("drop_reason", reason).withColumn("quality", F.when(F.col("drop_reason").isNull(), F.bround("_score", 4))).drop("duplicate", "_ratio", "_clusters", "_score")
     return PipelineResult(judged.unionByName(unlicensed.select(*judged.columns)).drop("_licensed"))
 
 

@@ -21,6 +21,7 @@ def build_session(app: str = "borei", master: str | None = None, cores: int | No
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",  # long texts: a batch stays small
         "spark.ui.enabled": "false",
     }
     builder = SparkSession.builder.appName(app)
