@@ -30,9 +30,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start)
 
 
-def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES, scan: bool = True) -> DataFrame:
-    """``fn`` over slices of rows, in Arrow. Rows are spread over the cores first: those of a ``scan`` where it has too
-    few splits, those of a computed table always."""
+def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
+    """``fn`` over slices of rows, in Arrow; rows are spread over the cores first where the scan has too few splits."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,8 +41,7 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
                 if out.num_rows:
                     yield out
 
-    rows = spread(df) if scan else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return rows.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def strings(batch: pa.RecordBatch, column: str) -> list[str | None]:
@@ -97,6 +95,14 @@ def grams(cps: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
+def hash_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
+    """The rows of the ``rows`` distinct values of ``column`` with the smallest hashes (``_h``). Only hashes are sorted;
+    the rows themselves are filtered where they are. Copies of a value come along."""
+    hashed = df.where(F.col(column).isNotNull()).withColumn("_h", F.xxhash64(column))
+    top = hashed.select("_h").distinct().orderBy("_h").limit(rows).agg(F.max("_h").alias("m")).first().m
+    return hashed.where(F.col("_h") <= F.lit(top)) if top is not None else hashed.limit(0)
+
+
 def latest(df: DataFrame, keys: list[str], results: list[str], order: str = "loaded_at") -> DataFrame:
     """One row per key of rows that were delivered more than once: the result of the latest delivery (ties: the
     greatest result). Only keys and results are shuffled, never the texts, and they are combined map-side first."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from borei.llm._text import latest, map_text, strings
+from borei.llm._text import hash_sample, latest, map_text, strings
 
 KINDS = ("page", "template", "table", "comment", "script", "note", "literal", "code", "formula", "heading", "list_item")
 HIDDEN = frozenset({"template", "table", "comment", "script", "note"})
@@ -444,21 +444,30 @@ class TreeModel:
     def __init__(self, unary: np.ndarray, pair: np.ndarray):
         self.unary, self.pair = unary, pair
 
-    @classmethod
-    def fit(cls, pages: list[list[Node]], labels: list[np.ndarray], alpha: float = 0.5) -> TreeModel:
+    @staticmethod
+    def count(pages: list[list[Node]], labels: list[np.ndarray]) -> np.ndarray:
+        """Kinds and states, then kinds and states of parents and children, as one flat array of counts."""
         k = len(KINDS)
-        unary, pair = np.full((k, 2), alpha), np.full((k, 2, k, 2), alpha)
+        unary, pair = np.zeros((k, 2)), np.zeros((k, 2, k, 2))
         for nodes, states in zip(pages, labels, strict=True):
             for n, s in zip(nodes, states, strict=True):
                 kind = KINDS.index(n.kind)
                 unary[kind, s] += 1
                 if n.parent >= 0:
                     pair[KINDS.index(nodes[n.parent].kind), states[n.parent], kind, s] += 1
-        prior = unary / unary.sum(axis=1, keepdims=True)
-        given = pair / pair.sum(axis=3, keepdims=True)
-        root = np.log(prior)
+        return np.concatenate([unary.reshape(-1), pair.reshape(-1)])
+
+    @classmethod
+    def of_counts(cls, counts: np.ndarray, alpha: float = 0.5) -> TreeModel:
+        k = len(KINDS)
+        unary, pair = counts[: 2 * k].reshape(k, 2) + alpha, counts[2 * k :].reshape(k, 2, k, 2) + alpha
+        root = np.log(unary / unary.sum(axis=1, keepdims=True))
         root[1:] = 0.0  # all but the page get their evidence through their parents
-        return cls(root, np.log(given))
+        return cls(root, np.log(pair / pair.sum(axis=3, keepdims=True)))
+
+    @classmethod
+    def fit(cls, pages: list[list[Node]], labels: list[np.ndarray]) -> TreeModel:
+        return cls.of_counts(cls.count(pages, labels))
 
     def marginals(self, kind: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
         """P(content) of all nodes of a forest: one upward and one downward pass, a step per depth."""
@@ -477,9 +486,19 @@ class TreeModel:
 
 
 def fit_tree_model(pages: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> TreeModel:
-    part = pages.select(F.col(text).alias("t")).where("t is not null").orderBy(F.xxhash64("t"), "t").limit(rows).collect()
-    trees = [parse(r.t) for r in part]
-    return TreeModel.fit(trees, [label(t) for t in trees])
+    """Potentials from the labelled pages: counted where the pages are, summed by cell."""
+    part = hash_sample(pages.select(F.col(text).alias("_text")), "_text", rows).select("_text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        trees = [parse(t) for t in strings(batch, "_text")]
+        counts = TreeModel.count(trees, [label(t) for t in trees])
+        cells = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(counts[cells], pa.float64())], ["cell", "n"])
+
+    total = np.zeros(2 * len(KINDS) + (2 * len(KINDS)) ** 2)
+    for r in map_text(part, "_text", run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        total[r.cell] = r.n
+    return TreeModel.of_counts(total)
 
 
 ELEMENTS = ("heading", "list_item", "code", "formula")
