@@ -98,9 +98,8 @@ def _posteriors(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.
     """Log-posteriors up to a constant, and how many letters they rest on."""
     cps, starts = codepoints([f" {t.lower()} " for t in texts])
     cps = _read_as()[cps]
-    sums = model.running(fold_digits(cps))
     letters = np.concatenate([[0], np.cumsum(_script_table()[cps] >> 7)])
-    return (sums[starts[1:]] - sums[starts[:-1]]) / 4, letters[starts[1:]] - letters[starts[:-1]]
+    return np.diff(model.sums_at(fold_digits(cps), starts), axis=0) / 4, letters[starts[1:]] - letters[starts[:-1]]
 
 
 # --- the end of texts -------------------------------------------------------------------------------------------------

@@ -59,6 +59,43 @@ def test_segments_cover_the_text_and_short_ones_join(model):
     assert langid.detect(["", None, " 12 "], model) == [[], [], []]
 
 
+def brute_merge(parts, least):
+    """The shortest part below the bound goes to its longer neighbour, again and again."""
+
+    def joined(items):
+        out = []
+        for p in items:
+            if out and out[-1][2] == p[2]:
+                out[-1] = [out[-1][0], p[1], p[2], out[-1][3] + p[3]]
+            else:
+                out.append(list(p))
+        return out
+
+    parts = joined(parts)
+    while len(parts) > 1:
+        i = min(range(len(parts)), key=lambda k: parts[k][3])
+        if parts[i][3] >= least:
+            break
+        near = [k for k in (i - 1, i + 1) if 0 <= k < len(parts)]
+        parts[i][2] = parts[max(near, key=lambda k: parts[k][3])][2]
+        parts = joined(parts)
+    return parts
+
+
+def test_short_segments_join_as_by_the_rule():
+    rng = random.Random(2)
+    for _ in range(300):
+        parts = [[i, i + 1, rng.randrange(4), rng.randrange(0, 90)] for i in range(rng.randrange(1, 15))]
+        assert langid._merge([list(p) for p in parts], 50) == brute_merge(parts, 50)
+
+
+def test_sums_are_the_same_in_any_steps(model):
+    cps = np.frombuffer(("The people of ភូមិ sold it. " * 40).encode("utf-32-le"), np.uint32)
+    at = np.array([0, 1, 7, 100, 101, 640, len(cps)])
+    whole = model.sums_at(cps, at)
+    assert np.allclose(whole, model.sums_at(cps, at, 7), atol=1e-3) and np.allclose(whole, model.sums_at(cps, at, 100), atol=1e-3)
+
+
 @pytest.mark.parametrize(("label", "code"), [("km_KH", "km"), ("Khmer", "km"), ("ខ្មែរ", "km"), ("FR", "fr"), ("français", "fr"), ("chi", "zh"), ("zh-Hant", "zh"), ("Bahasa Indonesia", "id"), ("tiếng Việt", "vi"), ("und", None), ("", None), (None, None), ("n/a", None), ("xx", None)])
 def test_labels(label, code):
     assert langid.language_code(label) == code
