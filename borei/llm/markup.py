@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +66,7 @@ _SIGNS = {
 _SIGNS = {name: tuple(re.compile(p, re.MULTILINE | (re.IGNORECASE if name == "html" else 0)) for p in pair) for name, pair in _SIGNS.items()}
 
 
-_CODE_BODY = re.compile(r"(<(?:pre|source|syntaxhighlight)\b[^<>]*>(?:<code[^<>]*>)?).*?(</)|(?<=\\begin\{verbatim\}).*?(?=\\end)|(?<=\\begin\{lstlisting\}).*?(?=\\end)|(?<=```\n).*?(?=```)|(?<=~~~\n).*?(?=~~~)", re.DOTALL | re.IGNORECASE)
+_CODE_BODY = re.compile(r"(<(?:pre|source|syntaxhighlight)\b[^<>]*>(?:<code[^<>]*>)?).{0,3000}?(</)|(?<=\\begin\{verbatim\}).{0,3000}?(?=\\end)|(?<=\\begin\{lstlisting\}).{0,3000}?(?=\\end)|(?<=```\n).{0,3000}?(?=```)|(?<=~~~\n).{0,3000}?(?=~~~)", re.DOTALL | re.IGNORECASE)
 
 
 def markup_of(text: str) -> str:
@@ -94,9 +96,15 @@ _REDIRECT = re.compile(r"\s*#\s*(?:redirect(?:ion)?|renvoi|ប្តូរទី
 _KEEP = "\ue000{}\ue001"
 
 
+@lru_cache(64)
+def _closer(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.IGNORECASE)
+
+
 def _wiki_containers(text: str) -> list[Node]:
     nodes: list[Node] = []
     stack: list[Node] = []
+    unclosed: set[str] = set()  # what isn't closed after one place isn't after a later one
     pos = 0
     while m := _WIKI_TOKEN.search(text, pos):
         pos = m.end()
@@ -109,8 +117,10 @@ def _wiki_containers(text: str) -> list[Node]:
             if m["closed"]:
                 nodes.append(Node(kind if kind == "note" else "literal", m.start(), pos))
                 continue
-            close = re.compile(rf"</{m['raw']}\s*>", re.IGNORECASE).search(text, pos)
+            tag = m["raw"].lower()
+            close = None if tag in unclosed else _closer(tag).search(text, pos)
             if close is None:
+                unclosed.add(tag)
                 continue
             inner = text[pos : close.start()]
             if kind == "code":
@@ -177,13 +187,16 @@ def parse_wiki(text: str) -> list[Node]:
     return nodes
 
 
+_ITEM_END = re.compile(r"\}\}|-->")
+
+
 def _whole_item(text: str, m: re.Match) -> str:
     """The item's line, and further lines while a template or comment that begins in it is open."""
     item, end = m["item"], m.end()
     while (item.count("{{") > item.count("}}") or item.count("<!--") > item.count("-->")) and end < len(text):
         nxt = text.find("\n", end + 1)
         nxt = len(text) if nxt < 0 else nxt
-        if not re.search(r"\}\}|-->", text[end:]):
+        if not _ITEM_END.search(text, end):
             break
         item, end = text[m.start("item") : nxt], nxt
     return item
@@ -192,7 +205,7 @@ def _whole_item(text: str, m: re.Match) -> str:
 # --- HTML -------------------------------------------------------------------------------------------------------------
 
 _HTML_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>", re.DOTALL | re.IGNORECASE)
-_FORMULA_HTML = re.compile(r"\$\$(?P<a>.+?)\$\$|\\\((?P<b>.+?)\\\)|\\\[(?P<c>.+?)\\\]|<math\b[^>]*>(?P<d>.*?)</math>|\\begin\{(?P<env>(?:equation|align|gather|multline|displaymath)\*?)\}(?P<e>.+?)\\end\{(?P=env)\}", re.DOTALL | re.IGNORECASE)
+_FORMULA_HTML = re.compile(r"\$\$(?P<a>.{1,4000}?)\$\$|\\\((?P<b>.{1,4000}?)\\\)|\\\[(?P<c>.{1,4000}?)\\\]|<math\b[^>]*>(?P<d>.{0,4000}?)</math>|\\begin\{(?P<env>(?:equation|align|gather|multline|displaymath)\*?)\}(?P<e>.{1,4000}?)\\end\{(?P=env)\}", re.DOTALL | re.IGNORECASE)
 
 
 def html_inline(text: str) -> str:
@@ -208,6 +221,7 @@ def parse_html(text: str) -> list[Node]:
     items: list[tuple[int, int, list]] = []  # begin, begin of content, nested spans
     lists: list[int] = []
     opened: dict[str, list[int]] = {}
+    unclosed: set[str] = set()
     skip = 0
 
     def close_item(end: int, stop: int) -> None:
@@ -227,7 +241,9 @@ def parse_html(text: str) -> list[Node]:
             continue
         tag, closing = m["tag"].lower(), bool(m["close"])
         if tag in ("script", "style", "pre", "textarea", "head") and not closing:
-            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(text, m.end())
+            close = None if tag in unclosed else _closer(tag).search(text, m.end())
+            if close is None:
+                unclosed.add(tag)
             if close:
                 if tag == "pre":
                     inner = re.fullmatch(r"\s*<code\b[^<>]*>(.*?)(?:</code\s*>)?\s*", text[m.end() : close.start()], re.DOTALL | re.IGNORECASE)
@@ -276,7 +292,7 @@ def parse_html(text: str) -> list[Node]:
 
 _FENCE = re.compile(r"^(?P<in>[ ]{0,3}(?:[-*+]\s+)?)(?P<f>`{3,}|~{3,})(?P<info>[^\n`]*)\n(?P<code>.*?)(?:^[ ]{0,3}(?P=f)[`~]*[ \t]*$|\Z)", re.DOTALL | re.MULTILINE)
 _MD_LINE = re.compile(r"^[ ]{0,3}(?P<hash>#{1,6})(?:[ \t]+(?P<head>.*?))?(?:[ \t]+#+)?[ \t]*$|^(?P<set>[^\n\s][^\n]*)\n[ ]{0,3}(?:=+|-{2,})[ \t]*$|^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?P<item>\S.*)$", re.MULTILINE)
-_FORMULA_MD = re.compile(r"\$\$(?P<a>.+?)\$\$|(?<![\\$\w])\$(?![\s$])(?P<b>[^$\n]*?[^\s$\\])\$(?![\d$])|\\\((?P<c>.+?)\\\)|\\\[(?P<d>.+?)\\\]|\\begin\{(?P<env>(?:equation|align|gather|multline)\*?)\}(?P<e>.+?)\\end\{(?P=env)\}|<math\b[^>]*>(?P<g>.*?)</math>", re.DOTALL)
+_FORMULA_MD = re.compile(r"\$\$(?P<a>.{1,4000}?)\$\$|(?<![\\$\w])\$(?![\s$])(?P<b>[^$\n]*?[^\s$\\])\$(?![\d$])|\\\((?P<c>.{1,4000}?)\\\)|\\\[(?P<d>.{1,4000}?)\\\]|\\begin\{(?P<env>(?:equation|align|gather|multline)\*?)\}(?P<e>.{1,4000}?)\\end\{(?P=env)\}|<math\b[^>]*>(?P<g>.{0,4000}?)</math>", re.DOTALL)
 _MD_SPAN = re.compile(r"(?<!`)(`+)(?!`)(?P<code>.+?)(?<!`)\1(?!`)")
 
 
@@ -332,7 +348,7 @@ def parse_markdown(text: str) -> list[Node]:
 # --- LaTeX ------------------------------------------------------------------------------------------------------------
 
 _LATEX_CODE = re.compile(r"\\begin\{(?P<env>verbatim\*?|lstlisting|minted|alltt|Verbatim)\}(?P<opt>(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?)(?P<code>.*?)(?:\\end\{(?P=env)\}|\Z)", re.DOTALL)
-_LATEX_FORMULA = re.compile(r"\$\$(?P<a>.+?)\$\$|(?<![\\$])\$(?![\s$])(?P<b>[^$\n]*?[^\s$\\])\$(?![\d$])|\\\((?P<c>.+?)\\\)|\\\[(?P<d>.+?)\\\]|\\begin\{(?P<env>(?:equation|align|gather|multline|displaymath|eqnarray|math)\*?)\}(?P<e>.+?)\\end\{(?P=env)\}", re.DOTALL)
+_LATEX_FORMULA = re.compile(r"\$\$(?P<a>.{1,4000}?)\$\$|(?<![\\$])\$(?![\s$])(?P<b>[^$\n]*?[^\s$\\])\$(?![\d$])|\\\((?P<c>.{1,4000}?)\\\)|\\\[(?P<d>.{1,4000}?)\\\]|\\begin\{(?P<env>(?:equation|align|gather|multline|displaymath|eqnarray|math)\*?)\}(?P<e>.{1,4000}?)\\end\{(?P=env)\}", re.DOTALL)
 _LATEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]]*\])?\{")
 _LATEX_STOP = re.compile(r"\\(?P<what>item|begin|end)\b(?:\{(?P<env>[^}]*)\})?")
 
@@ -340,8 +356,10 @@ _LATEX_STOP = re.compile(r"\\(?P<what>item|begin|end)\b(?:\{(?P<env>[^}]*)\})?")
 def _balanced(text: str, begin: int) -> int:
     """Where the group that opens before ``begin`` closes (the end of the line if it doesn't)."""
     depth, i = 1, begin
-    while i < len(text):
+    while i < min(len(text), begin + 2000):
         c = text[i]
+        if c == "\n" and text[i + 1 : i + 2] == "\n":  # no group of a heading goes over a blank line
+            break
         if c == "\\":
             i += 1
         elif c == "{":
@@ -352,7 +370,7 @@ def _balanced(text: str, begin: int) -> int:
                 return i
         i += 1
     line = text.find("\n", begin)
-    return len(text) if line < 0 else line
+    return min(len(text) if line < 0 else line, begin + 2000)
 
 
 def latex_inline(text: str) -> str:
@@ -371,8 +389,13 @@ def latex_inline(text: str) -> str:
 
 def parse_latex(text: str) -> list[Node]:
     nodes = [Node("code", m.start(), m.end(), content=without_blank_ends(m["code"])) for m in _LATEX_CODE.finditer(text)]
-    blocks = [(n.start, n.end) for n in nodes]
-    nodes += [Node("comment", m.start(), m.end()) for m in re.finditer(r"(?<!\\)%[^\n]*", text) if not any(a <= m.start() < b for a, b in blocks)]
+    begins, ends = [n.start for n in nodes], [n.end for n in nodes]
+
+    def inside(at: int) -> bool:
+        k = bisect_right(begins, at) - 1
+        return k >= 0 and at < ends[k]
+
+    nodes += [Node("comment", m.start(), m.end()) for m in re.finditer(r"(?<!\\)%[^\n]*", text) if not inside(m.start())]
     nodes += [Node("comment", m.start(), m.end()) for m in re.finditer(r"\\begin\{comment\}.*?(?:\\end\{comment\}|\Z)", text, re.DOTALL)]
     nodes += [Node("table", m.start(), m.end()) for m in re.finditer(r"\\begin\{(tabular|table)(\*?)\}.*?(?:\\end\{\1\2\}|\Z)", text, re.DOTALL)]
     for m in _LATEX_HEAD.finditer(text):
@@ -381,7 +404,7 @@ def parse_latex(text: str) -> list[Node]:
     open_item: tuple[int, int] | None = None
     depth = 0
     for m in _LATEX_STOP.finditer(text):
-        if any(a < m.start() < b for a, b in blocks):
+        if inside(m.start() - 1):
             if m["what"] == "item":
                 nodes.append(Node("list_item", m.start(), text.find("\n", m.end()) % (len(text) + 1), content="item"))
             continue

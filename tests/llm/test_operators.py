@@ -1,6 +1,7 @@
 """The nine operators against brute force, round trips and held-out accuracy, and on odd tables."""
 
 import random
+import time
 import unicodedata
 from itertools import combinations
 
@@ -285,6 +286,13 @@ def test_marginals_equal_enumeration(trees):
     assert np.allclose(trees.marginals(kind, parent, depth), on / total)
 
 
+@pytest.mark.parametrize("piece", ["<ref>a ", "{{x\n* a\n", "<pre>", "\\section{a ", "\\( ", "$$ ", "<li>a", "[[a ", "```\n", "\\begin{verbatim}", "* [[a|b]] {{c}}\n", "<!-- ", "== a ==\n"])
+def test_broken_and_endless_pages_take_linear_time(piece):
+    begin = time.perf_counter()
+    markup.parse(piece * 20_000)
+    assert time.perf_counter() - begin < 20
+
+
 def test_titles_and_clean_text(trees):
     assert markup.clean_title("'''A''' (B)") == "A (B)" and markup.clean_title("A&nbsp;B") == "A B" and markup.clean_title("\\emph{A}") == "A" and markup.clean_title("**A**") == "A" and markup.clean_title("<i>A</i>") == "A"
     assert markup.clean_title("Plain — title [1] x_1_y") is None
