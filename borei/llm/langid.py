@@ -272,11 +272,6 @@ def detect(texts: list[str | None], model: LanguageModel, least: int = LEAST, ch
         if not len(at):
             out.append([])
             continue
-        if len(at) > 49 and (script[a:b][script[a:b] > 0] == _LATIN).mean() > 0.999:
-            blocks = own[np.append(np.arange(0, len(at) - 1, 12), len(at) - 1)]  # words of one language throughout, as most texts are
-            top = np.diff(blocks, axis=0).argmax(axis=1)
-            if (top == top[0]).all():
-                at, own = at[[0, -1]], own[[0, -1]]
         path = _viterbi(np.diff(own, axis=0), change)
         parts = _merge([[j, j + 1, int(k), int(letters[at[j + 1]] - letters[at[j]])] for j, k in enumerate(path)], least)
         found = []

@@ -60,6 +60,23 @@ def test_segments_cover_the_text_and_short_ones_join(model):
     assert langid.detect(["", None, " 12 "], model) == [[], [], []]
 
 
+def test_short_stretches_in_long_texts_are_found(samples, model):
+    """Wherever a stretch lies that is found in a text of fewer words."""
+    words = {lang: " ".join(g.text).split() for lang, g in samples.groupby("lang")}
+    en, tried = words["en"], 0
+    for lang in ("fr", "id"):
+        for k in range(0, 200, 10):
+            stretch = words[lang][k : k + 10]
+            inner = en[:19] + stretch + en[19:38]
+            if [s[2] for s in langid.detect([" ".join(inner)], model)[0]] != ["en", lang, "en"]:
+                continue
+            tried += 1
+            for at in range(12):
+                text = " ".join(en[100 : 112 + at] + inner + en[38:90])
+                assert [s[2] for s in langid.detect([text], model)[0]] == ["en", lang, "en"], (lang, k, at)
+    assert tried > 3
+
+
 def brute_merge(parts, least):
     """The shortest part below the bound goes to its longer neighbour, again and again."""
 
