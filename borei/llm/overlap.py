@@ -6,6 +6,8 @@ neighbours by content alone: two texts that share ``gram + window - 1`` characte
 n-grams each text offers m - ceil(share * m) + 4, the rarest by one global order, so any two texts that have ``share`` of
 them in common meet in four (the prefix filter of set joins; all they share if that is less; the order decides only how
 much is compared in vain). The order comes from counts of all n-grams of all records in a table of fixed size, summed by tree from all tasks.
+Edits that are scattered leave too few of these n-grams; such pairs meet in shorter segments, by the pigeonhole bound on
+edits and by place (``scattered``).
 
 The offers are partitioned by hash and joined with themselves, evaluation against training. Records with the same text
 are one class, offered once per task. The classes that meet are then compared in full: the edit distance of the folded
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +127,71 @@ def offers(records: DataFrame, counts: np.ndarray, bits: int = BITS, share: floa
     return spread(records).mapInArrow(run, "hash bigint, cls bigint, side tinyint, need tinyint")
 
 
+# --- texts with scattered edits ----------------------------------------------------------------------------------------
+# Fewer than a tenth of the longer text's letters differ, so fewer than a ninth of a text's own: of more disjoint segments
+# than that, some are whole in the other text, about where they were.
+
+#: Letters of a segment at most. A text of up to nine letters is one segment: no edit is less than a tenth of it.
+SEGMENT = 8
+_SIZE = "case when {n} <= 9 then {n} else least(8, {n} div ((({n} + 8) div 9))) end"
+
+
+def segment_size(n: int) -> int:
+    return n if n <= 9 else min(SEGMENT, n // -(-n // 9))
+
+
+@lru_cache(None)
+def _sizes_near(n: int) -> frozenset[int]:
+    """Segment sizes of the texts that can differ from one of n letters by less than a tenth."""
+    return frozenset(segment_size(k) for k in range(max(1, n - n // 9 - 1), n + n // 9 + 2) if abs(n - k) * 10 < max(n, k))
+
+
+def segments(records: DataFrame) -> DataFrame:
+    """``hash``, ``cls``, ``side``, ``at``, ``len``: the disjoint segments of each training class of ``records`` (cls, side,
+    _text), and all pieces of the same sizes of each evaluation class."""
+    ship(records.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+                fresh = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+                if not fresh:
+                    continue
+                texts = strings(part, "_text")
+                cps, starts = fold([texts[i] for i in fresh], marks=False)
+                lengths = np.diff(starts)
+                owner = np.repeat(np.arange(len(fresh)), lengths)
+                at = np.arange(len(cps)) - starts[owner]
+                train = np.array([keys[i][1] == 2 for i in fresh])
+                own = np.array([segment_size(int(n)) if n else 0 for n in lengths])
+                sizes = [{int(own[i])} if train[i] else _sizes_near(int(n)) if n else () for i, n in enumerate(lengths)]
+                for size in sorted(set().union(*sizes) - {0}):
+                    has = np.array([size in s for s in sizes])
+                    keep = has[owner] & (at + size <= lengths[owner])
+                    keep &= ~train[owner] | (at % size == 0)
+                    where = np.flatnonzero(keep)
+                    if not len(where):
+                        continue
+                    h = grams(cps, size)[where] ^ np.uint64(size << 58)
+                    rows = pa.array(np.array(fresh)[owner[where]], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at[where], pa.int32()), pa.array(lengths[owner[where]], pa.int32())], ["hash", "cls", "side", "at", "len"])
+
+    return spread(records).mapInArrow(run, "hash bigint, cls bigint, side tinyint, at int, len int")
+
+
+def scattered(records: DataFrame) -> DataFrame:
+    """``eval_cls``, ``train_cls`` of all classes of ``records`` whose edit distance may be below a tenth: so many segments
+    as that many edits must leave whole are in the other text, moved by no more than the edits before and after allow."""
+    cut = segments(records)
+    moved = "(abs(e.at - t.at) + abs((e.len - e.at) - (t.len - t.at))) * 10 < greatest(e.len, t.len)"
+    met = cut.alias("e").join(cut.alias("t"), F.expr(f"e.hash = t.hash and e.side < t.side and e.cls <> t.cls and {moved}"))
+    need = f"t.len div ({_SIZE.format(n='t.len')}) - (greatest(e.len, t.len) + 9) div 10 + 1"
+    met = met.select(F.col("e.cls").alias("eval_cls"), F.col("t.cls").alias("train_cls"), F.expr(need).cast("int").alias("need"))
+    return met.groupBy("eval_cls", "train_cls").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("eval_cls", "train_cls")
+
+
 # --- comparison in full -----------------------------------------------------------------------------------------------
 
 _PIECES = re.compile("[.!?។៕。！？\n]+|(?<=[ก-๎ກ-ໟ])[  ]+(?=[ก-๎ກ-ໟ])")
@@ -251,6 +319,7 @@ def cross_split_overlaps(records: DataFrame, key: str = "rec_id", split: str = "
     met = offered.alias("e").join(offered.alias("t"), (F.col("e.hash") == F.col("t.hash")) & (F.col("e.side") < F.col("t.side")) & (F.col("e.cls") != F.col("t.cls")))
     met = met.select(F.col("e.hash").alias("hash"), F.col("e.cls").alias("eval_cls"), F.col("t.cls").alias("train_cls"), F.greatest("e.need", "t.need").alias("need")).distinct()
     met = met.groupBy("eval_cls", "train_cls").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("eval_cls", "train_cls")
+    met = met.union(scattered(rows.select("cls", "side", "_text"))).distinct()
     texts = rows.select("cls", "_text").dropDuplicates(["cls"])
     pairs = met.join(texts.select(F.col("cls").alias("eval_cls"), F.col("_text").alias("eval_text")), "eval_cls").join(texts.select(F.col("cls").alias("train_cls"), F.col("_text").alias("train_text")), "train_cls")
     near = compared(pairs)

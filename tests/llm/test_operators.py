@@ -267,6 +267,29 @@ def test_short_and_repeated_records(spark):
     assert pairs_ == [(2, 1), (6, 5), *[(200, 100 + i) for i in range(50)]]
 
 
+def edited(rng, text, edits):
+    out = list(text)
+    for k in sorted(rng.sample(range(len(out)), edits), reverse=True):
+        kind = rng.randrange(3)
+        out[k : k + 1] = [] if kind == 0 else [rng.choice("bcdfghjk")] if kind == 1 else [out[k], rng.choice("bcdfghjk")]
+    return "".join(out)
+
+
+def test_scattered_edits_are_found(spark):
+    """Edits of 5 to 9 % spread over short and long texts, against all pairs."""
+    rng, rows = random.Random(8), []
+    for size in [*range(5, 80), *[100, 150, 300, 400, 700, 1500] * 6]:
+        text = "".join(rng.choice("aeioulmnprst") for _ in range(size))
+        step = max(1, size // max(1, int(size * rng.uniform(0.05, 0.09))))
+        even = "".join("x" if k % step == step - 1 else c for k, c in enumerate(text))  # the same distance apart
+        k = 10 * len(rows)
+        rows += [(k + 1, "train", text), (k + 2, "test", edited(rng, text, int(size * rng.uniform(0.05, 0.09)))), (k + 3, "validation", even)]
+    held, train = [r for r in rows if r[1] != "train"], [r for r in rows if r[1] == "train"]
+    want = {(a[0], b[0]) for a in held for b in train if abs(len(a[2]) - len(b[2])) < 0.12 * max(len(a[2]), len(b[2])) and overlap.difference(a[2], b[2]) < overlap.DIFFER}
+    got = [(r.eval_id, r.train_id) for r in overlap.cross_split_overlaps(spark.createDataFrame(rows, "rec_id bigint, split string, text string")).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 150
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 PAGES = [
