@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -66,13 +67,40 @@ _SIGNS = {
 _SIGNS = {name: tuple(re.compile(p, re.MULTILINE | (re.IGNORECASE if name == "html" else 0)) for p in pair) for name, pair in _SIGNS.items()}
 
 
-_CODE_BODY = re.compile(r"(<(?:pre|source|syntaxhighlight)\b[^<>]*>(?:<code[^<>]*>)?).{0,3000}?(</)|(?<=\\begin\{verbatim\}).{0,3000}?(?=\\end)|(?<=\\begin\{lstlisting\}).{0,3000}?(?=\\end)|(?<=```\n).{0,3000}?(?=```)|(?<=~~~\n).{0,3000}?(?=~~~)", re.DOTALL | re.IGNORECASE)
+_CODE_OPEN = re.compile(r"<(?P<tag>pre|source|syntaxhighlight)\b[^<>]*>(?:<code[^<>]*>)?|\\begin\{(?P<env>verbatim\*?|lstlisting)\}|^[ ]{0,3}(?P<fence>`{3,}|~{3,})[^\n`]*\n", re.IGNORECASE | re.MULTILINE)
+
+
+def _without_code(text: str) -> str:
+    """The text with the marks of its code blocks, but not what stands in them."""
+    out, pos, at = [], 0, 0
+    unclosed: set[str] = set()
+    while m := _CODE_OPEN.search(text, at):
+        at = m.end()
+        if m["tag"] and m[0].endswith("/>"):
+            continue
+        key = m["tag"].lower() if m["tag"] else m["env"] or m["fence"]
+        if key in unclosed:
+            continue
+        end = _code_end(key).search(text, at)
+        if end is None:
+            unclosed.add(key)
+            continue
+        out.append(text[pos:at])
+        pos, at = end.start(), end.end()
+    return "".join([*out, text[pos:]])
+
+
+@lru_cache(64)
+def _code_end(key: str) -> re.Pattern:
+    if key[0] in "`~":
+        return re.compile(rf"^[ ]{{0,3}}{key}", re.MULTILINE)
+    return re.compile(rf"</{key}\s*>" if key.isalpha() and key not in ("verbatim", "lstlisting") else rf"\\end\{{{re.escape(key)}\}}", re.IGNORECASE)
 
 
 def markup_of(text: str) -> str:
     """html, latex, wiki, markdown or none: by sure signs (weight 3) and likely ones, each counted up to five times."""
     score = {}
-    text = _CODE_BODY.sub(r"\1\2", text)
+    text = _without_code(text)
     for name, (sure, likely) in _SIGNS.items():
         n = 0
         for pattern, weight in ((sure, 3), (likely, 1)):
@@ -205,7 +233,40 @@ def _whole_item(text: str, m: re.Match) -> str:
 # --- HTML -------------------------------------------------------------------------------------------------------------
 
 _HTML_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?/?>", re.DOTALL | re.IGNORECASE)
-_FORMULA_HTML = re.compile(r"\$\$(?P<a>.{1,4000}?)\$\$|\\\((?P<b>.{1,4000}?)\\\)|\\\[(?P<c>.{1,4000}?)\\\]|<math\b[^>]*>(?P<d>.{0,4000}?)</math>|\\begin\{(?P<env>(?:equation|align|gather|multline|displaymath)\*?)\}(?P<e>.{1,4000}?)\\end\{(?P=env)\}", re.DOTALL | re.IGNORECASE)
+_FORMULA_HTML = re.compile(r"\$\$|\\\(|\\\[|<math\b[^>]*>|\\begin\{(?P<env>(?:equation|align|gather|multline|displaymath)\*?)\}", re.IGNORECASE)
+
+
+def _formulas(text: str, opens: re.Pattern) -> Iterator[tuple[int, int, str]]:
+    """Start, end and content of each formula: from what opens one (``opens``; a group ``b`` is a whole one on a line) to
+    the next mark that closes it. What nothing closes after one place isn't looked for again."""
+    unclosed: set[str] = set()
+    pos = 0
+    while m := opens.search(text, pos):
+        pos = m.end()
+        if m.groupdict().get("b") is not None:
+            yield m.start(), pos, m["b"].strip()
+            continue
+        close = {"$$": "$$", "\\(": "\\)", "\\[": "\\]"}.get(m[0]) or (f"\\end{{{m['env']}}}" if m["env"] else "</math>")
+        end = None if close in unclosed else _formula_end(close, opens.flags & re.IGNORECASE).search(text, pos + (close != "</math>"))
+        if end is None:
+            unclosed.add(close)
+            pos = m.start() + 1
+            continue
+        yield m.start(), end.end(), text[pos : end.start()].strip()
+        pos = end.end()
+
+
+@lru_cache(64)
+def _formula_end(close: str, flags: int) -> re.Pattern:
+    return re.compile(re.escape(close), flags)
+
+
+def _with_formulas(text: str, opens: re.Pattern, shown: Callable[[str], str]) -> str:
+    out, pos = [], 0
+    for start, end, content in _formulas(text, opens):
+        out += [text[pos:start], shown(content)]
+        pos = end
+    return "".join([*out, text[pos:]])
 
 
 def html_inline(text: str) -> str:
@@ -283,8 +344,8 @@ def parse_html(text: str) -> list[Node]:
                 nodes.append(Node("table", opened["table"].pop(), m.end()))
     while items:
         close_item(len(text), len(text))
-    for m in _FORMULA_HTML.finditer(text):
-        nodes.append(Node("formula", m.start(), m.end(), content=html.unescape(m["a"] or m["b"] or m["c"] or m["d"] or m["e"] or "").strip()))
+    for start, end, content in _formulas(text, _FORMULA_HTML):
+        nodes.append(Node("formula", start, end, content=html.unescape(content).strip()))
     return nodes
 
 
@@ -292,7 +353,7 @@ def parse_html(text: str) -> list[Node]:
 
 _FENCE = re.compile(r"^(?P<in>[ ]{0,3}(?:[-*+]\s+)?)(?P<f>`{3,}|~{3,})(?P<info>[^\n`]*)\n(?P<code>.*?)(?:^[ ]{0,3}(?P=f)[`~]*[ \t]*$|\Z)", re.DOTALL | re.MULTILINE)
 _MD_LINE = re.compile(r"^[ ]{0,3}(?P<hash>#{1,6})(?:[ \t]+(?P<head>.*?))?(?:[ \t]+#+)?[ \t]*$|^(?P<set>[^\n\s][^\n]*)\n[ ]{0,3}(?:=+|-{2,})[ \t]*$|^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+(?P<item>\S.*)$", re.MULTILINE)
-_FORMULA_MD = re.compile(r"\$\$(?P<a>.{1,4000}?)\$\$|(?<![\\$\w])\$(?![\s$])(?P<b>[^$\n]*?[^\s$\\])\$(?![\d$])|\\\((?P<c>.{1,4000}?)\\\)|\\\[(?P<d>.{1,4000}?)\\\]|\\begin\{(?P<env>(?:equation|align|gather|multline)\*?)\}(?P<e>.{1,4000}?)\\end\{(?P=env)\}|<math\b[^>]*>(?P<g>.{0,4000}?)</math>", re.DOTALL)
+_FORMULA_MD = re.compile(r"\$\$|(?<![\\$\w])\$(?![\s$])(?P<b>[^$\n]*?[^\s$\\])\$(?![\d$])|\\\(|\\\[|\\begin\{(?P<env>(?:equation|align|gather|multline)\*?)\}|<math\b[^>]*>")
 _MD_SPAN = re.compile(r"(?<!`)(`+)(?!`)(?P<code>.+?)(?<!`)\1(?!`)")
 
 
@@ -305,7 +366,7 @@ def markdown_inline(text: str) -> str:
 
     text = re.sub(r"<!--.*?(?:-->|\Z)", "", text, flags=re.DOTALL)
     text = _MD_SPAN.sub(lambda m: keep(m["code"].strip() if m["code"].strip() else m["code"]), text)
-    text = _FORMULA_MD.sub(lambda m: keep((m["a"] or m["b"] or m["c"] or m["d"] or m["e"] or m["g"] or "").strip()), text)
+    text = _with_formulas(text, _FORMULA_MD, keep)
     text = re.sub(r"\\([!-/:-@\[-`{-~])", lambda m: keep(m[1]), text)
     text = re.sub(r"\[\^[^\]\s]+\]", "", text)
     text = re.sub(r"!\[[^\]]*\]\([^)\s]*(?:\s+\"[^\"]*\")?\)", "", text)
@@ -340,42 +401,38 @@ def parse_markdown(text: str) -> list[Node]:
                 nodes.append(Node("list_item", m.start(), m.end(), content=markdown_inline(re.sub(r"^(?:[-*+]|\d+[.)])\s+", "", m["set"]))))
         elif not re.fullmatch(r"[ \t]*([-*_])(?:[ \t]*\1){2,}[ \t]*", m[0]):
             nodes.append(Node("list_item", m.start(), m.end(), content=markdown_inline(m["item"])))
-    for m in _FORMULA_MD.finditer(text):
-        nodes.append(Node("formula", m.start(), m.end(), content=(m["a"] or m["b"] or m["c"] or m["d"] or m["e"] or m["g"] or "").strip()))
+    nodes += [Node("formula", start, end, content=content) for start, end, content in _formulas(text, _FORMULA_MD)]
     return nodes
 
 
 # --- LaTeX ------------------------------------------------------------------------------------------------------------
 
 _LATEX_CODE = re.compile(r"\\begin\{(?P<env>verbatim\*?|lstlisting|minted|alltt|Verbatim)\}(?P<opt>(?:\[[^\]\n]*\])?(?:\{[^}\n]*\})?)(?P<code>.*?)(?:\\end\{(?P=env)\}|\Z)", re.DOTALL)
-_LATEX_FORMULA = re.compile(r"\$\$(?P<a>.{1,4000}?)\$\$|(?<![\\$])\$(?![\s$])(?P<b>[^$\n]*?[^\s$\\])\$(?![\d$])|\\\((?P<c>.{1,4000}?)\\\)|\\\[(?P<d>.{1,4000}?)\\\]|\\begin\{(?P<env>(?:equation|align|gather|multline|displaymath|eqnarray|math)\*?)\}(?P<e>.{1,4000}?)\\end\{(?P=env)\}", re.DOTALL)
+_LATEX_FORMULA = re.compile(r"\$\$|(?<![\\$])\$(?![\s$])(?P<b>[^$\n]*?[^\s$\\])\$(?![\d$])|\\\(|\\\[|\\begin\{(?P<env>(?:equation|align|gather|multline|displaymath|eqnarray|math)\*?)\}")
 _LATEX_HEAD = re.compile(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?(?:\[[^\]]*\])?\{")
 _LATEX_STOP = re.compile(r"\\(?P<what>item|begin|end)\b(?:\{(?P<env>[^}]*)\})?")
 
 
-def _balanced(text: str, begin: int) -> int:
-    """Where the group that opens before ``begin`` closes (the end of the line if it doesn't)."""
-    depth, i = 1, begin
-    while i < min(len(text), begin + 2000):
-        c = text[i]
-        if c == "\n" and text[i + 1 : i + 2] == "\n":  # no group of a heading goes over a blank line
-            break
-        if c == "\\":
-            i += 1
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth == 0:
-                return i
-        i += 1
-    line = text.find("\n", begin)
-    return min(len(text) if line < 0 else line, begin + 2000)
+_BRACE = re.compile(r"\\.|[{}]|\n\n", re.DOTALL)
+
+
+def _groups(text: str) -> dict[int, int]:
+    """By the place after each brace that opens a group, where the group closes. None goes over a blank line."""
+    found: dict[int, int] = {}
+    stack: list[int] = []
+    for m in _BRACE.finditer(text):
+        if m[0] == "{":
+            stack.append(m.end())
+        elif m[0] == "}" and stack:
+            found[stack.pop()] = m.start()
+        elif m[0] == "\n\n":
+            stack.clear()
+    return found
 
 
 def latex_inline(text: str) -> str:
     text = re.sub(r"(?<!\\)%[^\n]*\n?", "", text)
-    text = _LATEX_FORMULA.sub(lambda m: (m["a"] or m["b"] or m["c"] or m["d"] or m["e"] or "").strip().replace("\\", "\ue002").replace("{", "\ue003").replace("}", "\ue004"), text)
+    text = _with_formulas(text, _LATEX_FORMULA, lambda c: c.replace("\\", "\ue002").replace("{", "\ue003").replace("}", "\ue004"))
     text = re.sub(r"\\(?:cite[a-z]*|label|ref|eqref|pageref|footnote|footnotemark|index|vspace|hspace|thanks)\*?(?:\[[^\]]*\])?\{(?:[^{}]|\{[^{}]*\})*\}", "", text)
     text = re.sub(r"\\href\{[^{}]*\}", "", text)
     text = re.sub(r"\\url\{([^{}]*)\}", r"\1", text)
@@ -398,8 +455,13 @@ def parse_latex(text: str) -> list[Node]:
     nodes += [Node("comment", m.start(), m.end()) for m in re.finditer(r"(?<!\\)%[^\n]*", text) if not inside(m.start())]
     nodes += [Node("comment", m.start(), m.end()) for m in re.finditer(r"\\begin\{comment\}.*?(?:\\end\{comment\}|\Z)", text, re.DOTALL)]
     nodes += [Node("table", m.start(), m.end()) for m in re.finditer(r"\\begin\{(tabular|table)(\*?)\}.*?(?:\\end\{\1\2\}|\Z)", text, re.DOTALL)]
-    for m in _LATEX_HEAD.finditer(text):
-        end = _balanced(text, m.end())
+    groups, heads = _groups(text), list(_LATEX_HEAD.finditer(text))
+    for m, after in zip(heads, [*(h.start() for h in heads[1:]), len(text)][: len(heads)], strict=True):
+        end = groups.get(m.end())
+        if end is None:  # a group that nothing closes ends with its line
+            line = text.find("\n", m.end(), after)
+            end = after if line < 0 else line
+        end = min(end, after)  # no heading holds another
         nodes.append(Node("heading", m.start(), end + 1, content=latex_inline(text[m.end() : end])))
     open_item: tuple[int, int] | None = None
     depth = 0
@@ -421,8 +483,7 @@ def parse_latex(text: str) -> list[Node]:
             open_item = (m.start(), label.end() if label else m.end())
     if open_item:
         nodes.append(Node("list_item", open_item[0], len(text), content=latex_inline(text[open_item[1] :])))
-    for m in _LATEX_FORMULA.finditer(text):
-        nodes.append(Node("formula", m.start(), m.end(), content=(m["a"] or m["b"] or m["c"] or m["d"] or m["e"] or "").strip()))
+    nodes += [Node("formula", start, end, content=content) for start, end, content in _formulas(text, _LATEX_FORMULA)]
     return nodes
 
 

@@ -333,6 +333,26 @@ def test_broken_and_endless_pages_take_linear_time(piece):
     assert time.perf_counter() - begin < 20
 
 
+def test_long_formulas_code_and_headings_are_whole(trees):
+    long = "x_1 + " * 1500 + "y"
+    for kind, text in (("markdown", f"## A\n\n* a\n\n$$\n{long}\n$$\n\nprose\n\n$$z$$\n"), ("latex", f"\\section{{A}}\n$$\n{long}\n$$\nprose\n$$z$$\n\\item b\n"), ("html", f"<div><h2>A</h2><p>$$ {long} $$ prose $$z$$</p></div>")):
+        assert markup.markup_of(text) == kind
+        assert [r[2] for r in markup.elements([text], [None], trees)[0] if r[0] == "formula"] == [long, "z"], kind
+    code = "<div>{{a}}<br></div><p>\n" * 400
+    assert markup.markup_of(f"## A\n\n```html\n{code}```\n\n* a\n") == "markdown"
+    assert markup.markup_of(f"== A ==\n<syntaxhighlight lang=html>\n{code}</syntaxhighlight>\n[[b]]\n") == "wiki"
+    head = "very long heading " * 200
+    assert markup.elements([f"\\section{{{head}}}\n\\begin{{itemize}}\\item a\\end{{itemize}}"], [None], trees)[0][0] == ("heading", 1, head.strip())
+
+
+@pytest.mark.parametrize("piece", ["\\section{", "$$", "$$a$", "\\begin{align} ", "<math>", "~~~\n", "{", "\\section{a} {"])
+def test_marks_that_nothing_closes_take_linear_time(piece):
+    begin = time.perf_counter()
+    markup.parse(piece * 20_000)
+    markup.parse("\\section{a}\\item " + piece * 20_000)
+    assert time.perf_counter() - begin < 20
+
+
 def test_titles_and_clean_text(trees):
     assert markup.clean_title("'''A''' (B)") == "A (B)" and markup.clean_title("A&nbsp;B") == "A B" and markup.clean_title("\\emph{A}") == "A" and markup.clean_title("**A**") == "A" and markup.clean_title("<i>A</i>") == "A"
     assert markup.clean_title("Plain — title [1] x_1_y") is None
