@@ -98,16 +98,13 @@ def _code_end(key: str) -> re.Pattern:
 
 
 def markup_of(text: str) -> str:
-    """html, latex, wiki, markdown or none: by sure signs (weight 3) and likely ones, each counted up to five times."""
+    """html, latex, wiki, markdown or none: by sure signs (weight 3) and likely ones, all of them counted."""
     score = {}
     text = _without_code(text)
     for name, (sure, likely) in _SIGNS.items():
         n = 0
         for pattern, weight in ((sure, 3), (likely, 1)):
-            for k, _ in enumerate(pattern.finditer(text)):
-                n += weight
-                if k == 4:
-                    break
+            n += weight * sum(1 for _ in pattern.finditer(text))
         score[name] = n
     best = max(score, key=lambda k: (score[k], k == "wiki"))
     return best if score[best] else "none"

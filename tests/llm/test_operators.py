@@ -333,6 +333,12 @@ def test_broken_and_endless_pages_take_linear_time(piece):
     assert time.perf_counter() - begin < 20
 
 
+def test_all_signs_of_a_page_count():
+    stray = "\n".join(f"<br> <div> <b>b</b> {{{{x{i}}}}} ''y''" for i in range(5))
+    assert markup.markup_of("\\section{a}\n\\item b\n" * 100 + stray) == "latex"
+    assert markup.markup_of("## A b\n\n[c](http://d) and **e**\n\n- f\n\n" * 100 + stray) == "markdown"
+
+
 def test_long_formulas_code_and_headings_are_whole(trees):
     long = "x_1 + " * 1500 + "y"
     for kind, text in (("markdown", f"## A\n\n* a\n\n$$\n{long}\n$$\n\nprose\n\n$$z$$\n"), ("latex", f"\\section{{A}}\n$$\n{long}\n$$\nprose\n$$z$$\n\\item b\n"), ("html", f"<div><h2>A</h2><p>$$ {long} $$ prose $$z$$</p></div>")):
