@@ -37,7 +37,7 @@ MEET = 4
 BITS = 21
 #: A pair counts if less than this part of its letters and digits differs.
 DIFFER = 0.1
-#: Folded characters from which coverage by common 12-grams stands for the edit distance.
+#: Folded characters from which coverage by common 12-grams is looked at before the edit distance, which then takes long.
 LONG = 20_000
 
 
@@ -251,8 +251,8 @@ def difference(a: str, b: str) -> float:
         return 1.0
     if abs(len(fa) - len(fb)) >= DIFFER * whole:
         return abs(len(fa) - len(fb)) / whole
-    if whole > LONG:
-        return max(_uncovered(fa, fb), _uncovered(fb, fa)) / whole
+    if whole > LONG and (cover := max(_uncovered(fa, fb), _uncovered(fb, fa))) < DIFFER * whole:
+        return cover / whole  # near already, without the edit distance
     best = edit_distance(fa, fb)
     if best >= DIFFER * whole:
         best = min(best, max(_uncovered(fa, fb), _uncovered(fb, fa)))  # blocks that moved

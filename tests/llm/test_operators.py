@@ -267,6 +267,13 @@ def test_short_and_repeated_records(spark):
     assert pairs_ == [(2, 1), (6, 5), *[(200, 100 + i) for i in range(50)]]
 
 
+def test_long_texts_have_an_edit_distance_too():
+    rng = random.Random(1)
+    text = "".join(rng.choice("aeioulmnprst") for _ in range(25_000))
+    assert overlap.difference(text, "".join("x" if rng.random() < 0.06 else c for c in text)) < 0.07
+    assert overlap.difference(text, "".join("x" if rng.random() < 0.15 else c for c in text)) > 0.1
+
+
 def edited(rng, text, edits):
     out = list(text)
     for k in sorted(rng.sample(range(len(out)), edits), reverse=True):
