@@ -139,7 +139,7 @@ class Trees:
     """Bagged decision trees as flat arrays: each node has a feature (or -1), a threshold, two children and a value."""
 
     def __init__(self, nodes: list[np.ndarray]):
-        self.nodes, self.overall = nodes, 0.05
+        self.nodes = nodes
 
     @staticmethod
     def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, columns: int, out: list) -> int:
@@ -216,9 +216,7 @@ def fit_trees(pages: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> Tre
     sure, y = x[y >= 0], y[y >= 0]
     if not len(y) or y.min() == y.max():
         return None
-    trees = Trees.fit(sure, y)
-    trees.overall = float(trees.score(x).mean())  # what a host's rate is held against
-    return trees
+    return Trees.fit(sure, y)
 
 
 def scored_pages(pages: DataFrame, trees: Trees | None, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
@@ -244,7 +242,8 @@ def spam_pages(pages: DataFrame, trees: Trees | None, key: str = "doc_id", host:
     use_checkpoints(pages.sparkSession)
     scored = scored_pages(pages, trees, key, host, text).checkpoint()  # read twice below
     hosts = scored.groupBy("host").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("n"))
-    overall = trees.overall if trees is not None else 0.05
+    sums = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    overall = sums.s / sums.n if sums.n else 0.05
     rates = hosts.select("host", ((F.col("s") + HOST_PRIOR * overall) / (F.col("n") + HOST_PRIOR)).alias("rate"))
 
     def logit(c):

@@ -465,6 +465,17 @@ def test_spam_is_found_whatever_its_host(spark):
     assert got == {100 + i for i in range(len(SPAM))}
 
 
+def test_the_overall_rate_is_that_of_all_rows(spark):
+    """Half spam of one text: rates are held against the rows, not against the sample the trees are fitted on."""
+    rows = [(i, PROSE + f" It rained {i} days.", "a") for i in range(20)] + [(100 + i, SPAM[0], "b") for i in range(20)]
+    pages = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    trees = spam.Trees([np.array([[0, 0.5, 1, 2, 0], [-1, 0, 0, 0, 0.19], [-1, 0, 0, 0, 0.1]])])
+    scores = {}
+    for trees.overall in (0.05, 0.9):
+        scores[trees.overall] = {r.doc_id: r.score for r in spam.spam_pages(pages, trees).collect()}
+    assert scores[0.05] == scores[0.9]
+
+
 # --- odd tables ---------------------------------------------------------------------------------------------------------
 
 LONG = "ឡើងវិញ text បាន។ " * 20_000
