@@ -30,8 +30,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     yield batch.slice(start)
 
 
-def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
-    """``fn`` over slices of rows, in Arrow; rows are spread over the cores first where the scan has too few splits."""
+def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES, thin: bool = True) -> DataFrame:
+    """``fn`` over slices of rows, in Arrow; rows are spread over the cores first where the scan has too few splits
+    (``thin``: ``df`` may be such a scan)."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +42,56 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
                 if out.num_rows:
                     yield out
 
-    return spread(df).mapInArrow(run, schema)
+    return (spread(df) if thin else df).mapInArrow(run, schema)
+
+
+def table_sums(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, chunk: int, fan: int = 32) -> np.ndarray:
+    """The sum of the arrays of ``size`` counters that ``count`` makes of each task's batches.
+
+    A tree of tasks adds them up chunk by chunk: on each level a group is ``fan`` tasks of the level before, so what one
+    group reads and holds doesn't grow with the number of tasks. Only the sum, of fixed size, reaches the driver."""
+    ship(df.sparkSession)
+    schema = "chunk int, task int, counts binary"
+
+    def packed(table: np.ndarray) -> bytes:
+        return pa.compress(table.tobytes(), "zstd", asbytes=True)
+
+    def unpacked(value: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(value, 8 * chunk, "zstd", asbytes=True), np.int64)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        table = count(batches).astype(np.int64)
+        used = [i for i in range(size // chunk) if table[i * chunk : (i + 1) * chunk].any()]
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([task] * len(used), pa.int32()), pa.array([packed(table[i * chunk : (i + 1) * chunk]) for i in used], pa.binary())], ["chunk", "task", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(chunk, np.int64)
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([packed(total)], pa.binary())], ["chunk", "task", "counts"])
+
+        for batch in batches:
+            for c, t, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if at is not None and at != (c, t):
+                    yield row()
+                    total[:] = 0
+                at = (c, t)
+                total += unpacked(value)
+        if at is not None:
+            yield row()
+
+    level, tasks = df.mapInArrow(first, schema), max(df.rdd.getNumPartitions(), 1)
+    while tasks > 1:
+        tasks = -(-tasks // fan)
+        groups = level.select("chunk", (F.col("task") % tasks).alias("task"), "counts").repartition("chunk", "task")
+        level = groups.sortWithinPartitions("chunk", "task").mapInArrow(add, schema)
+    out = np.zeros(size, np.int64)  # an empty table has no tasks
+    for r in level.collect():
+        out[r.chunk * chunk : (r.chunk + 1) * chunk] = unpacked(bytes(r.counts))
+    return out
 
 
 def strings(batch: pa.RecordBatch, column: str) -> list[str | None]:

@@ -1,17 +1,23 @@
 """Problem 5: records of evaluation splits that also occur, exactly or almost, in the training split.
 
-Texts are folded to letters and digits. Their hashed n-grams of folded characters (words can't be told apart in half of
-the languages, so the n-grams don't depend on them) are thinned by winnowing, which keeps at least one of each ``window``
-neighbours by content alone: two texts that share ``gram + window - 1`` characters in a row share a kept n-gram. Of m kept
-n-grams each text offers m - ceil(share * m) + 4, the rarest by one global order, so any two texts that have ``share`` of
-them in common meet in four (the prefix filter of set joins; all they share if that is less; the order decides only how
-much is compared in vain). The order comes from counts of all n-grams of all records in a table of fixed size, summed by tree from all tasks.
-Edits that are scattered leave too few of these n-grams; such pairs meet in shorter segments, by the pigeonhole bound on
-edits and by place (``scattered``).
-
-The offers are partitioned by hash and joined with themselves, evaluation against training. Records with the same text
-are one class, offered once per task. The classes that meet are then compared in full: the edit distance of the folded
-texts, and, if it is too large, of their sentences in the best order.
+Texts are folded to letters and digits. Two kinds of hashes are partitioned and joined, evaluation against training:
+
+* **Segments** find every pair whose edit distance is below a tenth. Of a training text of n letters fewer than n / 9 are
+  touched, so of any ceil(n / 9) - 1 + r disjoint segments r are whole in the evaluation text. Read from the left, there
+  are r whole ones for which the edits before the one of ordinal i are fewer than i, and those after it at most what is
+  left plus r - i: the j-th is the first i up to whose end there are at most i - j edits, so it holds none, and i - j stand
+  before it. Both bound how far it has moved; nearly all chance matches are off by more. A training text offers as
+  many of its segments, those that are rarest among evaluation texts (r up to REPEAT where so many fit); an evaluation
+  text offers all its pieces of the sizes it may need.
+* **Grams** find texts whose sentences moved. Hashed 12-grams of letters (words can't be told apart in half of the
+  languages) are thinned by winnowing; of m kept ones each text offers the rarest m - ceil(m / 2) + 4, so that two texts
+  that share half of theirs meet in four. Edits that are scattered over a text whose sentences moved as well may leave
+  fewer; the README has the measured recall.
+
+What is rare is told by counts of all records in a table of fixed size, summed up by a tree of tasks; the order decides
+only how much is compared in vain. The records that meet are compared in full: the edit distance of the folded texts,
+and, if it is too large, of their sentences in the best order. Equal texts are one class: offered once per task,
+compared once, and expanded by their 128-bit digests at the end.
 """
 
 from __future__ import annotations
@@ -26,24 +32,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from borei.llm._text import grams, map_text, slices, strings
+from borei.llm._text import grams, map_text, owners, slices, strings, table_sums, take
 from borei.llm.folding import fold
 from borei.session import ship, spread
 
-GRAM, WINDOW, SHARE = 12, 6, 0.5
+GRAM, WINDOW, SHARE = 12, 10, 0.5
 #: Offers in which two texts must meet, if they must share so many.
 MEET = 4
-#: Counters of the rarity table (uint16): 4 MB whatever the data.
+#: Counters of the rarity table, half of them for each kind of hash: 2 MB whatever the data.
 BITS = 21
 #: A pair counts if less than this part of its letters and digits differs.
 DIFFER = 0.1
-#: Folded characters from which coverage by common 12-grams is looked at before the edit distance, which then takes long.
-LONG = 20_000
+#: Letters of a segment, in texts that are long enough for ceil(n / 9) of them.
+SEGMENT = 7
+#: Whole segments that two texts must share, where the training text has so many more than edits.
+REPEAT = 3
+EVALUATION, TRAINING = 1, 2
+_KEEP = np.uint64((1 << 48) - 1)
 
 
 def winnow(cps: np.ndarray, starts: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the kept n-grams of all texts, and the text of each; each hash once per text. A text shorter than an
-    n-gram offers the hash of all it has."""
+    n-gram has none (its segments are all of it)."""
     lengths = np.diff(starts)
     h = grams(cps, gram)
     keep = np.zeros(len(h), bool)
@@ -57,10 +67,6 @@ def winnow(cps: np.ndarray, starts: np.ndarray, gram: int = GRAM, window: int =
     keep |= (lengths < gram + window - 1)[text]  # too short for a window: all n-grams
     keep &= np.arange(len(h)) + gram <= starts[text + 1]
     values, text = h[keep], text[keep]
-    short = np.flatnonzero((lengths > 0) & (lengths < gram))
-    if len(short):
-        extra = np.array([int.from_bytes(cps[starts[i] : starts[i + 1]].tobytes()[-8:], "little") ^ (int(lengths[i]) << 40) for i in short], np.uint64)
-        values, text = np.concatenate([values, extra]), np.concatenate([text, short])
     order = np.lexsort((values, text))
     values, text = values[order], text[order]
     first = np.ones(len(values), bool)
@@ -68,133 +74,125 @@ def winnow(cps: np.ndarray, starts: np.ndarray, gram: int = GRAM, window: int =
     return values[first], text[first]
 
 
-def rarity(records: DataFrame, text: str = "text", bits: int = BITS, chunk: int = 1 << 15) -> np.ndarray:
-    """How often each bucket of hashes occurs over all records (capped at 65,535 only in its display as uint16). Each
-    task counts into one array and hands on its chunks; they are added up by chunk on the executors."""
-    ship(records.sparkSession)
+def segment_size(n: int) -> int:
+    """Letters of the segments of a text of n: SEGMENT where ceil(n / 9) of them fit, else what fits; up to nine letters
+    are one segment (no edit is less than a tenth of them)."""
+    need = -(-n // 9)
+    return n if n <= 9 else SEGMENT if n // SEGMENT >= need else n // need
+
+
+@lru_cache(None)
+def _sizes_near(n: int) -> frozenset[int]:
+    """Segment sizes of the texts that can differ from one of n letters by less than a tenth."""
+    if n > 40:
+        return frozenset({SEGMENT})
+    return frozenset(segment_size(k) for k in range(max(1, n - n // 9 - 1), n + n // 9 + 2) if abs(n - k) * 10 < max(n, k))
+
+
+def _cell(values: np.ndarray, kind: int, bits: int) -> np.ndarray:
+    return (values >> np.uint64(65 - bits)).astype(np.int64) + kind * (1 << (bits - 1))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint32)
+
+def _pieces(cps: np.ndarray, starts: np.ndarray, train: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Hashes of segments (training) or of all pieces that may be one (evaluation), where they are, and their size."""
+    lengths = np.diff(starts)
+    owner = owners(starts)
+    at = np.arange(len(cps)) - starts[owner]
+    own = [frozenset({segment_size(int(n))}) if train else _sizes_near(int(n)) for n in lengths]
+    for size in sorted(set().union(*own) - {0}):
+        has = np.array([size in s for s in own])
+        keep = has[owner] & (at + size <= lengths[owner])
+        if train:
+            keep &= at % size == 0
+        where = np.flatnonzero(keep)
+        if len(where):
+            yield grams(cps, size)[where] ^ np.uint64(size << 40), where, size
+
+
+def rarity(records: DataFrame, bits: int = BITS, chunk: int = 1 << 15) -> np.ndarray:
+    """By cell, the logarithm of how often its hashes occur: 12-grams of all ``records`` (side, _text), pieces of the
+    evaluation ones."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        table = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for part in slices(batch, "_text"):
-                values, _ = winnow(*fold(strings(part, "_text"), marks=False))
-                np.add.at(table, (values >> np.uint64(64 - bits)).astype(np.int64), 1)
-        table = np.minimum(table, 65_535).astype(np.uint16)
-        n = (1 << bits) // chunk
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([table[i * chunk : (i + 1) * chunk].tobytes() for i in range(n)], pa.binary())], ["chunk", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(chunk, np.uint32)
-        for value in group.column("counts"):
-            total += np.frombuffer(value.as_py(), np.uint16)
-        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([np.minimum(total, 65_535).astype(np.uint16).tobytes()], pa.binary())})
-
-    chunks = spread(records.select(F.col(text).alias("_text"))).mapInArrow(count, "chunk int, counts binary")
-    rows = chunks.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros(1 << bits, np.uint16)  # an empty table has no tasks
-    for r in rows:
-        out[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(bytes(r.counts), np.uint16)
-    return out
-
-
-def offers(records: DataFrame, counts: np.ndarray, bits: int = BITS, share: float = SHARE) -> DataFrame:
-    """``hash``, ``cls``, ``side``, ``need``: the rarest kept n-grams of each class of ``records`` (cls, side, _text), and
-    in how many of them another class must meet it."""
+                cps, starts = fold(strings(part, "_text"), marks=False)
+                table += np.bincount(_cell(winnow(cps, starts)[0], 1, bits), minlength=len(table))
+                held = np.array(strings(part, "side")) == EVALUATION
+                if held.any():
+                    cps, starts = cps[held[owners(starts)]], np.concatenate([[0], np.cumsum(np.diff(starts)[held])])
+                    for values, _, _ in _pieces(cps, starts, False):
+                        table += np.bincount(_cell(values, 0, bits), minlength=len(table))
+        return table
+
+    total = table_sums(spread(records.select("side", "_text")), count, 1 << bits, chunk)
+    return np.round(8 * np.log2(1.0 + total)).astype(np.uint8)  # up to 2^31 occurrences
+
+
+def offers(records: DataFrame, counts: np.ndarray, train: bool, key: str = "_id", bits: int = BITS, share: float = SHARE) -> DataFrame:
+    """``hash``, ``tag``, ``at``, ``len``, ``key`` of what the texts of one side (``key``, _text) offer. ``tag`` is 8
+    times the ordinal of a segment and twice how many must be whole, or twice the number of grams that must meet and one."""
     table = records.sparkSession.sparkContext.broadcast(counts)
     ship(records.sparkSession)
 
+    def made(part: pa.RecordBatch, rows: np.ndarray, values: np.ndarray, text: np.ndarray, tag: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        whole = [pa.array((values & _KEEP).view(np.int64), pa.int64()), *(pa.array(x, pa.int32()) for x in (tag, at, length)), take(part, key, rows[text])]
+        return pa.RecordBatch.from_arrays(whole, ["hash", "tag", "at", "len", key])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "_text"):
-                keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-                fresh = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-                if not fresh:
+                rows = np.array([i for i, c in enumerate(strings(part, "cls")) if c not in seen and not seen.add(c)], np.int64)
+                if not len(rows):
                     continue
                 texts = strings(part, "_text")
-                values, text = winnow(*fold([texts[i] for i in fresh], marks=False))
-                often = table.value[(values >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.lexsort((values, often, text))
+                cps, starts = fold([texts[i] for i in rows], marks=False)
+                lengths, owner = np.diff(starts), owners(starts)
+                for values, where, size in _pieces(cps, starts, train):
+                    text, at, tag = owner[where], where - starts[owner[where]], np.zeros(len(where), np.int64)
+                    if train:
+                        order = np.lexsort((at, table.value[_cell(values, 0, bits)], text))
+                        rank = np.arange(len(text)) - np.searchsorted(text, text)
+                        edits = -(-lengths // 9) - 1
+                        whole = np.minimum(lengths // size - edits, REPEAT)
+                        kept = np.sort(order[rank < (edits + whole)[text]])  # rows are by text, so ranks are as well
+                        values, text, at = values[kept], text[kept], at[kept]
+                        tag = 8 * (np.arange(len(text)) - np.searchsorted(text, text) + 1) + 2 * whole[text]
+                    yield made(part, rows, values, text, tag, at, lengths[text])
+                values, text = winnow(cps, starts)
+                order = np.lexsort((values, table.value[_cell(values, 1, bits)], text))
                 values, text = values[order], text[order]
-                m = np.bincount(text, minlength=len(fresh))
+                m = np.bincount(text, minlength=len(rows))
                 rank = np.arange(len(text)) - np.repeat(np.cumsum(m) - m, m)
                 least = np.maximum(np.ceil(share * m).astype(np.int64), 1)
                 need = np.minimum(least, MEET)
                 keep = rank < (m - least + need)[text]
-                values, need, rows = values[keep], need[text[keep]], pa.array(np.array(fresh)[text[keep]], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64), pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(need, pa.int8())], ["hash", "cls", "side", "need"])
-
-    return spread(records).mapInArrow(run, "hash bigint, cls bigint, side tinyint, need tinyint")
-
+                values, text = values[keep] ^ np.uint64(1 << 47), text[keep]
+                none = np.zeros(len(text), np.int64)
+                yield made(part, rows, values, text, 2 * need[text] + 1, none, none)
 
-# --- texts with scattered edits ----------------------------------------------------------------------------------------
-# Fewer than a tenth of the longer text's letters differ, so fewer than a ninth of a text's own: of more disjoint segments
-# than that, some are whole in the other text, about where they were.
+    kind = records.schema[key].dataType.simpleString()
+    return spread(records.select(key, "cls", "_text")).mapInArrow(run, f"hash bigint, tag int, at int, len int, `{key}` {kind}")
 
-#: Letters of a segment at most. A text of up to nine letters is one segment: no edit is less than a tenth of it.
-SEGMENT = 8
-_SIZE = "case when {n} <= 9 then {n} else least(8, {n} div ((({n} + 8) div 9))) end"
 
-
-def segment_size(n: int) -> int:
-    return n if n <= 9 else min(SEGMENT, n // -(-n // 9))
-
-
-@lru_cache(None)
-def _sizes_near(n: int) -> frozenset[int]:
-    """Segment sizes of the texts that can differ from one of n letters by less than a tenth."""
-    return frozenset(segment_size(k) for k in range(max(1, n - n // 9 - 1), n + n // 9 + 2) if abs(n - k) * 10 < max(n, k))
-
-
-def segments(records: DataFrame) -> DataFrame:
-    """``hash``, ``cls``, ``side``, ``at``, ``len``: the disjoint segments of each training class of ``records`` (cls, side,
-    _text), and all pieces of the same sizes of each evaluation class."""
-    ship(records.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-                fresh = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-                if not fresh:
-                    continue
-                texts = strings(part, "_text")
-                cps, starts = fold([texts[i] for i in fresh], marks=False)
-                lengths = np.diff(starts)
-                owner = np.repeat(np.arange(len(fresh)), lengths)
-                at = np.arange(len(cps)) - starts[owner]
-                train = np.array([keys[i][1] == 2 for i in fresh])
-                own = np.array([segment_size(int(n)) if n else 0 for n in lengths])
-                sizes = [{int(own[i])} if train[i] else _sizes_near(int(n)) if n else () for i, n in enumerate(lengths)]
-                for size in sorted(set().union(*sizes) - {0}):
-                    has = np.array([size in s for s in sizes])
-                    keep = has[owner] & (at + size <= lengths[owner])
-                    keep &= ~train[owner] | (at % size == 0)
-                    where = np.flatnonzero(keep)
-                    if not len(where):
-                        continue
-                    h = grams(cps, size)[where] ^ np.uint64(size << 58)
-                    rows = pa.array(np.array(fresh)[owner[where]], pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at[where], pa.int32()), pa.array(lengths[owner[where]], pa.int32())], ["hash", "cls", "side", "at", "len"])
-
-    return spread(records).mapInArrow(run, "hash bigint, cls bigint, side tinyint, at int, len int")
-
-
-def scattered(records: DataFrame) -> DataFrame:
-    """``eval_cls``, ``train_cls`` of all classes of ``records`` whose edit distance may be below a tenth: so many segments
-    as that many edits must leave whole are in the other text, moved by no more than the edits before and after allow."""
-    cut = segments(records)
-    moved = "(abs(e.at - t.at) + abs((e.len - e.at) - (t.len - t.at))) * 10 < greatest(e.len, t.len)"
-    met = cut.alias("e").join(cut.alias("t"), F.expr(f"e.hash = t.hash and e.side < t.side and e.cls <> t.cls and {moved}"))
-    need = f"t.len div ({_SIZE.format(n='t.len')}) - (greatest(e.len, t.len) + 9) div 10 + 1"
-    met = met.select(F.col("e.cls").alias("eval_cls"), F.col("t.cls").alias("train_cls"), F.expr(need).cast("int").alias("need"))
-    return met.groupBy("eval_cls", "train_cls").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("eval_cls", "train_cls")
+def meetings(evaluation: DataFrame, training: DataFrame, key: str = "_id") -> DataFrame:
+    """``eval_rep``, ``train_rep`` of the records whose offers meet as they must."""
+    e, t = evaluation.withColumnRenamed(key, "eval_rep").alias("e"), training.withColumnRenamed(key, "train_rep").alias("t")
+    shift, longer = "(e.at - t.at)", "greatest(e.len, t.len)"
+    ordinal, whole = "(t.tag div 8)", "(t.tag div 2 % 4)"
+    moved = f"abs({shift}) < {ordinal} and abs(e.len - t.len - {shift}) <= ({longer} - 1) div 10 + {whole} - {ordinal}"
+    met = e.join(t, F.expr(f"e.hash = t.hash and e.tag % 2 = t.tag % 2 and (e.tag % 2 = 1 or ({moved}))"))
+    gram = F.expr("e.tag % 2 = 1")
+    met = met.select("eval_rep", "train_rep", F.when(gram, F.expr("greatest(e.tag, t.tag) div 2")).alias("grams"), F.when(~gram, F.expr(whole)).alias("whole"))
+    sums = met.groupBy("eval_rep", "train_rep").agg(*[f(c).alias(f"{c}_{n}") for c in ("grams", "whole") for n, f in (("met", F.count), ("need", F.max))])
+    return sums.where("grams_met >= grams_need or whole_met >= whole_need").select("eval_rep", "train_rep")
 
 
 # --- comparison in full -----------------------------------------------------------------------------------------------
 
-_PIECES = re.compile("[.!?។៕。！？\n]+|(?<=[ก-๎ກ-ໟ])[  ]+(?=[ก-๎ກ-ໟ])")
+_PIECES = re.compile("[.!?។៕。！？\n]+|(?<=[ก-๎ກ-ໟ])[  ]+(?=[ก-๎ກ-ໟ])")
 
 
 def edit_distance(a: bytes | str, b: bytes | str) -> int:
@@ -245,14 +243,15 @@ def _uncovered(a: str, b: str, n: int = GRAM) -> int:
 def difference(a: str, b: str) -> float:
     """The part of the letters and digits of two texts that differs, in the best order of their sentences found by
     pairing equal ones, then the nearest ones."""
-    fa, fb = folded([a, b])
+    return _difference(a, b, *folded([a, b]))
+
+
+def _difference(a: str, b: str, fa: str, fb: str) -> float:
     whole = max(len(fa), len(fb))
     if whole == 0:
         return 1.0
     if abs(len(fa) - len(fb)) >= DIFFER * whole:
         return abs(len(fa) - len(fb)) / whole
-    if whole > LONG and (cover := max(_uncovered(fa, fb), _uncovered(fb, fa))) < DIFFER * whole:
-        return cover / whole  # near already, without the edit distance
     best = edit_distance(fa, fb)
     if best >= DIFFER * whole:
         best = min(best, max(_uncovered(fa, fb), _uncovered(fb, fa)))  # blocks that moved
@@ -260,8 +259,6 @@ def difference(a: str, b: str) -> float:
         return best / whole
     pa_, pb_ = (Counter(p for p in folded(_PIECES.split(t)) if p) for t in (a, b))
     rest_a, rest_b = list((pa_ - pb_).elements()), list((pb_ - pa_).elements())
-    if max(sum(map(len, rest_a)), sum(map(len, rest_b))) >= 0.6 * whole:
-        return best / whole
     holders: dict[str, set[int]] = {}  # only sentences with four letters in a row in common can be near
     for j, y in enumerate(rest_b):
         for k in range(max(1, len(y) - 3)):
@@ -285,23 +282,37 @@ def _containment(a: str, b: str, n: int = GRAM) -> float:
     return len(mine & {b[i : i + n] for i in range(max(1, len(b) - n + 1))}) / len(mine)
 
 
+def may_be_near(cps: np.ndarray, starts: np.ndarray, bins: int = 128) -> np.ndarray:
+    """For texts 0, 2, .. and 1, 3, .. in pairs: whether their letters, in any order, are near enough. An edit changes two
+    of the numbers of letters of a kind by one."""
+    n = len(starts) - 1
+    cell = owners(starts) * bins + (cps * np.uint32(2654435761) >> np.uint32(25)).astype(np.int64)
+    many = np.bincount(cell, minlength=n * bins).reshape(n, bins)
+    apart = np.abs(many[0::2] - many[1::2]).sum(axis=1)
+    longer = np.maximum(*np.diff(starts).reshape(-1, 2).T)
+    return apart <= 2 * ((longer - 1) // 10)
+
+
 def compared(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (eval_cls, train_cls, eval_text, train_text) with ``containment`` of the evaluation text in the
+    """``pairs`` (eval_rep, train_rep, eval_text, train_text) with ``containment`` of the evaluation text in the
     training text and the ``difference`` of both, below DIFFER only."""
-    ship(pairs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                d = difference(x, y)
-                if d < DIFFER:
-                    fx, fy = folded([x, y])
-                    out.append((a, b, _containment(fx, fy), d))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["eval_cls", "train_cls", "containment", "difference"])
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        both = [t for pair in zip(strings(batch, "eval_text"), strings(batch, "train_text"), strict=True) for t in pair]
+        cps, starts = fold(both, marks=False)
+        keep, rows = [], []
+        for i in np.flatnonzero(may_be_near(cps, starts)):
+            x, y = (cps[starts[k] : starts[k + 1]].tobytes().decode("utf-32-le") for k in (2 * i, 2 * i + 1))
+            d = _difference(both[2 * i], both[2 * i + 1], x, y)
+            if d < DIFFER:
+                keep.append(i)
+                rows.append((_containment(x, y), d))
+        at = np.array(keep, np.int64)
+        values = np.array(rows, np.float64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([take(batch, "eval_rep", at), take(batch, "train_rep", at), pa.array(values[:, 0]), pa.array(values[:, 1])], ["eval_rep", "train_rep", "containment", "difference"])
 
-    return pairs.select("eval_cls", "train_cls", "eval_text", "train_text").mapInArrow(run, "eval_cls bigint, train_cls bigint, containment double, difference double")
+    own = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ("eval_rep", "train_rep"))
+    return map_text(pairs.select("eval_rep", "train_rep", "eval_text", "train_text"), "eval_text", run, f"{own}, containment double, difference double", thin=False)
 
 
 def cross_split_overlaps(records: DataFrame, key: str = "rec_id", split: str = "split", text: str = "text", share: float = SHARE) -> DataFrame:
@@ -310,21 +321,21 @@ def cross_split_overlaps(records: DataFrame, key: str = "rec_id", split: str = "
 
     Null keys, null texts and texts without letters and digits give no pair; a record delivered again counts once; a
     split other than train, validation and test takes no part; other columns are ignored."""
-    rows = records.select(F.col(key).alias("_id"), F.lower(F.trim(F.col(split))).alias("_split"), F.col(text).alias("_text"))
-    rows = rows.where("_id is not null and _text is not null and _split in ('train', 'validation', 'test')")
-    rows = rows.select("_id", F.xxhash64("_text").alias("cls"), F.when(F.col("_split") == "train", 2).otherwise(1).cast("tinyint").alias("side"), "_text")
-    counts = rarity(rows, "_text")
-    offered = offers(rows.select("cls", "side", "_text"), counts, share=share)
-    # One exchange serves both sides: the condition on the sides can't be pushed below it.
-    met = offered.alias("e").join(offered.alias("t"), (F.col("e.hash") == F.col("t.hash")) & (F.col("e.side") < F.col("t.side")) & (F.col("e.cls") != F.col("t.cls")))
-    met = met.select(F.col("e.hash").alias("hash"), F.col("e.cls").alias("eval_cls"), F.col("t.cls").alias("train_cls"), F.greatest("e.need", "t.need").alias("need")).distinct()
-    met = met.groupBy("eval_cls", "train_cls").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("eval_cls", "train_cls")
-    met = met.union(scattered(rows.select("cls", "side", "_text"))).distinct()
-    texts = rows.select("cls", "_text").dropDuplicates(["cls"])
-    pairs = met.join(texts.select(F.col("cls").alias("eval_cls"), F.col("_text").alias("eval_text")), "eval_cls").join(texts.select(F.col("cls").alias("train_cls"), F.col("_text").alias("train_text")), "train_cls")
-    near = compared(pairs)
-    members = rows.where(F.col("_text").rlike(r"[\p{L}\p{N}]")).select("_id", "cls", "side").distinct()
-    ours, theirs = members.where("side = 1").select(F.col("_id").alias("eval_id"), F.col("cls").alias("eval_cls")), members.where("side = 2").select(F.col("_id").alias("train_id"), F.col("cls").alias("train_cls"))
+    side = F.when(F.lower(F.trim(F.col(split))) == "train", TRAINING).otherwise(EVALUATION).cast("tinyint")
+    rows = records.where(F.lower(F.trim(F.col(split))).isin("train", "validation", "test"))
+    rows = rows.select(F.col(key).alias("_id"), side.alias("side"), F.col(text).alias("_text")).where("_id is not null and _text is not null")
+    rows = rows.withColumn("cls", F.unhex(F.md5(F.col("_text").cast("binary"))))
+    counts = rarity(rows)
+    held, train = rows.where(F.col("side") == EVALUATION), rows.where(F.col("side") == TRAINING)
+    met = meetings(offers(held, counts, False, share=share), offers(train, counts, True, share=share))
+    of = lambda part, name: part.select(F.col("_id").alias(f"{name}_rep"), F.col("_text").alias(f"{name}_text"))
+    near = compared(met.join(of(held, "eval"), "eval_rep").join(of(train, "train"), "train_rep"))
+    # From the records that were compared to all records with the same texts.
+    member = lambda part, name: part.where(F.col("_text").rlike(r"[\p{L}\p{N}]")).select(F.col("_id").alias(f"{name}_id"), F.col("cls").alias(f"{name}_cls")).distinct()
+    ours, theirs = member(held, "eval"), member(train, "train")
+    for name, members in (("eval", ours), ("train", theirs)):
+        near = near.join(members.withColumnRenamed(f"{name}_id", f"{name}_rep"), f"{name}_rep").drop(f"{name}_rep")
+    near = near.where("eval_cls <> train_cls").groupBy("eval_cls", "train_cls").agg(F.max("containment").alias("containment"), F.min("difference").alias("difference"))
     close = near.join(ours, "eval_cls").join(theirs, "train_cls").select("eval_id", "train_id", "containment", "difference")
     same = ours.join(theirs, F.col("eval_cls") == F.col("train_cls")).select("eval_id", "train_id", F.lit(1.0).alias("containment"), F.lit(0.0).alias("difference"))
     return same.unionByName(close)
