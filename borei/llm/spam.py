@@ -1,10 +1,10 @@
 """Problem 9: pages made of repeated keywords, links or product tags rather than sentences.
 
 Each page is cut into units (lines, and sentences within them) that are prose or not by what they hold: marks at their
-ends, links, tags, separators, repeated words. Content and link features of a bounded sample of pages, labelled weakly
-(clear cases by their share of prose), train bagged decision trees; all pages are then scored by the trees in numpy,
-scores are smoothed with the spam rate of their host, and of the pages above a loose threshold those count whose prose
-is at most half of their text.
+ends, links, tags, codes, separators, repeated words. Content and link features of a bounded sample of pages, labelled
+weakly by votes of separate signs, train bagged decision trees; all pages are then scored by the trees in numpy, scores
+are smoothed with the spam rate of their host, and the pages with a smoothed score of one half or more are found. The
+share of prose is one of the features; nothing but the score decides.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from borei.session import use_checkpoints
 FIT_ROWS = 20_000
 #: Code points of a text below which it is no case.
 SHORT = 40
-#: Score after smoothing from which a page is looked at in full; weight of its host; pages worth of prior in a host's rate.
-LOOK, HOST_WEIGHT, HOST_PRIOR = 0.2, 0.15, 20.0
+#: Score after smoothing from which a page is found; weight of its host; pages worth of prior in a host's rate.
+FOUND, HOST_WEIGHT, HOST_PRIOR = 0.5, 0.15, 20.0
 
 _HTML = re.compile(r"</?(?![Aa]\b[^<>]*://)[A-Za-z][^<>]{0,80}>")
 _LINK = re.compile(r"\(?(?:https?://|www\.)[^\s)|,;]+\)?", re.IGNORECASE)
@@ -33,11 +33,13 @@ _TAG = re.compile(r"(?<!\S)#\S+")
 _SLUG = re.compile(r"(?<!\S)[^\s,;|-]+(?:-[^\s,;|-]+)+(?=[,;|\s]|$)")
 _LABEL = re.compile(r"(?<!\S)[A-Za-z]{2,12}:(?=\s?\S)")
 _CODE = re.compile(r"(?<!\S)(?:[A-Z]{4,}|\d+(?:-\d+)*)(?!\S)")
+_ARTICLE = re.compile(r"(?<![^\W_])[A-Z]{2,5}-?\d{3,}(?![^\W_])")
+_DIGIT = re.compile(r"\d")
 _SEPARATOR = re.compile(r"[|·»•›;/~=]|(?<=\s)[-–—*](?=\s)")
 _END = re.compile(r"[.!?។៕。！？…][\s”»\"')）]*$")
 _TAI = re.compile("[ก-ฺเ-๎ກ-ຽເ-໎ໜ-ໟ]")
 _HAN = re.compile("[一-鿿]")
-FEATURES = ("prose", "prose_strict", "prose_units", "links", "tags", "separators", "ends", "unit_letters", "repeated_grams", "repeated_units", "labels", "codes", "units_short")
+FEATURES = ("prose", "prose_strict", "prose_units", "links", "tags", "separators", "ends", "unit_letters", "repeated_grams", "repeated_units", "labels", "codes", "units_short", "articles", "page_repeats")
 
 
 def _lines(text: str) -> list[str]:
@@ -56,10 +58,10 @@ def _lines(text: str) -> list[str]:
     return out
 
 
-def _fresh(unit: str) -> float:
-    """The share of the unit's 5-grams that are its first of their kind."""
-    n = len(unit) - 4
-    return len({unit[i : i + 5] for i in range(n)}) / n if n > 0 else 1.0
+def _fresh(text: str, size: int = 5) -> float:
+    """The share of the text's n-grams that are its first of their kind."""
+    n = len(text) - size + 1
+    return len({text[i : i + size] for i in range(n)}) / n if n > 0 else 1.0
 
 
 def _is_prose(unit: str, bare: str, odd: int, fresh: float, heads: dict[str, int]) -> int:
@@ -68,8 +70,8 @@ def _is_prose(unit: str, bare: str, odd: int, fresh: float, heads: dict[str, int
     size, kept = len(unit), len(bare)
     if kept < 0.6 * size or (kept >= 40 and fresh < 0.6) or (odd > 2 and odd > kept / 45):
         return 0
-    if len(_TAI.findall(bare)) >= 25:
-        return 2
+    if len(_TAI.findall(bare)) >= 25:  # no marks end sentences, but a separator every few words makes a list
+        return 0 if odd > kept / 40 else 2
     if kept < (8 if len(_HAN.findall(bare)) > 4 else 18):
         return 0
     if _END.search(unit):
@@ -89,7 +91,7 @@ def features(units: list[str]) -> np.ndarray:
         w = u.split(None, 1)[:1]
         if w:
             heads[w[0].lower()] = heads.get(w[0].lower(), 0) + 1
-    prose = strict = prose_units = links = tags = seps = ends = labels = codes = short = 0
+    prose = strict = prose_units = links = tags = seps = ends = labels = codes = short = articles = 0
     stale = 0.0
     for u in units:
         bare = u
@@ -106,18 +108,19 @@ def features(units: list[str]) -> np.ndarray:
         if len(capitals) > 4:  # text in capitals is no list of codes
             capitals = [x for x in capitals if not x.isalpha()]
         c = len(capitals), len(_SLUG.findall(bare)) if "-" in bare else 0
-        fresh = _fresh(bare)
-        kind = _is_prose(u, bare, s + l + c[1] + c[0] // 2, fresh, heads)
+        fresh, a = _fresh(bare), len(_ARTICLE.findall(bare))
+        kind = _is_prose(u, bare, s + l + c[1] + c[0] // 2 + a, fresh, heads)
         prose += len(u) * (kind > 0)
         strict += len(u) * (kind == 2)
         prose_units += kind > 0
         seps, labels, codes = seps + s, labels + l, codes + sum(c)
+        articles += a
         stale += (1 - fresh) * len(u)
         ends += bool(_END.search(u))
         short += len(u) < 40
     n = max(1, len(units))
     alike = 1 - len({u[:16] for u in units}) / n
-    return np.array([prose / size, strict / size, prose_units / n, links / size, tags / size, 20 * seps / size, 70 * ends / size, min(size / n, 200.0), stale / size, alike, 10 * labels / size, 10 * codes / size, short / n], np.float32)
+    return np.array([prose / size, strict / size, prose_units / n, links / size, tags / size, 20 * seps / size, 70 * ends / size, min(size / n, 200.0), stale / size, alike, 10 * labels / size, 10 * codes / size, short / n, 20 * articles / size, 1 - _fresh(_DIGIT.sub("0", "".join(units)), 8)], np.float32)
 
 
 def _matrix(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -194,10 +197,11 @@ class Trees:
 
 
 def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 for clear spam, 0 for clear prose, -1 for pages in between, by votes of separate signs."""
+    """1 for clear spam, 0 for clear prose, -1 for pages in between, by votes of separate signs: pages of little prose
+    with a sign of spam, and pages of prose with no more than one."""
     f = {name: x[:, i] for i, name in enumerate(FEATURES)}
-    signs = (f["links"] > 0.3).astype(int) + (f["tags"] > 0.3) + (f["repeated_grams"] > 0.5) + (f["separators"] > 0.3) + (f["ends"] < 0.1) + (f["labels"] > 0.2) + (f["units_short"] > 0.8) + (f["codes"] > 0.2)
-    return np.where((f["prose"] < 0.3) & (signs >= 1), 1, np.where(f["prose"] > 0.7, 0, -1))
+    signs = (f["links"] > 0.3).astype(int) + (f["tags"] > 0.3) + (f["repeated_grams"] > 0.5) + (f["separators"] > 0.3) + (f["ends"] < 0.1) + (f["labels"] > 0.2) + (f["units_short"] > 0.8) + (f["codes"] > 0.2) + (f["articles"] > 0.3) + (f["page_repeats"] > 0.5)
+    return np.where((f["prose"] < 0.4) & (signs >= 1), 1, np.where((f["prose"] > 0.6) & ((signs < 2) | (f["prose_strict"] > 0.9)), 0, -1))
 
 
 def fit_trees(pages: DataFrame, text: str = "text", rows: int = FIT_ROWS) -> Trees | None:
@@ -235,7 +239,7 @@ def scored_pages(pages: DataFrame, trees: Trees | None, key: str = "doc_id", hos
 
 
 def spam_pages(pages: DataFrame, trees: Trees | None, key: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """``key`` of each page more than half of which isn't sentences, with its smoothed score.
+    """``key`` of each page more than half of which isn't sentences, as the trees and its host tell, with its score.
 
     Host rates are sums over all judged pages, pre-aggregated map-side, so a host with a third of all pages is one row
     of a small table. Null, blank and short texts are never found; a null host is one host."""
@@ -252,4 +256,4 @@ def spam_pages(pages: DataFrame, trees: Trees | None, key: str = "doc_id", host:
 
     smooth = 1 / (1 + F.exp(-(logit(F.col("score")) + HOST_WEIGHT * (logit(F.col("rate")) - logit(F.lit(overall))))))
     near = scored.join(rates, "host").select(key, "host", smooth.alias("score"), "prose")
-    return near.where((F.col("score") >= LOOK) & (F.col("prose") <= 0.5))
+    return near.where(F.col("score") >= FOUND)
