@@ -1,7 +1,7 @@
 """Problem 7: the whole corpus encoded with a public byte-level BPE vocabulary, as a monoid tree reduction.
 
-A piece of text is the pair (text, ids with the places where pieces of the splitting pattern begin). Short texts are
-one leaf. A long text is cut in halves down to leaves, each is encoded, and neighbours are joined: the pattern reads
+A piece of text is the pair (text, ids with the places where pieces of the splitting pattern begin). Every text is cut
+in halves down to leaves, each is encoded, and neighbours are joined: the pattern reads
 from left to right, looks no further than one character past a match and never back, so all matches of the left part
 but its last ones are those of the joined text. From the last one that is sure, a window over the boundary is split
 and encoded anew; it grows until one of its matches begins where a match of the right part begins. From there on both
@@ -17,13 +17,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from borei.llm._text import lists, map_text, strings
 
 #: Where the vocabulary files lie, and the code points of a leaf and of the first window over a boundary.
-TOKENIZERS, LEAF, WINDOW = os.environ.get("BOREI_TOKENIZERS", "/opt/tokenizers"), 8192, 64
+TOKENIZERS, LEAF, WINDOW = os.environ.get("BOREI_TOKENIZERS", "/opt/tokenizers"), 256, 16
+#: Matches of the pattern whose ids are remembered, at most.
+REMEMBERED = 1 << 18
 #: The pattern that splits text before merging (a fixed value of the vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -48,13 +51,21 @@ class Encoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.words = tiktoken.Encoding("borei", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.split = regex.compile(PATTERN)
+        self.known: dict[str, list[int]] = {}
 
     def leaf(self, text: str) -> Piece:
-        begin, at, ids = [], [], []
-        for m in self.split.finditer(text):
-            begin.append(m.start())
+        begin, at, ids, pos, known = [], [], [], 0, self.known
+        for match in self.split.findall(text):  # every character is in a match
+            begin.append(pos)
             at.append(len(ids))
-            ids.extend(self.words.encode_ordinary(m[0]))
+            pos += len(match)
+            own = known.get(match)
+            if own is None:
+                own = self.words.encode_ordinary(match)
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[match] = own
+            ids += own
         return Piece(text, begin, at, ids)
 
     def join(self, a: Piece, b: Piece) -> Piece:
@@ -88,10 +99,8 @@ class Encoder:
         half = len(text) // 2
         return self.join(self.reduce(text[:half], leaf), self.reduce(text[half:], leaf))
 
-    def encode(self, text: str | None, leaf: int = LEAF) -> np.ndarray | list[int]:
-        if not text:
-            return []
-        return self.words.encode_ordinary(text) if len(text) <= leaf else self.reduce(text, leaf).ids
+    def encode(self, text: str | None, leaf: int = LEAF) -> list[int]:
+        return self.reduce(text, leaf).ids if text else []
 
     @lru_cache(1)
     def _bytes(self) -> dict[int, bytes]:
@@ -116,10 +125,11 @@ def encoder(path: str) -> Encoder:
 def with_token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None, leaf: int = LEAF) -> DataFrame:
     """``key`` and ``ids``, the token ids of each row's text without special tokens (text that spells one is ordinary
     text). Null and empty texts give the empty list; one row per row of the table, whatever its key."""
-    path = os.path.join(folder or TOKENIZERS, f"{vocabulary}.tiktoken")
+    name = f"{vocabulary}.tiktoken"
+    df.sparkSession.sparkContext.addFile(os.path.join(folder or TOKENIZERS, name))  # executors needn't have the folder
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = encoder(path)
+        coder = encoder(SparkFiles.get(name))
         rows = [coder.encode(t, leaf) for t in strings(batch, "_text")]
         counts = np.array([len(r) for r in rows], np.int64)
         flat = np.fromiter((i for r in rows for i in r), np.int32, int(counts.sum()))

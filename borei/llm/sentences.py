@@ -2,10 +2,12 @@
 
 A lexer turns each text into events (marks, quotes, brackets, blank lines, spaces between Thai or Lao letters); what a
 point means is told by what stands next to it, so points of abbreviations, initials, decimals and ellipses are no
-events. A transducer over the events keeps which quote and how many brackets are open, and tells after which events a
-sentence ends. A long sequence is cut in blocks; for each block its function from states to states is worked out for
-all states at once, the functions are composed by a prefix scan (log-many array steps), and then all blocks run from
-their known first states. All texts of a batch are one sequence, each begun by an event that resets every state.
+events. A transducer over the events keeps which quote is open, and tells after which events a sentence may end. A long
+sequence is cut in blocks; for each block its function from states to states is worked out for all states at once, the
+functions are composed by a prefix scan (log-many array steps), and then all blocks run from their known first states.
+How many brackets are open, whatever their number, is a prefix scan too: of running sums and their running minimum (a
+closing bracket that closes nothing doesn't count). A sentence ends where both allow it. All texts of a batch are one
+sequence, each begun by an event that resets everything.
 """
 
 from __future__ import annotations
@@ -45,40 +47,43 @@ _LEX = re.compile(
 _TAI_CHAR = re.compile(f"[{_TAI}]")
 _BEFORE = re.compile(rf"[{_LATIN}][{_LATIN}.]*\Z")
 _NEXT_NEW = re.compile(rf"\s+(?:[«“\"(]\s*[{_LATIN}]|(?P<word>[{_UPPER}][{_LATIN}']*))")
+_LATIN_OR_DIGIT = re.compile(rf"[{_LATIN}\d]")
 _NEXT_LOWER = re.compile(rf"{_SPACE}+[{_LOWER}]")
 
 # Events. Quotes come as open, close, and close after a mark with a new sentence to follow.
 RESET, MARK, TAI, LEFT, RIGHT = range(5)
 _KINDS = {"«": 1, "»": 1, "“": 2, "”": 2, '"': 3, "「": 4, "」": 4, "『": 5, "』": 5}
 OPEN, CLOSE, CLOSE_NEW, TOGGLE, TOGGLE_NEW = 5, 11, 17, 23, 24
-EVENTS, QUOTES, DEPTHS = 25, 6, 3
+EVENTS, QUOTES = 25, 6
 
 
 @lru_cache(None)
 def _machine() -> tuple[np.ndarray, np.ndarray]:
-    """The transducer: next state and whether a sentence ends, by state (quote times depth) and event."""
-    step = np.tile(np.arange(QUOTES * DEPTHS)[:, None], (1, EVENTS)).astype(np.int16)
-    ends = np.zeros((QUOTES * DEPTHS, EVENTS), bool)
-    for q in range(QUOTES):
-        for d in range(DEPTHS):
-            s = q * DEPTHS + d
-            step[s, RESET], ends[s, RESET] = 0, True
-            ends[s, [MARK, TAI]] = q == 0 and d == 0
-            step[s, LEFT], step[s, RIGHT] = q * DEPTHS + min(d + 1, DEPTHS - 1), q * DEPTHS + max(d - 1, 0)
-            for k in range(1, QUOTES):
-                if q == 0:
-                    step[s, OPEN + k] = k * DEPTHS + d
-                if q == k:
-                    step[s, [CLOSE + k, CLOSE_NEW + k]] = d
-                    ends[s, CLOSE_NEW + k] = d == 0
-            if q in (0, 3):
-                step[s, [TOGGLE, TOGGLE_NEW]] = (3 - q) * DEPTHS + d
-                ends[s, TOGGLE_NEW] = q == 3 and d == 0
+    """The transducer: next state and whether a sentence may end, by state (the open quote) and event."""
+    step = np.tile(np.arange(QUOTES)[:, None], (1, EVENTS)).astype(np.int16)
+    ends = np.zeros((QUOTES, EVENTS), bool)
+    step[:, RESET], ends[:, RESET] = 0, True
+    ends[0, [MARK, TAI]] = True
+    for k in range(1, QUOTES):
+        step[0, OPEN + k] = k
+        step[k, [CLOSE + k, CLOSE_NEW + k]] = 0
+        ends[k, CLOSE_NEW + k] = True
+    step[0, [TOGGLE, TOGGLE_NEW]], step[3, [TOGGLE, TOGGLE_NEW]] = 3, 0
+    ends[3, TOGGLE_NEW] = True
     return step, ends
 
 
+def depths(events: np.ndarray) -> np.ndarray:
+    """How many brackets are open before each event."""
+    steps = (events == LEFT).astype(np.int64) - (events == RIGHT)
+    steps[events == RESET] = -len(events) - 1  # below all that was open
+    sums = np.cumsum(steps)
+    after = sums - np.minimum(np.minimum.accumulate(sums), 0)
+    return np.concatenate([[0], after[:-1]])
+
+
 def run_machine(events: np.ndarray, block: int = 64) -> np.ndarray:
-    """Whether a sentence ends after each event: blocks as state functions, composed by a prefix scan."""
+    """Whether a sentence ends after each event: blocks as state functions, composed by a prefix scan, outside brackets."""
     step, ends = _machine()
     n = -(-len(events) // block)
     if not n:
@@ -100,7 +105,7 @@ def run_machine(events: np.ndarray, block: int = 64) -> np.ndarray:
     for j in range(block):
         out[:, j] = ends[state, grid[:, j]]
         state = step[state, grid[:, j]]
-    return out.reshape(-1)[: len(events)]
+    return out.reshape(-1)[: len(events)] & ((depths(events) == 0) | (events == RESET))
 
 
 @lru_cache(None)
@@ -176,9 +181,10 @@ def lex(text: str) -> list[tuple[int, int, int]]:
 
 def _new_sentence(text: str, a: int, b: int) -> bool:
     """Whether a new sentence follows the quote that closes at b, in a language with capital letters."""
-    before = re.search(rf"[{_LATIN}\d][.!?…\s]*\Z", text[max(0, a - 12) : a])
+    while a and (text[a - 1] in ".!?…" or text[a - 1].isspace()):
+        a -= 1
     after = _NEXT_NEW.match(text, b)
-    return bool(before and after and (after["word"] or "").lower() not in SAID.split())
+    return bool(a and _LATIN_OR_DIGIT.match(text, a - 1) and after and (after["word"] or "").lower() not in SAID.split())
 
 
 def _ends_at_point(text: str, a: int, b: int, cased: bool) -> bool:

@@ -176,6 +176,9 @@ CASES = [
     ("It was (see p. 3. Now) done! Yes", ["It was (see p. 3. Now) done!", "Yes"]),
     ('An "open quote. And more. End', ['An "open quote.', "And more.", "End"]),
     ("12 34", []), ("", []), (None, []), ("។ ។", []),
+    ("A one (b (c (d) e) f. Next g) h. Bel", ["A one (b (c (d) e) f. Next g) h.", "Bel"]),
+    ("It " + "(" * 10 + "is. Not" + ")" * 9 + " so. But) old. It rained.", ["It " + "(" * 10 + "is. Not" + ")" * 9 + " so. But) old.", "It rained."]),
+    ('Bel wrote: "The lamp is old' + "." * 30 + '" Then it rained.', ['Bel wrote: "The lamp is old' + "." * 30 + '"', "Then it rained."]),
 ]
 
 
@@ -188,10 +191,11 @@ def test_sentences(text, want):
 def test_scan_equals_one_step_at_a_time():
     step, ends = sentences._machine()
     events = np.random.default_rng(0).integers(0, sentences.EVENTS, 5001)
-    state, want = 0, []
+    state, depth, want = 0, 0, []
     for e in events:
-        want.append(bool(ends[state, e]))
+        want.append(bool(ends[state, e]) and (depth == 0 or e == sentences.RESET))
         state = step[state, e]
+        depth = 0 if e == sentences.RESET else max(0, depth + (e == sentences.LEFT) - (e == sentences.RIGHT))
     for block in (1, 7, 64, 9000):
         assert sentences.run_machine(events, block).tolist() == want
 
