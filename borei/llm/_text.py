@@ -45,8 +45,9 @@ def map_text(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return (spread(df) if thin else df).mapInArrow(run, schema)
 
 
-def table_sums(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, chunk: int, fan: int = 32) -> np.ndarray:
-    """The sum of the arrays of ``size`` counters that ``count`` makes of each task's batches.
+def table_sums(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, chunk: int, fan: int = 32, summed: int | None = None) -> np.ndarray:
+    """The sum of the arrays of ``size`` integers that ``count`` makes of each task's batches; what stands behind the first
+    ``summed`` ones is bits, and set where any task has set them.
 
     A tree of tasks adds them up chunk by chunk: on each level a group is ``fan`` tasks of the level before, so what one
     group reads and holds doesn't grow with the number of tasks. Only the sum, of fixed size, reaches the driver."""
@@ -79,7 +80,8 @@ def table_sums(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.nda
                     yield row()
                     total[:] = 0
                 at = (c, t)
-                total += unpacked(value)
+                join = np.add if summed is None or c * chunk < summed else np.bitwise_or
+                join(total, unpacked(value), out=total)
         if at is not None:
             yield row()
 
@@ -155,6 +157,8 @@ def hash_sample(df: DataFrame, column: str, rows: int) -> DataFrame:
 
 def latest(df: DataFrame, keys: list[str], results: list[str], order: str = "loaded_at") -> DataFrame:
     """One row per key of rows that were delivered more than once: the result of the latest delivery (ties: the
-    greatest result). Only keys and results are shuffled, never the texts, and they are combined map-side first."""
+    greatest result). Rows without a key are records of their own. Only keys and results are shuffled, never the texts,
+    and they are combined map-side first."""
     best = F.max(F.struct(F.col(order), *results)).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in results])
+    keyless = F.when(F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull(), F.monotonically_increasing_id())
+    return df.withColumn("_keyless", keyless).groupBy(*keys, "_keyless").agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in results])

@@ -315,7 +315,7 @@ def with_languages(df: DataFrame, model: LanguageModel, key: str = "id", text: s
 def mislabelled_segments(docs: DataFrame, model: LanguageModel, key: str = "id", text: str = "text", label: str = "language", order: str = "loaded_at") -> DataFrame:
     """(``key``, ``seg_no``, ``lang``): the segments of each document whose label is missing, names no language or
     another than its text's, and of each document that mixes languages. A record delivered again counts once, as it
-    was delivered last; texts without letters give no row; null keys are kept as one record."""
+    was delivered last; texts without letters give no row; rows without a key are records of their own."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

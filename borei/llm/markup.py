@@ -1,11 +1,14 @@
 """Problem 6: the structure of pages in HTML, Markdown, wiki markup, LaTeX or none, without the markup.
 
-A page is parsed into a tree: the page, its containers (templates, tables, comments, scripts, code blocks) and the
-elements that stand in them, wherever their marks occur. Which nodes a reader sees as content is told by a
-tree-structured graphical model: each node is content or not, unary potentials hang on its kind, potentials of parent
-and child on both kinds and states. They are counted on labelled pages, and sum-product message passing, upward from
-the leaves and downward from the root, gives each node's marginal. All trees of a batch are passed together, one array
-step per depth. Elements whose marginal is above one half come out, with what a reader sees of them.
+A page is parsed into a tree: the page, its containers (templates, tables, comments, scripts, code blocks, and what
+nothing closes) and the elements that stand in them, wherever their marks occur. Which nodes a reader sees as content
+is told by a tree-structured graphical model: each node is content or not; unary potentials hang on its kind and on its
+features (what the lines around it begin with, its length, its links), potentials of parent and child on both kinds and
+states. They are counted on labelled pages: pages as they are, labelled by their containers, and the same pages with
+the closing mark of a container taken away, labelled by where the container ended before. So nothing of the parse tells
+the labels of what stands behind a mark that isn't closed; the features do. Sum-product message passing, upward from the
+leaves and downward from the root, gives each node's marginal. All trees of a batch are passed together, one array step
+per depth. Elements whose marginal is above one half come out, with what a reader sees of them.
 """
 
 from __future__ import annotations
@@ -24,16 +27,20 @@ from pyspark.sql import functions as F
 
 from borei.llm._text import hash_sample, latest, map_text, strings
 
-KINDS = ("page", "template", "table", "comment", "script", "note", "literal", "code", "formula", "heading", "list_item")
-HIDDEN = frozenset({"template", "table", "comment", "script", "note"})
+KINDS = ("page", "template", "table", "comment", "script", "note", "literal", "code", "formula", "heading", "list_item", "unclosed")
+HIDDEN = frozenset({"template", "table", "comment", "script", "note", "unclosed"})
 OPAQUE = frozenset({"comment", "script", "code", "formula", "literal"})
 #: Pages that train the potentials, at most (those with the smallest hashes of their text).
 FIT_ROWS = 2_000
+#: Pages' worth of prior that what stands in a container that hides is hidden.
+PRIOR = 20.0
+#: Containers of a page that are opened in turn for training, at most.
+OPENED = 3
 
 
 @dataclass
 class Node:
-    """A part of a page: its kind, where it stands, its parent's index, and what it says."""
+    """A part of a page: its kind, where it stands, its parent's index, what it says, and the cell of its features."""
 
     kind: str
     start: int
@@ -41,6 +48,7 @@ class Node:
     parent: int = -1
     content: str = ""
     depth: int = field(default=0)
+    cell: int = field(default=0)
 
 
 def tidy(text: str) -> str:
@@ -162,13 +170,18 @@ def _wiki_containers(text: str) -> list[Node]:
                     nodes.append(stack[k])
                     del stack[k:]
                     break
-    for node in stack:  # what nothing closes ends with its line
-        line = text.find("\n", node.start)
-        node.end = len(text) if line < 0 else line
-        nodes.append(node)
+    end = 0
+    for node in stack:  # what nothing closes may reach to the end of its paragraph
+        if node.start >= end:
+            stop = _PARAGRAPH.search(text, node.start)
+            end = stop.start() if stop else len(text)
+            nodes.append(Node("unclosed", node.start, end))
     return nodes
 
 
+_PARAGRAPH = re.compile(r"\n[ \t]*\n|\n=")
+
+
 def _unwrapped(code: str) -> str:
     m = re.fullmatch(r"\s*<nowiki>(.*)</nowiki>\s*", code, re.DOTALL | re.IGNORECASE)
     return m[1] if m else code
@@ -488,10 +501,10 @@ PARSERS = {"wiki": parse_wiki, "html": parse_html, "markdown": parse_markdown, "
 INLINE = {"wiki": wiki_inline, "html": html_inline, "markdown": markdown_inline, "latex": latex_inline, "none": tidy}
 
 
-def parse(text: str) -> list[Node]:
-    """The page's tree: the page first, then all parts in the order of their beginning, parents before children."""
-    kind = markup_of(text)
-    found = PARSERS[kind](text)
+def parse(text: str, kind: str | None = None) -> list[Node]:
+    """The page's tree: the page first, then all parts in the order of their beginning, parents before children.
+    ``kind`` is the markup, if it is known."""
+    found = PARSERS[kind or markup_of(text)](text)
     found.sort(key=lambda n: (n.start, -n.end, KINDS.index(n.kind)))
     nodes = [Node("page", 0, len(text) + 1)]
     open_: list[int] = [0]
@@ -501,6 +514,7 @@ def parse(text: str) -> list[Node]:
         n.parent = open_[-1]
         n.end = min(n.end, nodes[n.parent].end)
         n.depth = nodes[n.parent].depth + 1
+        n.cell = features(text, n)
         nodes.append(n)
         open_.append(len(nodes) - 1)
     return nodes
@@ -509,8 +523,29 @@ def parse(text: str) -> list[Node]:
 # --- the graphical model ----------------------------------------------------------------------------------------------
 
 
+#: Cells of features: what the lines before and after begin with, length (three steps), links.
+CELLS = 2 * 2 * 3 * 2
+
+
+def _is_field(text: str, begin: int) -> bool:
+    """Whether the line that begins there is a field of a template or a row of a table."""
+    while begin < len(text) and text[begin] in " \t":
+        begin += 1
+    return text[begin : begin + 1] in ("|", "!") and begin < len(text)
+
+
+def features(text: str, n: Node) -> int:
+    line = text.rfind("\n", 0, n.start)
+    before = line >= 0 and _is_field(text, text.rfind("\n", 0, line) + 1)
+    end = text.find("\n", max(n.start, n.end - 1))
+    after = end >= 0 and _is_field(text, end + 1)
+    size = min(2, (n.end - n.start) // 24)
+    links = text.find("[", n.start, n.end) >= 0 or text.find("://", n.start, n.end) >= 0
+    return ((before * 2 + after) * 3 + size) * 2 + links
+
+
 def label(nodes: list[Node]) -> np.ndarray:
-    """Labels of a page's nodes for training: content unless hidden by its kind or standing in what hides."""
+    """Labels of a whole page's nodes: content unless hidden by its kind or standing in what hides."""
     out = np.ones(len(nodes), np.int64)
     for i, n in enumerate(nodes[1:], 1):
         parent = nodes[n.parent]
@@ -519,42 +554,73 @@ def label(nodes: list[Node]) -> np.ndarray:
     return out
 
 
+def labelled(text: str) -> Iterator[tuple[list[Node], np.ndarray]]:
+    """The page with its labels, then with one container after the other left open, labelled as if it were closed. Pages
+    with something unclosed tell nothing."""
+    kind = markup_of(text)
+    nodes = parse(text, kind)
+    if any(n.kind == "unclosed" for n in nodes):
+        return
+    yield nodes, label(nodes)
+    closed = [n for n in nodes if n.kind in ("template", "table") and text[n.end - 2 : n.end] in ("}}", "|}")] if kind == "wiki" else []
+    for gone in sorted(closed, key=lambda n: n.start - n.end)[:OPENED]:
+        cut = gone.end - 2
+        hidden = np.zeros(len(text) + 2, np.int64)  # +1 where a part that hides begins, -1 where it ends
+        for n in nodes[1:]:
+            if n.kind in HIDDEN or n.kind in OPAQUE:
+                hidden[n.start + 1] += 1
+                hidden[n.end] -= 1
+        hidden = np.cumsum(hidden)
+        opened = parse(text[:cut] + text[gone.end :], "wiki")
+        states = [0 if n.kind in HIDDEN or hidden[n.start if n.start < cut else n.start + 2] else 1 for n in opened[1:]]
+        yield opened, np.array([1, *states], np.int64)
+
+
 class TreeModel:
-    """Log-potentials: ``unary`` by kind and state, ``pair`` by kinds and states of parent and child."""
+    """Log-potentials: ``unary`` by kind and state, ``cells`` by kind, cell of features and state, ``pair`` by kinds and
+    states of parent and child."""
+
+    def __init__(self, unary: np.ndarray, pair: np.ndarray, cells: np.ndarray):
+        self.unary, self.pair, self.cells = unary, pair, cells
 
-    def __init__(self, unary: np.ndarray, pair: np.ndarray):
-        self.unary, self.pair = unary, pair
+    SHAPES = ((len(KINDS), 2), (len(KINDS), 2, len(KINDS), 2), (len(KINDS), CELLS, 2))
 
-    @staticmethod
-    def count(pages: list[list[Node]], labels: list[np.ndarray]) -> np.ndarray:
-        """Kinds and states, then kinds and states of parents and children, as one flat array of counts."""
-        k = len(KINDS)
-        unary, pair = np.zeros((k, 2)), np.zeros((k, 2, k, 2))
+    @classmethod
+    def count(cls, pages: list[list[Node]], labels: list[np.ndarray]) -> np.ndarray:
+        """Kinds and states, kinds and states of parents and children, kinds and cells and states, as one flat array."""
+        unary, pair, cells = (np.zeros(s) for s in cls.SHAPES)
         for nodes, states in zip(pages, labels, strict=True):
             for n, s in zip(nodes, states, strict=True):
                 kind = KINDS.index(n.kind)
                 unary[kind, s] += 1
+                cells[kind, n.cell, s] += 1
                 if n.parent >= 0:
                     pair[KINDS.index(nodes[n.parent].kind), states[n.parent], kind, s] += 1
-        return np.concatenate([unary.reshape(-1), pair.reshape(-1)])
+        return np.concatenate([unary.reshape(-1), pair.reshape(-1), cells.reshape(-1)])
 
     @classmethod
     def of_counts(cls, counts: np.ndarray, alpha: float = 0.5) -> TreeModel:
-        k = len(KINDS)
-        unary, pair = counts[: 2 * k].reshape(k, 2) + alpha, counts[2 * k :].reshape(k, 2, k, 2) + alpha
+        parts = np.split(counts, np.cumsum([np.prod(s) for s in cls.SHAPES])[:-1])
+        unary, pair, cells = (p.reshape(s) + alpha for p, s in zip(parts, cls.SHAPES, strict=True))
+        for k, kind in enumerate(KINDS):
+            if kind == "unclosed":  # where the missing mark stood isn't known: features tell
+                pair[k] = 1.0
+            elif kind in HIDDEN or kind in OPAQUE:
+                pair[k, :, :, 0] += PRIOR
         root = np.log(unary / unary.sum(axis=1, keepdims=True))
-        root[1:] = 0.0  # all but the page get their evidence through their parents
-        return cls(root, np.log(pair / pair.sum(axis=3, keepdims=True)))
+        root[1:] = 0.0  # all but the page get their evidence through their parents and features
+        return cls(root, np.log(pair / pair.sum(axis=3, keepdims=True)), np.log(cells / cells.sum(axis=1, keepdims=True)))
 
     @classmethod
     def fit(cls, pages: list[list[Node]], labels: list[np.ndarray]) -> TreeModel:
         return cls.of_counts(cls.count(pages, labels))
 
-    def marginals(self, kind: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    def marginals(self, kind: np.ndarray, parent: np.ndarray, depth: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """P(content) of all nodes of a forest: one upward and one downward pass, a step per depth."""
-        belief = self.unary[kind].copy()
+        belief = self.unary[kind] + self.cells[kind, cell]
         message = np.zeros((len(kind), 2))
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
         for at in reversed(levels[1:]):
             table = self.pair[kind[parent[at]], :, kind[at], :]
             message[at] = np.logaddexp(table[:, :, 0] + belief[at, None, 0], table[:, :, 1] + belief[at, None, 1])
@@ -571,12 +637,12 @@ def fit_tree_model(pages: DataFrame, text: str = "text", rows: int = FIT_ROWS) -
     part = hash_sample(pages.select(F.col(text).alias("_text")), "_text", rows).select("_text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        trees = [parse(t) for t in strings(batch, "_text")]
-        counts = TreeModel.count(trees, [label(t) for t in trees])
+        pages = [page for t in strings(batch, "_text") for page in labelled(t)]
+        counts = TreeModel.count([nodes for nodes, _ in pages], [states for _, states in pages])
         cells = np.flatnonzero(counts)
         return pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(counts[cells], pa.float64())], ["cell", "n"])
 
-    total = np.zeros(2 * len(KINDS) + (2 * len(KINDS)) ** 2)
+    total = np.zeros(sum(int(np.prod(s)) for s in TreeModel.SHAPES))
     for r in map_text(part, "_text", run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         total[r.cell] = r.n
     return TreeModel.of_counts(total)
@@ -608,8 +674,8 @@ def elements(texts: list[str | None], titles: list[str | None], model: TreeModel
     first = np.cumsum(sizes) - sizes
     kind = np.array([KINDS.index(n.kind) for t in trees for n in t], np.int64)
     parent = np.array([n.parent + first[i] if n.parent >= 0 else -1 for i, t in enumerate(trees) for n in t], np.int64)
-    depth = np.array([n.depth for t in trees for n in t], np.int64)
-    seen = model.marginals(kind, parent, depth) if len(kind) else np.zeros(0)
+    depth, cell = (np.array([getattr(n, what) for t in trees for n in t], np.int64) for what in ("depth", "cell"))
+    seen = model.marginals(kind, parent, depth, cell) if len(kind) else np.zeros(0)
     out = []
     for i, tree in enumerate(trees):
         rows: list[tuple[str, int, str]] = []
@@ -646,9 +712,9 @@ def clean_text(text: str | None, model: TreeModel) -> str | None:
     and prose, each block on its own line; what a reader doesn't see is left out."""
     if text is None:
         return None
-    nodes = parse(text)
     kind = markup_of(text)
-    arrays = (np.array([KINDS.index(n.kind) for n in nodes]), np.array([n.parent for n in nodes]), np.array([n.depth for n in nodes]))
+    nodes = parse(text, kind)
+    arrays = (np.array([KINDS.index(n.kind) for n in nodes]), np.array([n.parent for n in nodes]), np.array([n.depth for n in nodes]), np.array([n.cell for n in nodes]))
     seen = model.marginals(*arrays)
     forms = {"heading": "# {}", "list_item": "- {}", "code": "```\n{}\n```", "formula": "${}$"}
     out, at = [], 0
@@ -665,17 +731,20 @@ def clean_text(text: str | None, model: TreeModel) -> str | None:
             prose(text[at : n.start])
             if s > 0.5 and n.kind in forms and n.content:
                 out.append(forms[n.kind].format(n.content))
-            at = n.end
+            line = text.find("\n", n.start, n.end) if n.kind == "unclosed" else -1  # of what isn't closed, the first line
+            at = line if line >= 0 else n.end
     prose(text[at:])
     return "\n".join(out)
 
 
-def with_clean_text(df: DataFrame, model: TreeModel, key: str = "page_id", text: str = "text") -> DataFrame:
-    """``key``, ``markup`` and ``clean``: which markup a page's text is in, and the text without it (null for null)."""
+def with_clean_text(df: DataFrame, model: TreeModel, key: str = "page_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the ``carry`` columns, ``markup`` and ``clean``: which markup a page's text is in, and the text without it
+    (null for null)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = strings(batch, "_text")
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([t and markup_of(t) for t in texts], pa.string()), pa.array([clean_text(t, shared.value) for t in texts], pa.string())], [key, "markup", "clean"])
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1 + len(carry))), pa.array([t and markup_of(t) for t in texts], pa.string()), pa.array([clean_text(t, shared.value) for t in texts], pa.string())], [key, *carry, "markup", "clean"])
 
-    return map_text(df.select(key, F.col(text).alias("_text")), "_text", run, f"`{key}` {df.schema[key].dataType.simpleString()}, markup string, clean string")
+    own = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    return map_text(df.select(key, *carry, F.col(text).alias("_text")), "_text", run, f"{own}, markup string, clean string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from borei.llm._text import latest
 from borei.llm.confusables import look_alike_pairs
 from borei.llm.encode import with_token_ids
 from borei.llm.langid import fit_model, mislabelled_segments, with_languages
@@ -27,8 +28,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "corpus_document", "id", "text")
-    return with_languages(docs, _model(spark, folder)).dropDuplicates(["id"])
+    docs = read_table(spark, folder, "corpus_document", "id", "text", "loaded_at")
+    found = with_languages(docs, _model(spark, folder), carry=("loaded_at",))
+    return latest(found, ["id"], ["lang", "confidence", "segments"])
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,8 +65,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
-    pages = read_table(spark, folder, "wiki_page", "page_id", "text")
-    return with_clean_text(pages, fit_tree_model(pages)).dropDuplicates(["page_id"])
+    pages = read_table(spark, folder, "wiki_page", "page_id", "text", "loaded_at")
+    return latest(with_clean_text(pages, fit_tree_model(pages), carry=("loaded_at",)), ["page_id"], ["markup", "clean"])
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
