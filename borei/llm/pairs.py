@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from borei.llm._text import codepoints, latest, map_text, mix, slices, strings
+from borei.llm._text import codepoints, latest, map_text, mix, slices, strings, table_sums
 from borei.llm.confusables import consistent_forms
 from borei.llm.langid import NAMES, LanguageModel, _read_as, _script_table, fold_digits
 from borei.llm.overlap import folded
 from borei.llm.sentences import MAYBE_LAST, _ends_at_point
-from borei.session import ship, spread
+from borei.session import spread
 
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 
@@ -144,44 +144,44 @@ class EndModel:
 
 
 def fit_ends(texts: DataFrame, text: str = "text", chunk: int = 1 << 14) -> EndModel:
-    """Counts over all texts of the column (blank and null ones, and single words, don't count)."""
-    ship(texts.sparkSession)
+    """Counts over all texts of the column (blank and null ones, and those of 40 characters or fewer, which may be single
+    words or phrases, don't count)."""
     size = 1 << END_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         table = np.zeros((2, size), np.int64)
         for batch in batches:
             for part in slices(batch, "_text"):
                 EndModel.count([t for t in consistent_forms(strings(part, "_text")) if t and len(t) > 40], table[0], table[1])
-        flat = table.reshape(-1)
-        used = [i for i in range(len(flat) // chunk) if flat[i * chunk : (i + 1) * chunk].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([flat[i * chunk : (i + 1) * chunk].tobytes() for i in used], pa.binary())], ["chunk", "counts"])
+        return table.reshape(-1)
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_py(), np.int64) for v in group.column("counts"))
-        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = spread(texts.select(F.col(text).alias("_text"))).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    flat = np.zeros(2 * size, np.int64)
-    for r in rows:
-        flat[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(bytes(r.counts), np.int64)
-    return EndModel(flat[:size].astype(np.float32), flat[size:].astype(np.float32))
+    occurs, ends = table_sums(spread(texts.select(F.col(text).alias("_text"))), count, 2 * size, chunk).reshape(2, size).astype(np.float32)
+    return EndModel(occurs, ends)
 
 
 _SENTENCE = re.compile(r"[^\s.!?។៕。！？”»\"')][”»\"')]*(?:[!?។៕。！？]|\.(?=\s))[”»\"')]*\s*\S")
+_MARKED = re.compile(r"[.!?។៕。！？][”»\"')]*\s*\Z")
 _MAYBE = re.compile(rf"(?:^|[^\w])(?:{'|'.join(re.escape(w) for w in MAYBE_LAST.split())})\.$|[\u1780-\u17d3\u0e00-\u0eff]\.$", re.IGNORECASE)
 _ITEM = re.compile(r"^\s*(?:[-*•–]|[\d០-៩๐-๙໐-໙]+[.)។])(?:\s+|$)", re.MULTILINE)
 
 
+#: Characters of an answer of one sentence from which it isn't a name, a number or a phrase.
+PHRASE = 60
+
+
 def is_truncated(answer: str, ends: EndModel, unlikely: float = 0.02) -> bool:
-    """A list whose last item is empty, or prose (more than one sentence) at whose last letters no text ends."""
+    """A list whose last item is empty or lacks the mark that all others have, or prose (more than one sentence, or one
+    that is longer than a phrase) at whose last letters no text ends."""
     text = answer.strip()
     items = list(_ITEM.finditer(text))
     if len(items) > 1 and items[0].start() == 0:
-        return not re.search(r"[^\W_]", text[items[-1].end() :]) or text[-1] in ",…-:;(«“"
+        marked = [bool(_MARKED.search(text[m.end() : n.start()])) for m, n in zip(items, items[1:], strict=False)]
+        if not re.search(r"[^\W_]", text[items[-1].end() :]) or text[-1] in ",…-:;(«“":
+            return True
+        return len(items) > 2 and all(marked) and not _MARKED.search(text)
     last = text[-1:]
     broken = last in ",…-:;(«“–" or text.endswith("...")
-    if not broken and not _SENTENCE.search(text):
+    if not broken and not _SENTENCE.search(text) and len(text) < PHRASE:
         return False
     if broken or (last == "." and not _ends_at_point(text, len(text) - 1, len(text), True) and not _MAYBE.search(text)):
         return True
@@ -212,7 +212,8 @@ def defects(instructions: list[str | None], inputs: list[str | None], outputs: l
 
 
 def _foreign(prompt: np.ndarray, answer: np.ndarray, prompt_letters: int, answer_letters: int, odds: float = 8.0) -> bool:
-    """Whether the answer's letters speak against the prompt's language, by more than ``odds`` nats."""
+    """Whether the answer's letters speak against the prompt's language, by more than ``odds`` nats. Prompts of fewer than 6
+    and answers of fewer than 10 letters (names left out) tell no language: names and numbers answer in any."""
     if prompt_letters < 6 or answer_letters < 10:
         return False
     own = int(prompt.argmax())
@@ -231,8 +232,3 @@ def with_defects(df: DataFrame, model: LanguageModel, ends: EndModel, key: str =
     own = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, order))
     rows = map_text(df.select(key, order, F.col("instruction").alias("_a"), F.col("input").alias("_x"), F.col("output").alias("_text")), "_text", run, f"{own}, defect string")
     return latest(rows, [key], ["defect"], order).where("defect is not null")
-
-
-
-
-
