@@ -6,7 +6,7 @@ the whole batch finds those that do):
 1. invisible characters go, kinds of space and line break become the plain ones;
 2. full-width and half-width forms, ligatures, radicals and other presentation forms become the plain characters,
    hyphens become ``-``, accents are composed;
-3. each token of Latin, Cyrillic, Greek or Armenian letters is resolved: every letter has the set of scripts in which
+3. each token of Latin, Cyrillic, Greek, Armenian, Cherokee, Lisu or Coptic letters is resolved: every letter has the set of scripts in which
    it can be spelled (its own, and those with a letter of the same picture), the sets are intersected over the token,
    and the token is spelled in the first script left, Latin before the others. That finds mixed-script tokens and
    tokens wholly written in look-alikes. A token whose sets have nothing in common gets Latin letters where it can;
@@ -35,6 +35,9 @@ from borei.session import use_checkpoints
 CYRILLIC = dict(zip("АВЕКМНОРСТУХЅІЈԚԜаеорсухѕіјһԁԛԝӏү", "ABEKMHOPCTYXSIJQWaeopcyxsijhdqwly", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿορνϲϳ", "ABEZHIKMNOPTYXCJopvcj", strict=True))
 ARMENIAN = dict(zip("ՕՍՏԼօսհոցզ", "OUSLouhngq", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏙᏚᏞᏟᏢᏦᏧᏴ", "DRTAJEWMHYGZbRVSLCPKdB", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
+COPTIC = dict(zip("ⲀⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥⲭ", "ABHIKMNOPCTYXopcx", strict=True))
 LATIN = {"Ð": "Đ", "Ɖ": "Đ", "ɑ": "a", "ɡ": "g"}
 HYPHENS = "‐‑‒–−⁃˗"
 #: Compatibility forms whose picture is that of the plain characters.
@@ -43,12 +46,15 @@ SAME_PICTURE = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<isolated>", "<i
 SEEN_FORMAT = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2}
 UNSEEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10)}
 
-_SCRIPTS = (("Latin", {}), ("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN))
-_TO_LATIN = {**CYRILLIC, **GREEK, **ARMENIAN}
+_SCRIPTS = (("Latin", {}), ("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN), ("Cherokee", CHEROKEE), ("Lisu", LISU), ("Coptic", COPTIC))
+_TO_LATIN = {letter: latin for _, table in _SCRIPTS for letter, latin in table.items()}
+# Where the letters of these scripts lie.
+_PLACES = {"Greek": ((0x370, 0x3E2), (0x3F0, 0x400), (0x1F00, 0x2000)), "Cyrillic": ((0x400, 0x530),), "Armenian": ((0x530, 0x590),), "Cherokee": ((0x13A0, 0x1400), (0xAB70, 0xABC0)), "Lisu": ((0xA4D0, 0xA500),), "Coptic": ((0x3E2, 0x3F0), (0x2C80, 0x2D00))}
 _FROM_LATIN = {name: {latin: own for own, latin in reversed(table.items())} for name, table in _SCRIPTS[1:]}
-_ALPHABETIC = "A-Za-zªºÀ-ɏɐ-ʯʰ-˿̀-ͯͰ-Ͽἀ-῿Ѐ-ԯԱ-֏Ḁ-ỿ"
+_FOREIGN = "".join(f"{chr(a)}-{chr(b - 1)}" for spans in _PLACES.values() for a, b in spans)
+_ALPHABETIC = "A-Za-zªºÀ-ɏɐ-ʯʰ-˿̀-ͯḀ-ỿ" + _FOREIGN
 _TOKEN = re.compile(f"[{_ALPHABETIC}]+")
-_OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ԯԱ-֏ἀ-῿]")
+_OTHER_SCRIPT = re.compile(f"[{_FOREIGN}]")
 
 
 @lru_cache(None)
@@ -120,13 +126,9 @@ def scripts_of(letter: str) -> frozenset[str]:
         if letter in table:
             latin = table[letter]
             return frozenset({name, "Latin", *(other for other, back in _FROM_LATIN.items() if latin in back)})
-    cp = ord(letter)
-    if 0x370 <= cp < 0x400 or 0x1F00 <= cp < 0x2000:
-        return frozenset({"Greek"})
-    if 0x400 <= cp < 0x530:
-        return frozenset({"Cyrillic"})
-    if 0x530 <= cp < 0x590:
-        return frozenset({"Armenian"})
+    for name, spans in _PLACES.items():
+        if any(a <= ord(letter) < b for a, b in spans):
+            return frozenset({name})
     return frozenset({"Latin", *(other for other, back in _FROM_LATIN.items() if letter in back)})
 
 
@@ -170,7 +172,7 @@ def _flags() -> np.ndarray:
     """By code point: 1 needs the steps, 2.. classes for pairs (Khmer, Thai, Lao marks)."""
     table = np.zeros(0x110000, np.uint8)
     table[list(_plain())] = 1
-    for lo, hi in ((0x300, 0x370), (0x370, 0x590), (0x1F00, 0x2000), (0x1100, 0x1200), (0xE0000, 0xE1000)):
+    for lo, hi in ((0x300, 0x370), (0x1100, 0x1200), (0xE0000, 0xE1000), *(span for spans in _PLACES.values() for span in spans)):
         table[lo:hi] = 1
     table[0x0D] = 1
     for cp in range(0x80, 0x30000):  # what composing changes, apart from Khmer, Thai and Lao signs
@@ -274,15 +276,18 @@ def form_keys(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return map_text(df.select(key, F.col(text).alias("_text")), "_text", run, f"`{key}` {kind}, form_key binary, text_key binary")
 
 
-def look_alike_pairs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def look_alike_pairs(df: DataFrame, key: str, text: str = "text", part: int = 20_000) -> DataFrame:
     """All pairs a < b of records whose texts have the same consistent form but differ in some character.
 
     Groups of plain copies never meet in a join: forms with one spelling only are left out by a pre-aggregated count
-    before it, however many rows they hold. Null keys, null texts and texts that show nothing give no pair; a record
+    before it, however many rows they hold. A form of more than ``part`` records is joined in parts, each record of a part
+    with all of the form, so that no task gets all its pairs. Null keys, null texts and texts that show nothing give no pair; a record
     delivered again counts once."""
     use_checkpoints(df.sparkSession)
     rows = form_keys(df.where(F.col(key).isNotNull()), key, text).distinct().checkpoint()  # digests only; read three times below
-    several = rows.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi").select("form_key")
-    rows = rows.join(several, "form_key", "left_semi")
-    a, b = (rows.select("form_key", F.col("text_key").alias(f"text_{s}"), F.col(key).alias(s)) for s in "ab")
-    return a.join(b, "form_key").where("text_a <> text_b and a < b").select("a", "b").distinct()
+    several = rows.groupBy("form_key").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    rows = rows.join(several.select("form_key", F.ceil(F.col("n") / part).cast("int").alias("parts")), "form_key")
+    a, b = (rows.select("form_key", "parts", F.col("text_key").alias(f"text_{s}"), F.col(key).alias(s)) for s in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return a.join(b.drop("parts"), ["form_key", "part"]).where("text_a <> text_b and a < b").select("a", "b").distinct()
