@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from borei.llm._text import map_text, mix, strings, take
+from borei.llm._text import from_codepoints, map_text, mix, strings, take
 from borei.llm.folding import fold
 
 #: Characters of the suffix block, bits of the shift table, length of a lane.
 BLOCK, BITS, LANE = 8, 20, 1024
-#: Items in one broadcast table (of 300 characters: 25 MB); more items are searched in further passes.
-ITEMS_PER_PASS = 5_000
+#: Characters of the items in one broadcast table (25 MB); more are searched in further passes.
+PASS_CHARS = 1_500_000
 
 
 class Patterns:
@@ -121,12 +121,12 @@ class Patterns:
         return pairs[same, 0], pairs[same, 1]
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "input", run: int = 60) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "input", run: int = 60, chars: int = PASS_CHARS) -> DataFrame:
     """(``key``, ``item_key``) for each document with at least ``run`` letters, marks and digits in a row of an item.
 
-    The items are a held-out set of bounded size: they are broadcast in tables of at most ITEMS_PER_PASS items, and a
-    larger set is searched in several passes over the documents. Null, blank and short texts on either side give no
-    row; a document or item key that occurs twice gives its pairs once per row of the documents."""
+    The items are a held-out set of bounded size: they are broadcast in tables of at most ``chars`` characters, and a
+    larger set is searched in several passes over the documents; a longer item is cut in parts that overlap. Null, blank and short texts on either side give no
+    row; a document or item key that occurs twice gives its pairs once per row of the documents (once only if there is more than one pass)."""
     spark = docs.sparkSession
     rows = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").dropDuplicates().orderBy("i", "t")
     pairs = None
@@ -135,18 +135,30 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     schema = f"`{key}` {kind}, `{item_key}` bigint"
     slim = docs.select(key, F.col(text).alias("_text")).where(F.col("_text").isNotNull())
 
-    def passes():
-        part: list = []
+    def parts():
         for row in local:
-            part.append(row)
-            if len(part) == ITEMS_PER_PASS:
+            if len(row.t) <= chars:
+                yield row.i, row.t
+            else:
+                whole = from_codepoints(fold([row.t])[0])
+                for at in range(0, max(len(whole) - run + 1, 0), chars):
+                    yield row.i, whole[at : at + chars + run - 1]
+
+    def passes():
+        part, size = [], 0
+        for item, t in parts():
+            if part and size + len(t) > chars:
                 yield part
-                part = []
+                part, size = [], 0
+            part.append((item, t))
+            size += len(t)
         if part:
             yield part
 
+    count = 0
     for part in passes():
-        tables = spark.sparkContext.broadcast(Patterns([r.i for r in part], [r.t for r in part], run))
+        count += 1
+        tables = spark.sparkContext.broadcast(Patterns(*map(list, zip(*part, strict=True)), run))
 
         def run_batch(batch: pa.RecordBatch, tables=tables) -> pa.RecordBatch:
             patterns = tables.value
@@ -155,6 +167,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
         found = map_text(slim, "_text", run_batch, schema)
         pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs if pairs is not None else spark.createDataFrame([], schema)
-
-
+    if pairs is None:
+        return spark.createDataFrame([], schema)
+    return pairs if count < 2 else pairs.distinct()  # parts of an item may meet a document more than once
