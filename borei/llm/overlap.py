@@ -14,8 +14,8 @@ Texts are folded to letters and digits. Two kinds of hashes are partitioned and
   that share half of theirs meet in four. Edits that are scattered over a text whose sentences moved as well may leave
   fewer; the README has the measured recall.
 
-What is rare is told by counts of all records in a table of fixed size, summed up by a tree of tasks; the order decides
-only how much is compared in vain. The records that meet are compared in full: the edit distance of the folded texts,
+What is rare, and what the other side doesn't have at all, is told by tables of fixed size over all records, joined by a
+tree of tasks; they decide only how much is sent and compared in vain. The records that meet are compared in full: the edit distance of the folded texts,
 and, if it is too large, of their sentences in the best order. Equal texts are one class: offered once per task,
 compared once, and expanded by their 128-bit digests at the end.
 """
@@ -25,16 +25,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from borei.llm._text import grams, map_text, owners, slices, strings, table_sums, take
 from borei.llm.folding import fold
-from borei.session import ship, spread
+from borei.session import ship, spread, use_checkpoints
 
 GRAM, WINDOW, SHARE = 12, 10, 0.5
 #: Offers in which two texts must meet, if they must share so many.
@@ -48,7 +50,9 @@ SEGMENT = 7
 #: Whole segments that two texts must share, where the training text has so many more than edits.
 REPEAT = 3
 EVALUATION, TRAINING = 1, 2
-_KEEP = np.uint64((1 << 48) - 1)
+_APART = np.uint64(1 << 47)  # no gram has the hash of a segment
+#: Bits of a sieve, which tells what the other side doesn't have: 16 MB whatever the data.
+SIEVE = 27
 
 
 def winnow(cps: np.ndarray, starts: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -109,36 +113,69 @@ def _pieces(cps: np.ndarray, starts: np.ndarray, train: bool) -> Iterator[tuple[
             yield grams(cps, size)[where] ^ np.uint64(size << 40), where, size
 
 
-def rarity(records: DataFrame, bits: int = BITS, chunk: int = 1 << 15) -> np.ndarray:
-    """By cell, the logarithm of how often its hashes occur: 12-grams of all ``records`` (side, _text), pieces of the
-    evaluation ones."""
+def _bit(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - SIEVE)).astype(np.int64)
+
+
+def _has(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = _bit(values)
+    return (sieve[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+@dataclass
+class Known:
+    """What is known of all records beforehand, in tables of fixed size: by cell, the logarithm of how often its hashes
+    occur (12-grams of all, pieces of the evaluation texts), and a sieve of the hashes of each side."""
+
+    often: np.ndarray
+    evaluation: np.ndarray
+    training: np.ndarray
+
+
+def known(records: DataFrame, bits: int = BITS, chunk: int = 1 << 15) -> Known:
+    """Counts and sieves over all ``records`` (side, _text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        table = np.zeros(1 << bits, np.int64)
+        table, sieves = np.zeros(1 << bits, np.int64), {side: np.zeros(1 << SIEVE, bool) for side in (EVALUATION, TRAINING)}
         for batch in batches:
             for part in slices(batch, "_text"):
-                cps, starts = fold(strings(part, "_text"), marks=False)
-                table += np.bincount(_cell(winnow(cps, starts)[0], 1, bits), minlength=len(table))
-                held = np.array(strings(part, "side")) == EVALUATION
-                if held.any():
-                    cps, starts = cps[held[owners(starts)]], np.concatenate([[0], np.cumsum(np.diff(starts)[held])])
-                    for values, _, _ in _pieces(cps, starts, False):
-                        table += np.bincount(_cell(values, 0, bits), minlength=len(table))
-        return table
-
-    total = table_sums(spread(records.select("side", "_text")), count, 1 << bits, chunk)
-    return np.round(8 * np.log2(1.0 + total)).astype(np.uint8)  # up to 2^31 occurrences
-
-
-def offers(records: DataFrame, counts: np.ndarray, train: bool, key: str = "_id", bits: int = BITS, share: float = SHARE) -> DataFrame:
-    """``hash``, ``tag``, ``at``, ``len``, ``key`` of what the texts of one side (``key``, _text) offer. ``tag`` is 8
-    times the ordinal of a segment and twice how many must be whole, or twice the number of grams that must meet and one."""
-    table = records.sparkSession.sparkContext.broadcast(counts)
+                whole, starts = fold(strings(part, "_text"), marks=False)
+                sides, owner = np.array(strings(part, "side")), owners(starts)
+                for side, sieve in sieves.items():
+                    own = sides == side
+                    if not own.any():
+                        continue
+                    cps, begins = whole[own[owner]], np.concatenate([[0], np.cumsum(np.diff(starts)[own])])
+                    values = winnow(cps, begins)[0] ^ _APART
+                    table += np.bincount(_cell(values, 1, bits), minlength=len(table))
+                    sieve[_bit(values)] = True
+                    for values, _, _ in _pieces(cps, begins, side == TRAINING):
+                        sieve[_bit(values)] = True
+                        if side == EVALUATION:
+                            table += np.bincount(_cell(values, 0, bits), minlength=len(table))
+        return np.concatenate([table, *(np.packbits(x, bitorder="little").view(np.int64) for x in sieves.values())])
+
+    words = 1 << (SIEVE - 6)
+    found = table_sums(spread(records.select("side", "_text")), count, (1 << bits) + 2 * words, chunk, summed=1 << bits)
+    total, evaluation, training = np.split(found, [1 << bits, (1 << bits) + words])
+    return Known(np.round(8 * np.log2(1.0 + total)).astype(np.uint8), evaluation.view(np.uint8), training.view(np.uint8))  # up to 2^31 occurrences
+
+
+_HASH, _GRAM = (1 << 48) - 1, 1 << 32  # bits of a hash; what tells grams from segments
+
+
+def offers(records: DataFrame, shared: Broadcast, train: bool, key: str = "_id", bits: int = BITS, share: float = SHARE) -> DataFrame:
+    """What the texts of one side (``key``, cls, _text) offer, as far as the other side may have it, in few bytes: ``h``: 48
+    bits of the hash, and the low 16 bits of its place; ``m``: a segment's ordinal, above it _GRAM and how many must meet
+    (from bit 33 on); ``n``: letters of the text, above them the rest of the place; ``key``."""
     ship(records.sparkSession)
 
-    def made(part: pa.RecordBatch, rows: np.ndarray, values: np.ndarray, text: np.ndarray, tag: np.ndarray, at: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-        whole = [pa.array((values & _KEEP).view(np.int64), pa.int64()), *(pa.array(x, pa.int32()) for x in (tag, at, length)), take(part, key, rows[text])]
-        return pa.RecordBatch.from_arrays(whole, ["hash", "tag", "at", "len", key])
+    def made(part: pa.RecordBatch, rows: np.ndarray, values: np.ndarray, text: np.ndarray, at: np.ndarray, m: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        may = _has(shared.value.evaluation if train else shared.value.training, values)
+        values, text, at, m = values[may], text[may], at[may], m[may]
+        h = (values & np.uint64(_HASH)) | (at.astype(np.uint64) << np.uint64(48))
+        whole = [pa.array(h.view(np.int64), pa.int64()), pa.array(m, pa.int64()), pa.array(lengths[text] + ((at >> 16) << 32), pa.int64()), take(part, key, rows[text])]
+        return pa.RecordBatch.from_arrays(whole, ["h", "m", "n", key])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -151,43 +188,63 @@ def offers(records: DataFrame, counts: np.ndarray, train: bool, key: str = "_id"
                 cps, starts = fold([texts[i] for i in rows], marks=False)
                 lengths, owner = np.diff(starts), owners(starts)
                 for values, where, size in _pieces(cps, starts, train):
-                    text, at, tag = owner[where], where - starts[owner[where]], np.zeros(len(where), np.int64)
+                    text, at, m = owner[where], where - starts[owner[where]], np.zeros(len(where), np.int64)
                     if train:
-                        order = np.lexsort((at, table.value[_cell(values, 0, bits)], text))
+                        order = np.lexsort((at, shared.value.often[_cell(values, 0, bits)], text))
                         rank = np.arange(len(text)) - np.searchsorted(text, text)
                         edits = -(-lengths // 9) - 1
                         whole = np.minimum(lengths // size - edits, REPEAT)
                         kept = np.sort(order[rank < (edits + whole)[text]])  # rows are by text, so ranks are as well
                         values, text, at = values[kept], text[kept], at[kept]
-                        tag = 8 * (np.arange(len(text)) - np.searchsorted(text, text) + 1) + 2 * whole[text]
-                    yield made(part, rows, values, text, tag, at, lengths[text])
+                        m = np.arange(len(text)) - np.searchsorted(text, text) + 1 + (whole[text] << 33)
+                    yield made(part, rows, values, text, at, m, lengths)
                 values, text = winnow(cps, starts)
-                order = np.lexsort((values, table.value[_cell(values, 1, bits)], text))
+                values ^= _APART
+                order = np.lexsort((values, shared.value.often[_cell(values, 1, bits)], text))
                 values, text = values[order], text[order]
                 m = np.bincount(text, minlength=len(rows))
                 rank = np.arange(len(text)) - np.repeat(np.cumsum(m) - m, m)
                 least = np.maximum(np.ceil(share * m).astype(np.int64), 1)
                 need = np.minimum(least, MEET)
                 keep = rank < (m - least + need)[text]
-                values, text = values[keep] ^ np.uint64(1 << 47), text[keep]
-                none = np.zeros(len(text), np.int64)
-                yield made(part, rows, values, text, 2 * need[text] + 1, none, none)
+                values, text = values[keep], text[keep]
+                yield made(part, rows, values, text, np.zeros(len(text), np.int64), _GRAM + (need[text] << 33), lengths)
 
     kind = records.schema[key].dataType.simpleString()
-    return spread(records.select(key, "cls", "_text")).mapInArrow(run, f"hash bigint, tag int, at int, len int, `{key}` {kind}")
+    return spread(records.select(key, "cls", "_text")).mapInArrow(run, f"h bigint, m bigint, n bigint, `{key}` {kind}")
 
 
 def meetings(evaluation: DataFrame, training: DataFrame, key: str = "_id") -> DataFrame:
-    """``eval_rep``, ``train_rep`` of the records whose offers meet as they must."""
+    """``eval_rep``, ``train_rep`` of the records whose offers meet as they must. A segment or gram that must be met k
+    times counts 12 / k, so twelve are enough."""
     e, t = evaluation.withColumnRenamed(key, "eval_rep").alias("e"), training.withColumnRenamed(key, "train_rep").alias("t")
-    shift, longer = "(e.at - t.at)", "greatest(e.len, t.len)"
-    ordinal, whole = "(t.tag div 8)", "(t.tag div 2 % 4)"
-    moved = f"abs({shift}) < {ordinal} and abs(e.len - t.len - {shift}) <= ({longer} - 1) div 10 + {whole} - {ordinal}"
-    met = e.join(t, F.expr(f"e.hash = t.hash and e.tag % 2 = t.tag % 2 and (e.tag % 2 = 1 or ({moved}))"))
-    gram = F.expr("e.tag % 2 = 1")
-    met = met.select("eval_rep", "train_rep", F.when(gram, F.expr("greatest(e.tag, t.tag) div 2")).alias("grams"), F.when(~gram, F.expr(whole)).alias("whole"))
-    sums = met.groupBy("eval_rep", "train_rep").agg(*[f(c).alias(f"{c}_{n}") for c in ("grams", "whole") for n, f in (("met", F.count), ("need", F.max))])
-    return sums.where("grams_met >= grams_need or whole_met >= whole_need").select("eval_rep", "train_rep")
+    place = lambda x: f"(shiftrightunsigned({x}.h, 48) + shiftleft(shiftright({x}.n, 32), 16))"
+    letters = lambda x: f"({x}.n & 4294967295)"
+    gram, need, ordinal = f"(t.m & {_GRAM}) <> 0", "shiftright({}.m, 33)", "(t.m & 4294967295)"
+    shift, edits = f"({place('e')} - {place('t')})", f"((greatest({letters('e')}, {letters('t')}) - 1) div 10)"
+    moved = f"abs({shift}) < {ordinal} and abs({letters('e')} - {letters('t')} - {shift}) <= {edits} + {need.format('t')} - {ordinal}"
+    met = e.join(t, F.expr(f"(e.h & {_HASH}) = (t.h & {_HASH}) and (e.m & {_GRAM}) = (t.m & {_GRAM}) and ({gram} or ({moved}))"))
+    weight = F.expr(f"cast(12 div greatest({need.format('e')}, {need.format('t')}) as int)")
+    return met.select("eval_rep", "train_rep", weight.alias("w")).groupBy("eval_rep", "train_rep").agg(F.sum("w").alias("w")).where("w >= 12").select("eval_rep", "train_rep")
+
+
+def sieved(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows (_id, side, _text) whose key is among the 64-bit hashes ``k`` of ``asked``, and few others."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(1 << SIEVE, bool)
+        for batch in batches:
+            bits[_bit(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))] = True
+        return np.packbits(bits, bitorder="little").view(np.int64)
+
+    shared = rows.sparkSession.sparkContext.broadcast(table_sums(asked.select("k"), mark, 1 << (SIEVE - 6), 1 << 15, summed=0).view(np.uint8))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = _has(shared.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        return batch.filter(pa.array(keep)).select(["_id", "side", "_text"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("_id", "side", "_text"))
+    return map_text(rows.select(F.xxhash64("_id").alias("k"), "_id", "side", "_text"), "_text", run, schema)
 
 
 # --- comparison in full -----------------------------------------------------------------------------------------------
@@ -282,20 +339,25 @@ def _containment(a: str, b: str, n: int = GRAM) -> float:
     return len(mine & {b[i : i + n] for i in range(max(1, len(b) - n + 1))}) / len(mine)
 
 
+def letter_counts(cps: np.ndarray, starts: np.ndarray, bins: int) -> np.ndarray:
+    """How many letters of each of ``bins`` kinds each text has."""
+    n = len(starts) - 1
+    kind = (cps * np.uint32(2654435761)) >> np.uint32(16)
+    return np.bincount(owners(starts) * bins + (kind % bins).astype(np.int64), minlength=n * bins).reshape(n, bins)
+
+
 def may_be_near(cps: np.ndarray, starts: np.ndarray, bins: int = 128) -> np.ndarray:
     """For texts 0, 2, .. and 1, 3, .. in pairs: whether their letters, in any order, are near enough. An edit changes two
     of the numbers of letters of a kind by one."""
-    n = len(starts) - 1
-    cell = owners(starts) * bins + (cps * np.uint32(2654435761) >> np.uint32(25)).astype(np.int64)
-    many = np.bincount(cell, minlength=n * bins).reshape(n, bins)
+    many = letter_counts(cps, starts, bins)
     apart = np.abs(many[0::2] - many[1::2]).sum(axis=1)
     longer = np.maximum(*np.diff(starts).reshape(-1, 2).T)
     return apart <= 2 * ((longer - 1) // 10)
 
 
 def compared(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (eval_rep, train_rep, eval_text, train_text) with ``containment`` of the evaluation text in the
-    training text and the ``difference`` of both, below DIFFER only."""
+    """Of ``pairs`` (eval_cls, train_cls, eval_text, train_text) the near ones, with ``containment`` of the evaluation text
+    in the training text and the ``difference`` of both, below DIFFER."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = [t for pair in zip(strings(batch, "eval_text"), strings(batch, "train_text"), strict=True) for t in pair]
@@ -309,10 +371,13 @@ def compared(pairs: DataFrame) -> DataFrame:
                 rows.append((_containment(x, y), d))
         at = np.array(keep, np.int64)
         values = np.array(rows, np.float64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([take(batch, "eval_rep", at), take(batch, "train_rep", at), pa.array(values[:, 0]), pa.array(values[:, 1])], ["eval_rep", "train_rep", "containment", "difference"])
+        return pa.RecordBatch.from_arrays([take(batch, "eval_cls", at), take(batch, "train_cls", at), pa.array(values[:, 0]), pa.array(values[:, 1])], ["eval_cls", "train_cls", "containment", "difference"])
+
+    return map_text(pairs.select("eval_cls", "train_cls", "eval_text", "train_text"), "eval_text", run, "eval_cls binary, train_cls binary, containment double, difference double", thin=False)
+
 
-    own = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in ("eval_rep", "train_rep"))
-    return map_text(pairs.select("eval_rep", "train_rep", "eval_text", "train_text"), "eval_text", run, f"{own}, containment double, difference double", thin=False)
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
 
 def cross_split_overlaps(records: DataFrame, key: str = "rec_id", split: str = "split", text: str = "text", share: float = SHARE) -> DataFrame:
@@ -324,21 +389,22 @@ def cross_split_overlaps(records: DataFrame, key: str = "rec_id", split: str = "
     side = F.when(F.lower(F.trim(F.col(split))) == "train", TRAINING).otherwise(EVALUATION).cast("tinyint")
     rows = records.where(F.lower(F.trim(F.col(split))).isin("train", "validation", "test"))
     rows = rows.select(F.col(key).alias("_id"), side.alias("side"), F.col(text).alias("_text")).where("_id is not null and _text is not null")
-    rows = rows.withColumn("cls", F.unhex(F.md5(F.col("_text").cast("binary"))))
-    counts = rarity(rows)
+    rows = rows.withColumn("cls", _digest("_text"))
+    shared = rows.sparkSession.sparkContext.broadcast(known(rows))
     held, train = rows.where(F.col("side") == EVALUATION), rows.where(F.col("side") == TRAINING)
-    met = meetings(offers(held, counts, False, share=share), offers(train, counts, True, share=share))
-    of = lambda part, name: part.select(F.col("_id").alias(f"{name}_rep"), F.col("_text").alias(f"{name}_text"))
-    near = compared(met.join(of(held, "eval"), "eval_rep").join(of(train, "train"), "train_rep"))
-    # From the records that were compared to all records with the same texts.
-    member = lambda part, name: part.where(F.col("_text").rlike(r"[\p{L}\p{N}]")).select(F.col("_id").alias(f"{name}_id"), F.col("cls").alias(f"{name}_cls")).distinct()
+    use_checkpoints(records.sparkSession)
+    met = meetings(offers(held, shared, False, share=share), offers(train, shared, True, share=share)).checkpoint()  # read twice
+    asked = sieved(rows, met.select(F.explode(F.array(F.xxhash64("eval_rep"), F.xxhash64("train_rep"))).alias("k")))
+    of = lambda kind, name: asked.where(F.col("side") == kind).select(F.col("_id").alias(f"{name}_rep"), F.col("_text").alias(f"{name}_text"))
+    pairs = met.join(of(EVALUATION, "eval"), "eval_rep").join(of(TRAINING, "train"), "train_rep")
+    near = compared(pairs.select(_digest("eval_text").alias("eval_cls"), _digest("train_text").alias("train_cls"), "eval_text", "train_text").where("eval_cls <> train_cls"))
+    near = near.groupBy("eval_cls", "train_cls").agg(F.max("containment").alias("containment"), F.min("difference").alias("difference"))
+    # From the texts that were compared to all records that hold them.
+    member = lambda part, name: part.where(F.col("_text").rlike(r"[\p{L}\p{N}]")).select(F.col("_id").alias(f"{name}_id"), F.col("cls").alias(f"{name}_cls"))
     ours, theirs = member(held, "eval"), member(train, "train")
-    for name, members in (("eval", ours), ("train", theirs)):
-        near = near.join(members.withColumnRenamed(f"{name}_id", f"{name}_rep"), f"{name}_rep").drop(f"{name}_rep")
-    near = near.where("eval_cls <> train_cls").groupBy("eval_cls", "train_cls").agg(F.max("containment").alias("containment"), F.min("difference").alias("difference"))
     close = near.join(ours, "eval_cls").join(theirs, "train_cls").select("eval_id", "train_id", "containment", "difference")
     same = ours.join(theirs, F.col("eval_cls") == F.col("train_cls")).select("eval_id", "train_id", F.lit(1.0).alias("containment"), F.lit(0.0).alias("difference"))
-    return same.unionByName(close)
+    return same.unionByName(close).groupBy("eval_id", "train_id").agg(F.max("containment").alias("containment"), F.min("difference").alias("difference"))
 
 
 def overlap_report(records: DataFrame, key: str = "rec_id", split: str = "split", source: str = "source", text: str = "text") -> DataFrame:
