@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None) -> int:
         tokenizer = tokenizers.GraphemeTokenizer().train(sample())
         model = lm.GPT(lm.GPTConfig(len(tokenizer.vocab), max_seq_len=32))
         result = lm.train(model, lm.encode_corpus(sample(), tokenizer), steps=args.train_demo, seq_len=16)
-        print(f"{model.num_parameters()} parameters, loss {result.losses[0]:.3f} to {result.final_loss:.3f}")
+        print(f"{model.num_parameters()} parameters, loss {result.of('loss')[0]:.3f} to {result.last('loss'):.3f}")
         print(tokenizer.decode(model.generate(tokenizer.encode("កម្ពុជា"), 30, 0.8, 10)))
     elif args.benchmark is not None:
         print(evaluate.format_benchmark(evaluate.run_benchmark(evaluate.structural_cases(spark), evaluate.structural_prediction())))

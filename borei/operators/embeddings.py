@@ -39,7 +39,8 @@ def training_pairs(corpus: DataFrame, tokenizer: Tokenizer, key: str, text: str
 
 class Word2Vec:
     """Skip-gram with negative sampling. Pair counts are made in Spark; the gradient steps run on the driver over
-    vocabulary-sized matrices."""
+    vocabulary-sized matrices. An epoch draws as many pairs as there are distinct ones, each as often as the corpus has
+    it, so that the size of a step doesn't depend on that of the corpus."""
 
     def __init__(self, tokenizer: Tokenizer, dim: int = 64, window: int = 2, negative_samples: int = 5, min_count: int = 1, seed: int = 0):
         self.tokenizer, self.dim, self.window, self.negative, self.min_count, self.seed = tokenizer, dim, window, negative_samples, min_count, seed
@@ -65,28 +66,28 @@ class Word2Vec:
             return []
         c = counted["center"].map(self.vocab.ids).to_numpy(np.int64)
         o = counted["context"].map(self.vocab.ids).to_numpy(np.int64)
-        weight = counted["n"].to_numpy(np.float64)
+        often = counted["n"].to_numpy(np.float64)
         rng, losses = np.random.default_rng(self.seed + 1), []
         for _ in range(epochs):
-            order, total = rng.permutation(len(c)), 0.0
+            order, total = rng.choice(len(c), size=len(c), p=often / often.sum()), 0.0
             for at in range(0, len(order), batch):
                 part = order[at : at + batch]
-                total += self._step(c[part], o[part], weight[part], learning_rate, rng)
-            losses.append(total / weight.sum())
+                total += self._step(c[part], o[part], learning_rate, rng)
+            losses.append(total / len(c))
         return losses
 
-    def _step(self, c: np.ndarray, o: np.ndarray, weight: np.ndarray, rate: float, rng: np.random.Generator) -> float:
+    def _step(self, c: np.ndarray, o: np.ndarray, rate: float, rng: np.random.Generator) -> float:
         others = rng.choice(len(self.noise), size=(len(c), self.negative), p=self.noise)
         targets = np.concatenate([o[:, None], others], axis=1)
         signs = np.zeros(targets.shape)
         signs[:, 0] = 1
         center, context = self.vectors[c], self.contexts[targets]
         p = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", center, context), -30, 30)))
-        error = (p - signs) * weight[:, None]
+        error = p - signs
         grad = np.einsum("nk,nkd->nd", error, context)
         np.add.at(self.contexts, targets, -rate * error[:, :, None] * center[:, None, :])
         np.add.at(self.vectors, c, -rate * grad)
-        return float(-(weight * (np.log(p[:, 0] + 1e-12) + np.log(1 - p[:, 1:] + 1e-12).sum(axis=1))).sum())
+        return float(-(np.log(p[:, 0] + 1e-12) + np.log(1 - p[:, 1:] + 1e-12).sum(axis=1)).sum())
 
     def get_vector(self, token: str) -> np.ndarray | None:
         return self.vectors[self.vocab.ids[token]] if token in self.vocab and token not in SPECIALS else None

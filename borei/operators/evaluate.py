@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from borei import chars as C
 from borei.functions import unicode as U
 from borei.operators.lexicon import Lexicon, check_texts
 from borei.operators.tokenizers import clusters_of
@@ -181,9 +180,8 @@ CHECK = "struct<name:string,status:string,detail:string,score:double>"
 
 
 def khmer_share(c: Column | str) -> Column:
-    """Share of Khmer among the characters that aren't white space or zero-width."""
-    solid = U.count(c, f"[^{C.WS}\\x{{200B}}{C.ZW}]")
-    return F.coalesce(F.try_divide(U.khmer_chars(c), solid), F.lit(0.0))
+    """Share of Khmer among the characters that have a script: the script ratio, 0 for null."""
+    return F.coalesce(U.script_ratio(c), F.lit(0.0))
 
 
 def _check(name: str, status: Column | str, detail: Column | str, score: Column | None = None) -> Column:
@@ -206,7 +204,7 @@ def analyze_outputs(df: DataFrame, key: str, text: str = "text", lexicon: Lexico
     spelling = F.when(F.coalesce(F.col("checks"), F.lit(0)) == 0, _check("Spelling", UNAVAILABLE, "no words to check" if lexicon is not None else "no lexicon")).otherwise(_check("Spelling", verdict(F.col("spelling") >= min_spelling), F.format_string("%d likely misspelling(s)", "misspelled"), F.col("spelling")))
     checks = F.array(
         _check("Unicode", verdict(F.size(codes) == 0), F.when(F.size(codes) == 0, "no structural errors").otherwise(F.array_join(codes, "; "))),
-        _check("Khmer script", verdict(F.col("_share") >= min_khmer_ratio), F.format_string("%.0f%% of visible characters are Khmer", F.col("_share") * 100), F.col("_share")),
+        _check("Khmer script", verdict(F.col("_share") >= min_khmer_ratio), F.format_string("%.0f%% of the characters of a script are Khmer", F.col("_share") * 100), F.col("_share")),
         _check("Repetition", verdict(F.col("_run") <= max_repetition), F.format_string("longest run of one cluster: %d", "_run"), F.col("_run")),
         spelling,
         _check("Grammar", UNAVAILABLE, "needs a parser"),

@@ -6,10 +6,11 @@ is bounded by the vocabulary. Trained tokenizers are applied as columns, with th
 
 from __future__ import annotations
 
-import heapq
 import math
+import warnings
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,11 @@ from pyspark.sql.functions import pandas_udf
 
 from borei import chars as C
 from borei.functions import unicode as U
+from borei.operators.lattice import Pieces
 from borei.session import ship
 
 PAD, UNK, BOS, EOS = "<pad>", "<unk>", "<bos>", "<eos>"
 SPECIALS = (PAD, UNK, BOS, EOS)
-#: Expected tokens, kept per EM step: pieces below this weight are gone.
-TINY = 1e-12
 
 
 class Vocabulary:
@@ -155,14 +155,18 @@ class SyllableTokenizer(GraphemeTokenizer):
 
 
 class _Learned(Tokenizer):
-    """Tokenizers whose pieces come from ``pieces_of`` on Arrow batches."""
+    """Tokenizers whose pieces come from ``pieces_of_all`` on Arrow batches."""
+
+    def pieces_of_all(self, texts: list[str]) -> list[list[str]]:
+        return [self.pieces_of(t) for t in texts]
 
     def pieces(self, c: Column) -> Column:
         me = self
 
         @pandas_udf(T.ArrayType(T.StringType()))
         def run(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else me.pieces_of(t))
+            found = iter(me.pieces_of_all([t for t in texts if t is not None]))
+            return pd.Series([None if t is None else next(found) for t in texts], dtype=object)
 
         return run(c)
 
@@ -181,6 +185,7 @@ class BPETokenizer(_Learned):
     def __init__(self):
         super().__init__()
         self.merges: list[tuple[str, str]] = []
+        self.alphabet_exceeds_vocab = False
 
     def train(self, corpus: DataFrame, text: str = "text", vocab_size: int = 1000, min_frequency: int = 2, ord: str | None = None) -> BPETokenizer:
         """Learns merges until the vocabulary is full or no pair occurs ``min_frequency`` times. Pair counts are kept
@@ -188,6 +193,9 @@ class BPETokenizer(_Learned):
         ship(corpus.sparkSession)
         seqs = [[list(s), n] for s, n in sequences(corpus, text)]
         self.vocab = Vocabulary(sorted({c for s, _ in seqs for c in s}))
+        self.alphabet_exceeds_vocab = len(self.vocab) >= vocab_size
+        if self.alphabet_exceeds_vocab:
+            warnings.warn(f"{len(self.vocab)} clusters and specials leave no room for merges in a vocabulary of {vocab_size}", stacklevel=2)
         self.merges = []
         counts: Counter = Counter()
         where: dict = defaultdict(set)
@@ -244,6 +252,7 @@ def merged(symbols: list[str], pair: tuple[str, str]) -> list[str]:
     return out
 
 
+#: Log-probability of a single cluster that wasn't seen in training.
 UNSEEN = -30.0
 
 
@@ -253,7 +262,8 @@ def logsumexp(values: list[float]) -> float:
 
 
 class UnigramTokenizer(_Learned):
-    """A unigram model over pieces of up to ``max_piece`` clusters, trained by EM with pruning."""
+    """A unigram model over pieces of up to ``max_piece`` clusters, trained by EM with pruning. Counting is done on the
+    executors, over lattices of whole batches; the driver holds one probability per piece."""
 
     name = "unigram"
 
@@ -262,120 +272,87 @@ class UnigramTokenizer(_Learned):
         self.max_piece = max_piece
         self.logprobs: dict[str, float] = {}
 
-    def _score(self, piece: str, clusters: int) -> float:
-        known = self.logprobs.get(piece)
-        return known if known is not None else UNSEEN if clusters == 1 else -math.inf
-
-    def _lattice(self, units: list[str]) -> list[list[tuple[int, str, float]]]:
-        """For each end, the pieces that stop there: (start, piece, score)."""
-        out: list[list] = [[] for _ in range(len(units) + 1)]
-        for end in range(1, len(units) + 1):
-            for start in range(max(0, end - self.max_piece), end):
-                piece = "".join(units[start:end])
-                score = self._score(piece, end - start)
-                if score > -math.inf:
-                    out[end].append((start, piece, score))
-        return out
+    def lattice(self) -> Pieces:
+        made = getattr(self, "_made", None)
+        if made is None or made[0] is not self.logprobs:
+            made = self._made = (self.logprobs, Pieces(self.logprobs, self.max_piece, UNSEEN))
+        return made[1]
 
-    def best(self, units: list[str]) -> list[str]:
-        lattice = self._lattice(units)
-        top, back = [0.0] + [-math.inf] * len(units), [None] * (len(units) + 1)
-        for end in range(1, len(units) + 1):
-            for start, piece, score in lattice[end]:
-                if top[start] + score > top[end]:
-                    top[end], back[end] = top[start] + score, (start, piece)
-        out, end = [], len(units)
-        while end:
-            start, piece = back[end]
-            out.append(piece)
-            end = start
-        return out[::-1]
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_made"}
+
+    def score_of(self, piece: str) -> float:
+        """Log-probability of a piece; only a single cluster may be unseen."""
+        return self.logprobs.get(piece, UNSEEN if len(clusters_of(piece)) == 1 else -math.inf)
 
     def expected(self, units: list[str]) -> tuple[dict[str, float], float]:
-        """Expected count of each piece, and the log-likelihood."""
-        lattice, n = self._lattice(units), len(units)
-        ahead = [0.0] + [-math.inf] * n
-        for end in range(1, n + 1):
-            ahead[end] = logsumexp([ahead[s] + w for s, _, w in lattice[end]])
-        behind = [-math.inf] * n + [0.0]
-        starts: list[list] = [[] for _ in range(n + 1)]
-        for end in range(1, n + 1):
-            for s, piece, w in lattice[end]:
-                starts[s].append((end, w))
-        for s in range(n - 1, -1, -1):
-            behind[s] = logsumexp([w + behind[e] for e, w in starts[s]])
-        total, out = ahead[n], defaultdict(float)
-        if total == -math.inf:
-            return {}, 0.0
-        for end in range(1, n + 1):
-            for s, piece, w in lattice[end]:
-                out[piece] += math.exp(ahead[s] + w + behind[end] - total)
-        return dict(out), total
-
-    def _seed(self, corpus: DataFrame, text: str, size: int) -> None:
-        clusters = corpus.select(U.graphemes(text).alias("g"))
-        grams = None
-        for n in range(1, self.max_piece + 1):
-            part = clusters.select(F.explode(U.ngrams(F.col("g"), n)).alias("piece"), F.lit(n).alias("size"))
-            grams = part if grams is None else grams.unionByName(part)
-        counts = grams.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size")).persist()
-        top = counts.orderBy(F.desc("n"), "piece").limit(size).select("piece", "n")
-        chosen = {r.piece: r.n for r in top.unionByName(counts.where("size = 1").select("piece", "n")).distinct().collect()}
+        """Expected count of each piece in one text, and its log-likelihood."""
+        return self.lattice().expected([units], np.ones(1))
+
+    def seeded(self, texts: DataFrame, text: str, size: int) -> dict[str, float]:
+        """The ``size`` most frequent runs of clusters (ties: the smaller string) and all single clusters."""
+        runs = F.flatten(F.array(*[U.ngrams(F.col("g"), n) for n in range(1, self.max_piece + 1)]))
+        pieces = texts.select(U.graphemes(text).alias("g")).select(F.explode(F.arrays_zip(runs.alias("p"))).alias("x")).select(F.col("x.p").alias("piece"))
+        counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).persist()
+        rows = counts.orderBy(F.desc("n"), "piece").limit(size).unionByName(counts.where(F.size(U.graphemes("piece")) == 1)).distinct().collect()
         counts.unpersist()
-        total = sum(chosen.values())
-        self.logprobs = {p: math.log(c / total) for p, c in chosen.items()}
+        whole = sum(r.n for r in rows)
+        return {r.piece: math.log(r.n / whole) for r in rows}
 
-    def _em(self, seqs: DataFrame) -> float:
-        """One step: expected counts per text on the executors, summed per piece; returns the likelihood before it."""
-        me = self
+    def counted(self, seqs: DataFrame) -> tuple[dict[str, float], float]:
+        """Expected counts over all ``seqs`` (g, n) with the present probabilities, summed per piece, and the likelihood."""
+        shared = seqs.sparkSession.sparkContext.broadcast(self.lattice())
 
         def run(batches):
             for pdf in batches:
-                total: dict[str, float] = defaultdict(float)
-                likelihood = 0.0
-                for g, n in zip(pdf["g"], pdf["n"], strict=True):
-                    counts, ll = me.expected(list(g))
-                    likelihood += ll * n
-                    for p, x in counts.items():
-                        total[p] += x * n
-                rows = [*total.items(), (None, likelihood)]
-                yield pd.DataFrame(rows, columns=["piece", "x"])
+                counts, likelihood = shared.value.expected([list(g) for g in pdf["g"]], pdf["n"].to_numpy(np.float64))
+                yield pd.DataFrame([*counts.items(), (None, likelihood)], columns=["piece", "x"])
 
         sums = {r.piece: r.x for r in seqs.mapInPandas(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()}
         likelihood = sums.pop(None, 0.0)
-        whole = sum(sums.values())
-        self._expected = sums
-        self.logprobs = {p: math.log(x / whole) for p, x in sums.items() if whole and x / whole > TINY}
+        return sums, likelihood
+
+    def improved(self, seqs: DataFrame, steps: int) -> float | None:
+        """``steps`` of EM; the likelihood before the last one. A piece stays while its probability can be told from 0."""
+        likelihood = None
+        for _ in range(steps):
+            counts, likelihood = self.counted(seqs)
+            whole = sum(counts.values())
+            shares = {p: x / whole for p, x in sorted(counts.items())} if whole else {}
+            self.logprobs = {p: math.log(x) for p, x in shares.items() if x > 0.0} or self.logprobs
         return likelihood
 
     def train(self, corpus: DataFrame, text: str = "text", vocab_size: int = 300, seed_multiplier: int = 10, em_iterations: int = 2, prune_fraction: float = 0.2, max_rounds: int = 20, ord: str | None = None) -> UnigramTokenizer:
-        """Rounds of EM and pruning by expected loss until ``vocab_size`` pieces are left (single clusters stay)."""
+        """EM and pruning in turn until ``vocab_size`` pieces are left. The pieces of more than one cluster that explain
+        least (expected count times cost) go first; single clusters come back in the last step if they were needed."""
         ship(corpus.sparkSession)
         texts = corpus.where(F.col(text).isNotNull())
-        self._seed(texts, text, vocab_size * seed_multiplier)
         seqs = texts.groupBy(F.col(text).alias("t")).agg(F.count(F.lit(1)).alias("n")).select(U.graphemes("t").alias("g"), "n").where("size(g) > 0").persist()
-        for _ in range(max_rounds):
-            if len(self.logprobs) <= vocab_size:
-                break
-            for _ in range(em_iterations):
-                self._em(seqs)
-            loss = [(self._expected.get(p, 0.0) * abs(lp), p) for p, lp in self.logprobs.items() if len(clusters_of(p)) > 1]
-            drop = min(max(1, int(len(loss) * prune_fraction)), max(len(self.logprobs) - vocab_size, 0), len(loss))
-            if not drop:
-                break
-            for _, p in heapq.nsmallest(drop, loss):
-                del self.logprobs[p]
-        self._em(seqs)
+        self.logprobs = self.seeded(texts, text, vocab_size * seed_multiplier)
+        surplus, rounds = math.inf, 0
+        while surplus > 0 and rounds < max_rounds:
+            self.improved(seqs, em_iterations)
+            surplus, rounds = len(self.logprobs) - vocab_size, rounds + 1
+            if surplus > 0:
+                used, _ = self.counted(seqs)
+                long = sorted((used.get(p, 0.0) * -cost, p) for p, cost in self.logprobs.items() if len(clusters_of(p)) > 1)
+                gone = {p for _, p in long[: min(surplus, max(1, int(prune_fraction * len(long))))]}
+                self.logprobs = {p: cost for p, cost in self.logprobs.items() if p not in gone}
+                surplus = surplus if gone else 0
+        self.improved(seqs, 1)
         seqs.unpersist()
         self.vocab = Vocabulary(sorted(self.logprobs))
         return self
 
     def pieces_of(self, text: str) -> list[str]:
-        units = clusters_of(text)
-        return self.best(units) if self.logprobs else units
+        return self.pieces_of_all([text])[0]
+
+    def pieces_of_all(self, texts: list[str]) -> list[list[str]]:
+        units = [clusters_of(t) for t in texts]
+        return self.lattice().best(units) if self.logprobs else units
 
     def log_probability(self, text: str) -> float:
-        return sum(self._score(p, len(clusters_of(p))) for p in self.pieces_of(text))
+        return sum(self.score_of(p) for p in self.pieces_of(text))
 
 
 # The eight sentences that tokenizers are compared on.

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,31 +41,49 @@ def tune_instructions(model: lm.GPT, tokenizer: Tokenizer, examples: DataFrame,
     return {"losses": losses, "answers": after, "exact": exact}
 
 
-# The decoding settings that are compared (temperature, top_k, top_p, repetition penalty).
-SETTINGS = [(0.0, None, None, 1.0), (0.4, 20, None, 1.0), (0.6, 10, None, 1.0), (0.6, 20, None, 1.0), (0.8, 20, None, 1.0), (0.8, 40, None, 1.0), (1.0, 40, None, 1.0), (0.8, None, 0.9, 1.0), (0.8, 40, None, 1.2)]
+# The decoding settings that are compared, and the prompts.
+CANDIDATES = [
+    {"name": "greedy", "temperature": 0.0},
+    {"name": "t=0.5 k=10", "temperature": 0.5, "top_k": 10},
+    {"name": "t=0.6 k=20", "temperature": 0.6, "top_k": 20},
+    {"name": "t=0.6 p=0.9", "temperature": 0.6, "top_p": 0.9},
+    {"name": "t=0.7 k=40", "temperature": 0.7, "top_k": 40},
+    {"name": "t=0.7 p=0.95", "temperature": 0.7, "top_p": 0.95},
+    {"name": "t=0.8 p=0.9", "temperature": 0.8, "top_p": 0.9},
+    {"name": "t=0.8 p=0.9 rep=1.15", "temperature": 0.8, "top_p": 0.9, "repetition_penalty": 1.15},
+    {"name": "t=1.0 k=40", "temperature": 1.0, "top_k": 40},
+]
+PROMPTS = ["ភ្នំពេញ", "ប្រទេសកម្ពុជា", "ប្រវត្តិសាស្ត្រ"]
+#: Characters of each real text that are measured, about as many as are generated.
+REAL_CHARS = 200
 
 
-def tune_sampling(model: lm.GPT, tokenizer: Tokenizer, corpus: DataFrame, prompts: list[str], seeds: int = 3, length: int = 40) -> DataFrame:
-    """Settings by how close the grounding (3-grams) and diversity (2-grams) of what they generate are to the corpus'
-    own. Settings, prompts and seeds are a stated grid; generation runs on the executors."""
+def tune_sampling(model: lm.GPT, tokenizer: Tokenizer, corpus: DataFrame, prompts: list[str] | None = None, seeds: int = 3, length: int = 40) -> DataFrame:
+    """(name, grounding, diversity, distance) per setting, the nearest first: how far the grounding (3-grams) and the
+    diversity (2-grams) of what it generates after the prompts lie from those of the beginnings of the corpus' own texts.
+    Settings, prompts and seeds are a stated grid; generation runs on the executors."""
     spark = corpus.sparkSession
-    grid = [(i, *s, p, r) for i, s in enumerate(SETTINGS) for p in prompts for r in range(seeds)]
-    jobs = spark.createDataFrame(grid, "setting int, temperature double, top_k int, top_p double, penalty double, prompt string, seed int").repartition(len(SETTINGS))
+    grid = [(i, p, r) for i in range(len(CANDIDATES)) for p in (prompts or PROMPTS) for r in range(seeds)]
+    jobs = spark.createDataFrame(grid, "setting int, prompt string, seed int").repartition(len(CANDIDATES)).withColumn("job", F.monotonically_increasing_id())
     shared = spark.sparkContext.broadcast((model, tokenizer))
 
+    def answered(model: lm.GPT, tokenizer: Tokenizer, setting: int, prompt: str, seed: int) -> str:
+        asked, own = tokenizer.encode(prompt), CANDIDATES[setting]
+        full = model.generate(asked, length, own["temperature"], own.get("top_k"), own.get("top_p"), own.get("repetition_penalty", 1.0), rng=np.random.default_rng(seed))
+        return tokenizer.decode(full[len(asked) :])
+
     def run(batches):
-        model, tokenizer = shared.value
         for pdf in batches:
-            texts = []
-            for r in pdf.itertuples():
-                k = None if pd.isna(r.top_k) else int(r.top_k)
-                p = None if pd.isna(r.top_p) else float(r.top_p)
-                texts.append(tokenizer.decode(model.generate(tokenizer.encode(r.prompt), length, r.temperature, k, p, r.penalty, rng=np.random.default_rng(r.seed))))
-            yield pdf.assign(text=texts, job=[f"{a}/{b}/{c}" for a, b, c in zip(pdf["setting"], pdf["prompt"], pdf["seed"], strict=True)])
-
-    made = jobs.mapInPandas(run, jobs.schema.simpleString()[7:-1].replace(":", " ") + ", text string, job string").persist()
+            yield pdf.assign(text=[answered(*shared.value, *job) for job in zip(pdf["setting"], pdf["prompt"], pdf["seed"], strict=True)])
+
+    made = jobs.mapInPandas(run, "setting int, prompt string, seed int, job bigint, text string").persist()
     grounding = evaluate.Grounding(corpus, orders=(3,))
-    scored = grounding.score(made, "job").select("job", "ratio").join(made.select("job", "setting", "temperature", "top_k", "top_p", "penalty", U.distinct_n("text", 2).alias("diversity")), "job")
-    real = corpus.agg(F.avg(U.distinct_n("text", 2)).alias("real")).first().real or 0.0
-    means = scored.groupBy("setting", "temperature", "top_k", "top_p", "penalty").agg(F.avg("ratio").alias("grounding"), F.avg("diversity").alias("diversity"))
-    return means.withColumn("distance", F.sqrt(F.pow(1 - F.col("grounding"), 2) + F.pow(F.lit(real) - F.col("diversity"), 2))).orderBy("distance", "setting")
+
+    def measured(texts: DataFrame, *by: str) -> DataFrame:
+        ratio = grounding.score(texts, "job").select("job", "ratio").join(texts.select("job", *by, U.distinct_n("text", 2).alias("diverse")), "job")
+        return ratio.groupBy(*by).agg(F.avg("ratio").alias("grounding"), F.avg("diverse").alias("diversity"))
+
+    real = measured(corpus.where("text is not null").select(F.monotonically_increasing_id().alias("job"), F.substring("text", 1, REAL_CHARS).alias("text"))).first()
+    names = F.array(*[F.lit(c["name"]) for c in CANDIDATES])
+    away = F.hypot(F.col("grounding") - F.lit(real.grounding or 0.0), F.col("diversity") - F.lit(real.diversity or 0.0))
+    return measured(made, "setting").select(F.get(names, F.col("setting")).alias("name"), "grounding", "diversity", away.alias("distance")).orderBy("distance", "name")

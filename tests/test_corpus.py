@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from borei.functions import unicode as U
-from borei.functions.wikitext import clean
+from borei.functions.wikitext import clean_wikitext
 from borei.operators import dedup, split
 from borei.plans.pipeline import run_pipeline, to_sentences
 
@@ -97,9 +97,12 @@ def test_split_needs_several_levels(spark):
     assert {r.split: r.documents for r in split.split_sizes(out).collect()} == {"train": 10_000, "validation": 6_000, "test": 4_000}
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [("A{{outer|x{{inner|y}}z}}B", "AB"), ("text {{unclosed", "text"), ("[http://example.com Example] tail", "Example tail"), ("[[a|b]] [[c]]", "b c"), ("[[File:x.png|y]]z", "z"), ("== H ==\n* item", "H\nitem"), ("'''b''' <b>t</b>__NOTOC__", "b  t"), ("a [[open", "a [[open"), ("x<!-- c -->y<ref>n</ref>", "x y"), ("{| t |}u", "u")],
-)
-def test_wikitext(text, want):
-    assert clean(text) == want
+PAGES = [
+    ("A{{outer|x{{inner|y}}z}}B", "AB"), ("text {{unclosed", "text"), ("[http://example.com Example] tail", "Example tail"), ("[[a|b]] [[c]]", "b c"), ("[[File:x.png|y]]z", "z"), ("== H ==\n* item", "H\nitem"), ("'''b''' <b>t</b>__NOTOC__", "b  t"), ("a [[open", "a [[open"), ("x<!-- c -->y<ref>n</ref>", "x y"), ("{| t |}u", "u"),
+    ("[[File:x|thumb [[a]] b]] c", "b]] c"), ("}} stray {{{a}}}b", "stray }b"), ("[[a|b|c]][[រូបភាព:x]]", "c"), ("\n\n\n\nx\n\n\n\ny", "x\n\ny"), ("", ""), (None, None),
+]
+
+
+def test_wikitext(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PAGES)], "i int, t string").orderBy("i").select(clean_wikitext("t").alias("c")).collect()
+    assert [r.c for r in rows] == [w for _, w in PAGES]

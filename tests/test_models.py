@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from borei.functions import unicode as U
 from borei.operators import embeddings, evaluate, lm
 from borei.operators import tokenizers as T
 from borei.plans import training
@@ -45,6 +46,19 @@ def test_output_checks(spark):
     assert rows[2].passed and rows[2].coverage == "3/7 checks implemented"
 
 
+def test_script_share_is_the_script_ratio(spark):
+    """Digits and punctuation have no script and don't count against a text."""
+    rows = spark.createDataFrame([("កម្ពុជា, 2026! (…)",), ("កabc",), ("12",), (None,)], "t string").select(evaluate.khmer_share("t").alias("s"), U.script_ratio("t").alias("r")).collect()
+    assert rows[0].s == 1.0 and [x.s for x in rows] == [x.r or 0.0 for x in rows]
+
+
+def test_vectors_stay_finite_on_counts_of_a_corpus(spark):
+    corpus = spark.createDataFrame([(i, "កខគឃង " * 200) for i in range(20)], "id int, text string")
+    model = embeddings.Word2Vec(T.GraphemeTokenizer(), dim=8)
+    losses = model.train(corpus, "id", epochs=60)
+    assert np.isfinite(model.vectors).all() and abs(model.vectors).max() < 50 and losses[-1] < losses[0]
+
+
 def test_translations(spark):
     cache = spark.createDataFrame([("km", "en", "ក", "ka", 0.4), ("en", "km", "ka", "ក", 0.9), ("km", "fr", "ក", "k", 1.0)], "source string, target string, text string, translated string, match double")
     rows = spark.createDataFrame([(1, " ក "), (2, "  "), (3, "ខ")], "id int, text string")
@@ -107,9 +121,9 @@ def test_schedule_clip_and_loss():
 
 
 def test_reports():
-    assert lm.TrainingReport([], [], [(10, 1.0), (20, 0.5), (30, 0.9)]).overfitting
-    assert not lm.TrainingReport([], [], [(10, 1.0), (20, 0.7), (30, 0.5)]).overfitting
-    assert math.isnan(lm.TrainingReport([], [], []).final_loss)
+    rows = lambda *held: [(1.0, 1.0, 0.1, h) for h in held]
+    assert lm.TrainingReport(rows(1.0, math.nan, 0.5, 0.9)).overfitting and not lm.TrainingReport(rows(1.0, 0.7, math.nan, 0.5)).overfitting
+    assert math.isnan(lm.TrainingReport().last("loss")) and not lm.TrainingReport().improved
 
 
 def test_stream_and_windows(spark):
@@ -134,7 +148,7 @@ def test_training_end_to_end(spark, tmp_path):
     assert len(ids) == len(tokenizer.encode("កម្ពុជា")) + 5
     model.generate(tokenizer.encode("ក"), 3, 0.8, top_k=3, top_p=0.9, repetition_penalty=1.2, rng=np.random.default_rng(0))
     tuned = training.tune_sampling(model, tokenizer, corpus, ["ក"], seeds=1, length=5)
-    assert tuned.count() == len(training.SETTINGS)
+    assert tuned.count() == len(training.CANDIDATES)
 
 
 def test_instructions(spark):
