@@ -10,7 +10,8 @@ from borei.functions import unicode as U
 from borei.functions.wikitext import COMMENT, LINK, NESTED, NO_PROSE, NOTE, PROSE, REDIRECT, clean_wikitext
 from borei.operators import dedup, embeddings, evaluate, grammar, lexicon, lm, split, tokenizers
 from borei.plans import analyzer, pipeline
-from borei.session import read_table, spread
+from borei.session import read_table, scratch, spread
+from borei.sources import io
 from borei.sources.io import keep_pages
 
 QUERIES: dict = {}
@@ -491,6 +492,56 @@ def grammar_features(spark, folder):
     return rows.groupBy("tense", "aspect", "is_question", "is_negated").agg(F.count(F.lit(1)).alias("sentences"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
+# --- sources: written to the shared folder and read again ---------------------------------------------------------------
+
+
+@query("select distinct id, text, source, license, coalesce(domain, 'general') as domain, coalesce(language, 'km') as language, quality, coalesce(cardinality(metadata), 0)::int as entries from corpus_document where quality is null or not isnan(quality)")
+def documents_json(spark, folder):
+    rows = read_table(spark, folder, "corpus_document", "id", "text", "source", "license", "domain", "language", "quality", "metadata").where("quality is null or not isnan(quality)")
+    io.write_documents(rows, path := scratch(spark, "documents"))
+    made = io.read_documents(spark, path)
+    return made.select("id", "text", "source", "license", "domain", "language", "quality", F.size("metadata").alias("entries")).distinct()
+
+
+def _full_sql(column: str) -> str:
+    """A column without white space at its ends."""
+    return f"regexp_replace({column}, {q(f'\\A[{C.WS}]+|[{C.WS}]+\\z')}, '', 'g')"
+
+
+def _with_comments(rows: DataFrame, *columns: str) -> DataFrame:
+    """JSON lines of some columns, between comments and blank lines."""
+    return rows.select(F.concat(F.lit("# a note\n\n"), F.to_json(F.struct(*columns)), F.lit("\n")).alias("value"))
+
+
+@query(f"select {_full_sql('category')} as category, input, expected, coalesce(note, '') as note from benchmark_case where {_full_sql('category')} <> '' and {_full_sql('expected')} <> ''")
+def cases_json(spark, folder):
+    rows = read_table(spark, folder, "benchmark_case", "category", "input", "expected", "note").where((U.trim_ws("category") != "") & (U.trim_ws("expected") != ""))
+    _with_comments(rows, "category", "input", "expected", "note").write.text(path := scratch(spark, "cases"))
+    return io.read_cases(spark, path)
+
+
+@query(f"select instruction, output, coalesce(input, '') as input from instruction_example where {_full_sql('instruction')} <> '' and {_full_sql('output')} <> ''")
+def instructions_json(spark, folder):
+    rows = read_table(spark, folder, "instruction_example", "instruction", "output", "input").where((U.trim_ws("instruction") != "") & (U.trim_ws("output") != ""))
+    _with_comments(rows, "instruction", "output", "input").write.text(path := scratch(spark, "instructions"))
+    return io.read_instructions(spark, path).select("instruction", "output", "input")
+
+
+@query("select word, coalesce(pos, 'unknown') as pos, coalesce(count, 0) as count from lexicon")
+def lexicon_json(spark, folder):
+    io.write_lexicon(read_table(spark, folder, "lexicon", "word", "pos", "count"), path := scratch(spark, "lexicon"))
+    return io.read_lexicon(spark, path)
+
+
+@query(f"select {_full_sql('title')} as title, length(text)::int as letters from wiki_page where {_full_sql('ns')} = '0' and {_full_sql('title')} <> '' and coalesce(text, '') <> '' and not regexp_matches(text, {q(REDIRECT)})")
+def dump_pages(spark, folder):
+    """The pages as a dump in XML, read again as the corpus builder reads it."""
+    rows = read_table(spark, folder, "wiki_page", "title", "ns", "text")
+    pages = rows.select("title", "ns", F.struct(F.struct(F.col("text").alias("_VALUE")).alias("text")).alias("revision"))
+    pages.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").save(path := scratch(spark, "dump"))
+    return io.read_pages(spark, path).select("title", F.char_length("text").alias("letters"))
+
+
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,12 +55,27 @@ def on_texts(column: Column, *texts: str | None, spark: SparkSession | None = No
     return [r.x for r in sorted(rows.collect(), key=lambda r: r.i)]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: ``spark.checkpoint.dir``. Only where everything runs in one process, as in
+    tests, a private folder stands for one that isn't set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return os.path.join(tempfile.gettempdir(), f"borei-checkpoints-{os.getpid()}")
+
+
 def use_checkpoints(spark: SparkSession) -> None:
-    """Point checkpoint() at ``spark.checkpoint.dir``; a private folder only where none is set (tests)."""
+    """Point checkpoint() at the shared folder, unless the session has done so."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"borei-checkpoints-{os.getpid()}"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
