@@ -1,10 +1,11 @@
 """Exact and near duplicates, keeping the first of each group in the order of ``ord``.
 
 Near duplicates are found by MinHash signatures cut in bands. Keep-first over candidates is the lexicographically first
-maximal independent set of the similarity graph. It is built in rounds without ever listing the pairs of a bucket: a
-document that is the first undecided one in all its buckets is kept; every undecided document is compared with the
-newly kept leader of each of its buckets and dropped if it is similar. A round costs one comparison per document and
-band, however large a bucket is, and its state is cut with a reliable checkpoint.
+maximal independent set of the similarity graph. Documents that share no band with another are kept at once. The
+others are decided in rounds without ever listing the pairs of a bucket: each undecided document is compared with the
+first undecided one of each of its buckets; one that is first in all of them is kept, one that is similar to a kept one
+is dropped, and the rest go on to the next round. A round costs one comparison per document and band, however large a
+bucket is, and its state is cut with a reliable checkpoint. Rounds go on until nothing is undecided.
 """
 
 from __future__ import annotations
@@ -99,27 +100,30 @@ def exact_heads(df: DataFrame, ord: str = "ord", hash: str = "hash") -> DataFram
     return df.groupBy(hash).agg(F.min(ord).alias("head"), F.count(F.lit(1)).alias("copies"))
 
 
-def near_verdicts(heads: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, hashes: int = HASHES, max_rounds: int = 10_000) -> DataFrame:
+def near_verdicts(heads: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, hashes: int = HASHES) -> DataFrame:
     """``ord``, ``kept`` for each row of ``heads`` (ord, sig), by keep-first over band candidates."""
-    spark = heads.sparkSession
-    use_checkpoints(spark)
-    todo = heads.select("ord", "sig", band_keys(F.col("sig"), bands, hashes).alias("keys")).checkpoint()
-    done: DataFrame | None = None
-    for _ in range(max_rounds):
-        member = todo.select("ord", F.explode("keys").alias("key"))
-        leaders = member.groupBy("key").agg(F.min("ord").alias("lead"))
-        seats = member.join(leaders, "key")
-        first = seats.groupBy("ord").agg(F.min("lead").alias("least"), F.collect_set(F.when(F.col("lead") < F.col("ord"), F.col("lead"))).alias("rivals"))
-        kept = first.where("least = ord").select("ord").join(todo.select("ord", "sig"), "ord")
-        # A rival that isn't kept in this round leaves the document undecided.
-        pairs = first.where("size(rivals) > 0").select("ord", F.explode("rivals").alias("lead")).join(kept.select(F.col("ord").alias("lead"), F.col("sig").alias("lead_sig")), "lead")
-        close = pairs.join(todo.select("ord", "sig"), "ord").where(agreement(F.col("sig"), F.col("lead_sig")) >= threshold).select("ord").distinct()
-        decided = kept.select("ord", F.lit(True).alias("kept")).unionByName(close.select("ord", F.lit(False).alias("kept"))).checkpoint()
-        done = decided if done is None else done.unionByName(decided)
-        todo = todo.join(decided.select("ord"), "ord", "left_anti").checkpoint()
-        if todo.isEmpty():
-            break
-    return done if done is not None else heads.select("ord", F.lit(True).alias("kept"))
+    use_checkpoints(heads.sparkSession)
+    keyed = heads.select("ord", "sig", band_keys(F.col("sig"), bands, hashes).alias("keys"))
+    seats = keyed.select("ord", F.explode("keys").alias("key"))
+    shared = seats.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    contested = seats.join(shared, "key").groupBy("ord").agg(F.collect_list("key").alias("keys"))
+    todo = contested.join(keyed.select("ord", "sig"), "ord").checkpoint()
+    dropped: DataFrame | None = None
+    while not todo.isEmpty():
+        member = todo.select("ord", "sig", F.explode("keys").alias("key"))
+        leaders = member.groupBy("key").agg(F.min_by(F.struct("ord", "sig"), "ord").alias("lead"))
+        met = member.join(leaders, "key").select("ord", F.col("lead.ord").alias("lead"), (agreement(F.col("sig"), F.col("lead.sig")) >= threshold).alias("close"))
+        first = met.groupBy("ord").agg(F.min("lead").alias("least"), F.collect_set(F.when(F.col("close") & (F.col("lead") < F.col("ord")), F.col("lead"))).alias("near"))
+        state = first.select("ord", "near", (F.col("least") == F.col("ord")).alias("kept")).checkpoint()
+        kept = state.where("kept").select(F.col("ord").alias("lead"))
+        gone = state.select("ord", F.explode("near").alias("lead")).join(kept, "lead").select("ord").distinct()
+        decided = state.where("kept").select("ord").unionByName(gone)
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        todo = todo.join(decided, "ord", "left_anti").checkpoint()
+    verdicts = heads.select("ord")
+    if dropped is None:
+        return verdicts.select("ord", F.lit(True).alias("kept"))
+    return verdicts.join(dropped.withColumn("gone", F.lit(True)), "ord", "left").select("ord", F.col("gone").isNull().alias("kept"))
 
 
 def deduplicate(df: DataFrame, text: str = "text", ord: str = "ord", threshold: float = THRESHOLD, hashes: int = HASHES, shingle: int = SHINGLE, bands: int = BANDS, seed: int = 0, normalized: bool = False) -> DataFrame:
@@ -130,14 +134,17 @@ def deduplicate(df: DataFrame, text: str = "text", ord: str = "ord", threshold:
     ship(df.sparkSession)
     use_checkpoints(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    keys = df.select(F.col(ord).alias("_ord"), U.content_hash(body, normalized).alias("_hash")).checkpoint()  # texts are hashed once
+    keys = df.select(F.col(ord).alias("_ord"), U.content_hash(body, normalized).alias("_hash"), body.alias("_t"))
+    # Texts are read once, where they are: hashed and signed in one pass, and not joined before the verdicts are known.
+    if threshold < 1.0:
+        keys = with_signature(keys.select("_ord", "_hash", U.shingles("_t", shingle).alias("_in")), F.col("_in"), hashes, seed)
+    keys = keys.drop("_t", "_in").checkpoint()
     heads = exact_heads(keys, "_ord", "_hash").select("_hash", F.col("head").alias("_head"))
-    verdicts = keys.join(heads, "_hash").select("_ord", "_head")
+    verdicts = keys.select("_ord", "_hash").join(heads, "_hash").select("_ord", "_head")
     copy = F.when(F.col("_ord") != F.col("_head"), "exact")
     if threshold < 1.0:
-        firsts = verdicts.where("_ord = _head").select("_ord")
-        rows = df.select(F.col(ord).alias("_ord"), body.alias("_t")).join(firsts, "_ord").select(F.col("_ord").alias("ord"), "_t")
-        kept = near_verdicts(signatures(rows, "ord", U.shingles("_t", shingle), hashes, seed), threshold, bands, hashes)
+        firsts = keys.join(heads.select(F.col("_head").alias("_ord")), "_ord", "left_semi")
+        kept = near_verdicts(firsts.select(F.col("_ord").alias("ord"), "sig"), threshold, bands, hashes)
         verdicts = verdicts.join(kept.select(F.col("ord").alias("_head"), "kept"), "_head")
         copy = F.when(~F.col("kept"), "near").otherwise(copy)
     labels = verdicts.select("_ord", copy.alias("duplicate"))

@@ -533,7 +533,7 @@ def lexicon_json(spark, folder):
     return io.read_lexicon(spark, path)
 
 
-@query(f"select {_full_sql('title')} as title, length(text)::int as letters from wiki_page where {_full_sql('ns')} = '0' and {_full_sql('title')} <> '' and coalesce(text, '') <> '' and not regexp_matches(text, {q(REDIRECT)})")
+@query(f"select {_full_sql('title')} as title, length(text)::int as letters from wiki_page where {_full_sql('ns')} = '0' and {_full_sql('title')} <> '' and {_full_sql("coalesce(text, '')")} <> '' and not regexp_matches(text, {q(REDIRECT)})")
 def dump_pages(spark, folder):
     """The pages as a dump in XML, read again as the corpus builder reads it."""
     rows = read_table(spark, folder, "wiki_page", "title", "ns", "text")

@@ -46,10 +46,10 @@ def run_pipeline(df: DataFrame, key: str = "id", text: str = "text", license: st
     ship(df.sparkSession)
     rows = df.withColumn("_licensed", F.lit(True) if not require_license else U.trim_ws(F.coalesce(F.col(license), F.lit(""))) != "")
     rows = rows.withColumn(text, U.normalize(F.coalesce(F.col(text), F.lit(""))))
+    # Measured before duplicates are known, where the texts are: each once, in a projection of its own.
+    rows = rows.withColumns({"_ratio": U.script_ratio(text), "_clusters": F.size(U.graphemes(text)), "_score": U.quality_score(text)})
     unlicensed = rows.where("not _licensed").withColumn("drop_reason", F.lit("missing_license")).withColumn("quality", F.lit(None).cast("double"))
     left = deduplicate(rows.where("_licensed"), text, key, near_duplicate_threshold, normalized=False)
-    # Measured in a projection of their own, so that each is worked out once however often it is read below.
-    left = left.withColumns({"_ratio": U.script_ratio(text), "_clusters": F.size(U.graphemes(text)), "_score": U.quality_score(text)})
     reason = (
         F.when(F.col("duplicate") == "exact", "exact_duplicate")
         .when(F.col("duplicate") == "near", "near_duplicate")

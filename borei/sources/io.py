@@ -45,7 +45,7 @@ def write_documents(df: DataFrame, path: str, single: bool = False) -> None:
 
 def read_pages(spark: SparkSession, path: str, namespace: str = "0") -> DataFrame:
     """(title, text) of a MediaWiki dump, XML or XML.bz2: pages of the namespace with a title and a text that are no
-    redirects, in dump order (``ord``)."""
+    redirects, in dump order (``ord``). A text of white space only is read as none."""
     schema = "title string, ns string, revision struct<text:struct<_VALUE:string>>"
     pages = spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "false").schema(schema).load(path)
     rows = pages.select(F.monotonically_increasing_id().alias("ord"), U.trim_ws("title").alias("title"), U.trim_ws("ns").alias("ns"), F.col("revision.text._VALUE").alias("text"))
