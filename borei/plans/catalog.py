@@ -384,15 +384,20 @@ def grapheme_encoding(spark, folder):
     return rows.select("id", tokenizer.ids(F.col("text")).alias("ids"), F.round(tokenizer.unknown_rate(F.col("text")), 6).alias("unknown"))
 
 
+def _corpus_words(spark: SparkSession, folder: str) -> DataFrame:
+    """All words of all documents, as a corpus for tokenizers that learn pieces within words."""
+    return docs(spark, folder, "id", "text").select(F.explode(U.words("text")).alias("word"))
+
+
 @query()
 def bpe_tokens(spark, folder):
-    tokenizer = tokenizers.BPETokenizer().train(read_table(spark, folder, "lexicon", "word"), "word", vocab_size=200)
+    tokenizer = tokenizers.BPETokenizer().train(_corpus_words(spark, folder), "word", vocab_size=1500)
     return docs(spark, folder, "id", "text").select("id", F.size(tokenizer.pieces(F.col("text"))).alias("tokens"))
 
 
 @query()
 def unigram_tokens(spark, folder):
-    tokenizer = tokenizers.UnigramTokenizer().train(read_table(spark, folder, "lexicon", "word"), "word", vocab_size=150)
+    tokenizer = tokenizers.UnigramTokenizer().train(_corpus_words(spark, folder), "word", vocab_size=2000, seed_multiplier=3, em_iterations=1, max_rounds=6)
     return docs(spark, folder, "id", "text").select("id", F.size(tokenizer.pieces(F.col("text"))).alias("tokens"))
 
 
@@ -619,7 +624,7 @@ def skipgram_pairs(spark, folder):
 @query()
 def word_vectors(spark, folder):
     model = embeddings.Word2Vec(tokenizers.GraphemeTokenizer(), dim=16, min_count=2)
-    model.train(read_table(spark, folder, "lexicon", "word"), "word", "word", epochs=2)
+    model.train(docs(spark, folder, "id", "text"), "id", epochs=2)
     return model.table(spark)
 
 
