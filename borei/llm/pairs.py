@@ -122,23 +122,32 @@ class EndModel:
 
     @classmethod
     def count(cls, texts: list[str], occurs: np.ndarray, ends: np.ndarray) -> None:
-        for t in texts:
-            cps = fold_digits(codepoints([t.rstrip()])[0])
-            for n in END_ORDERS:
-                b = cls._bucket(cps, n)
-                if len(b):
-                    np.add.at(occurs, b, 1)
-                    ends[b[-1]] += 1
+        """Adds all n-grams of the texts, and those that end one."""
+        cps, starts = codepoints([t.rstrip() for t in texts])
+        cps, lengths = fold_digits(cps), np.diff(starts)
+        left = np.repeat(starts[1:], lengths) - np.arange(len(cps))  # code points up to the end of each one's text
+        for n in END_ORDERS:
+            b, own = cls._bucket(cps, n), left[: max(len(cps) - n + 1, 0)]
+            occurs += np.bincount(b[own >= n], minlength=len(occurs))
+            ends += np.bincount(b[own == n], minlength=len(ends))
+
+    @staticmethod
+    def _bucket_of(cps: list[int]) -> int:
+        """The bucket of one n-gram, as ``_bucket`` has it."""
+        h, mask = len(cps), (1 << 64) - 1
+        for c in cps:
+            h = (h * 0x100000001B3 + c) & mask
+        h ^= h >> 31
+        h = (h * 0x9E3779B97F4A7C15) & mask
+        return (h ^ (h >> 29)) >> (64 - END_BITS)
 
     def likelihood(self, text: str, weight: float = 50.0) -> tuple[float, float]:
         """Of ending here, by the last character, and by its last n-grams (each order smoothed by the one before)."""
-        cps = fold_digits(codepoints([text.rstrip()[-8:]])[0])
+        last = [32 if c == 10 else 48 if 48 <= c < 58 else c for c in map(ord, text.rstrip()[-max(END_ORDERS) :])]
         first = p = 0.0
-        for n in END_ORDERS:
-            b = self._bucket(cps, n)
-            if not len(b):
-                break
-            p = float((self.ends[b[-1]] + weight * p) / (self.occurs[b[-1]] + (weight if n > 1 else 1)))
+        for n in END_ORDERS[: len(last)]:
+            b = self._bucket_of(last[-n:])
+            p = float((self.ends[b] + weight * p) / (self.occurs[b] + (weight if n > 1 else 1)))
             first = p if n == 1 else first
         return first, p
 
