@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+
 from borei.llm import confusables, encode, folding, langid, leaks, markup, overlap, pairs, queries, sentences, spam
+from borei.llm._text import table_sums
 
 TIMES = "timestamp'2024-01-01 00:00:00'"
 
@@ -312,6 +314,37 @@ def test_scattered_edits_are_found(spark):
     assert set(got) == want and len(got) == len(want) and len(want) > 150
 
 
+def test_tables_are_joined_by_a_tree(spark):
+    """Sums, and behind them bits, over several levels of groups."""
+
+    def count(batches):
+        table = np.zeros(128, np.int64)
+        for batch in batches:
+            values = batch.column(0).to_numpy()
+            table[:64] += np.bincount(values % 64, minlength=64)
+            some = values[values < 700]
+            np.bitwise_or.at(table, 64 + some % 64, 1 << (some % 7))
+        return table
+
+    got = table_sums(spark.range(1000).repartition(9), count, 128, 32, fan=2, summed=64)
+    want = count(spark.range(1000).toArrow().to_batches())
+    assert got.tolist() == want.tolist() and got[:64].sum() == 1000
+    assert not table_sums(spark.range(0), count, 128, 32).any()
+
+
+def test_edited_texts_are_found_though_their_sentences_moved(spark):
+    """Edits of 1 to 3 % spread over six sentences in another order (the README has the recall beyond)."""
+    rng, rows = random.Random(2), []
+    words = ["".join(rng.choice("aeioulmnprstbkd") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    for k in range(90):
+        parts = [" ".join(rng.choice(words) for _ in range(9)) for _ in range(6)]
+        moved = rng.sample([edited(rng, p, round((1 + k % 3) / 100 * len(p.replace(" ", "")))) for p in parts], 6)
+        rows += [(10 * k, "train", ". ".join(parts) + "."), (10 * k + 1, "test", ". ".join(moved) + ".")]
+    got = {(r.eval_id, r.train_id) for r in overlap.cross_split_overlaps(spark.createDataFrame(rows, "rec_id bigint, split string, text string")).collect()}
+    want = {(10 * k + 1, 10 * k) for k in range(90) if overlap.difference(rows[2 * k][2], rows[2 * k + 1][2]) < overlap.DIFFER}
+    assert len(want) > 80 and got <= want and len(got) >= 0.95 * len(want)
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 
 PAGES = [
