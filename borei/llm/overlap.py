@@ -10,9 +10,9 @@ Texts are folded to letters and digits. Two kinds of hashes are partitioned and
   many of its segments, those that are rarest among evaluation texts (r up to REPEAT where so many fit); an evaluation
   text offers all its pieces of the sizes it may need.
 * **Grams** find texts whose sentences moved. Hashed 12-grams of letters (words can't be told apart in half of the
-  languages) are thinned by winnowing; of m kept ones each text offers the rarest m - ceil(m / 2) + 4, so that two texts
-  that share half of theirs meet in four. Edits that are scattered over a text whose sentences moved as well may leave
-  fewer; the README has the measured recall.
+  languages) are thinned by winnowing; of m kept ones each text offers the rarest m - ceil(SHARE * m) + 4, so that two
+  texts that share half of theirs meet in four. Edits that are scattered over a text whose sentences moved as
+  well may leave fewer; the README has the measured recall.
 
 What is rare, and what the other side doesn't have at all, is told by tables of fixed size over all records, joined by a
 tree of tasks; they decide only how much is sent and compared in vain. The records that meet are compared in full: the edit distance of the folded texts,
@@ -38,7 +38,7 @@ from borei.llm._text import grams, map_text, owners, slices, strings, table_sums
 from borei.llm.folding import fold
 from borei.session import ship, spread, use_checkpoints
 
-GRAM, WINDOW, SHARE = 12, 10, 0.5
+GRAM, WINDOW, SHARE = 12, 6, 0.5
 #: Offers in which two texts must meet, if they must share so many.
 MEET = 4
 #: Counters of the rarity table, half of them for each kind of hash: 2 MB whatever the data.
@@ -216,7 +216,7 @@ def offers(records: DataFrame, shared: Broadcast, train: bool, key: str = "_id",
 
 def meetings(evaluation: DataFrame, training: DataFrame, key: str = "_id") -> DataFrame:
     """``eval_rep``, ``train_rep`` of the records whose offers meet as they must. A segment or gram that must be met k
-    times counts 12 / k, so twelve are enough."""
+    times counts 60 / k, so sixty are enough."""
     e, t = evaluation.withColumnRenamed(key, "eval_rep").alias("e"), training.withColumnRenamed(key, "train_rep").alias("t")
     place = lambda x: f"(shiftrightunsigned({x}.h, 48) + shiftleft(shiftright({x}.n, 32), 16))"
     letters = lambda x: f"({x}.n & 4294967295)"
@@ -224,8 +224,8 @@ def meetings(evaluation: DataFrame, training: DataFrame, key: str = "_id") -> Da
     shift, edits = f"({place('e')} - {place('t')})", f"((greatest({letters('e')}, {letters('t')}) - 1) div 10)"
     moved = f"abs({shift}) < {ordinal} and abs({letters('e')} - {letters('t')} - {shift}) <= {edits} + {need.format('t')} - {ordinal}"
     met = e.join(t, F.expr(f"(e.h & {_HASH}) = (t.h & {_HASH}) and (e.m & {_GRAM}) = (t.m & {_GRAM}) and ({gram} or ({moved}))"))
-    weight = F.expr(f"cast(12 div greatest({need.format('e')}, {need.format('t')}) as int)")
-    return met.select("eval_rep", "train_rep", weight.alias("w")).groupBy("eval_rep", "train_rep").agg(F.sum("w").alias("w")).where("w >= 12").select("eval_rep", "train_rep")
+    weight = F.expr(f"cast(60 div greatest({need.format('e')}, {need.format('t')}) as int)")
+    return met.select("eval_rep", "train_rep", weight.alias("w")).groupBy("eval_rep", "train_rep").agg(F.sum("w").alias("w")).where("w >= 60").select("eval_rep", "train_rep")
 
 
 def sieved(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -394,6 +394,7 @@ def cross_split_overlaps(records: DataFrame, key: str = "rec_id", split: str = "
     held, train = rows.where(F.col("side") == EVALUATION), rows.where(F.col("side") == TRAINING)
     use_checkpoints(records.sparkSession)
     met = meetings(offers(held, shared, False, share=share), offers(train, shared, True, share=share)).checkpoint()  # read twice
+    shared.unpersist()  # what was checkpointed isn't worked out again
     asked = sieved(rows, met.select(F.explode(F.array(F.xxhash64("eval_rep"), F.xxhash64("train_rep"))).alias("k")))
     of = lambda kind, name: asked.where(F.col("side") == kind).select(F.col("_id").alias(f"{name}_rep"), F.col("_text").alias(f"{name}_text"))
     pairs = met.join(of(EVALUATION, "eval"), "eval_rep").join(of(TRAINING, "train"), "train_rep")
