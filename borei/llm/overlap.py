@@ -3,12 +3,13 @@
 Texts are folded to letters and digits. Two kinds of hashes are partitioned and joined, evaluation against training:
 
 * **Segments** find every pair whose edit distance is below a tenth. Of a training text of n letters fewer than n / 9 are
-  touched, so of any ceil(n / 9) - 1 + r disjoint segments r are whole in the evaluation text. Read from the left, there
-  are r whole ones for which the edits before the one of ordinal i are fewer than i, and those after it at most what is
-  left plus r - i: the j-th is the first i up to whose end there are at most i - j edits, so it holds none, and i - j stand
-  before it. Both bound how far it has moved; nearly all chance matches are off by more. A training text offers as
-  many of its segments, those that are rarest among evaluation texts (r up to REPEAT where so many fit); an evaluation
-  text offers all its pieces of the sizes it may need.
+  touched, so of any ceil(n / 9) - 1 + r disjoint segments r are whole in the evaluation text. For j from 1 to r, take
+  the last i up to the end of whose segment (or for 0, the start) there are more than i - j edits: the next segment holds
+  none, fewer stand before it than its ordinal, at most what is left plus r minus its ordinal after it, and through the end of
+  the segment after it there is one at most. The first two bound how far it has moved, the third the letters that follow:
+  nearly all chance matches fail one of these. A training text offers as many of its pieces (r up to REPEAT where so
+  many fit), those that are rarest among evaluation texts and disjoint, so that phrases of many texts are passed over; an
+  evaluation text offers all its pieces of the sizes it may need.
 * **Grams** find texts whose sentences moved. Hashed 12-grams of letters (words can't be told apart in half of the
   languages) are thinned by winnowing; of m kept ones each text offers the rarest m - ceil(SHARE * m) + 4, so that two
   texts that share half of theirs meet in four. Edits that are scattered over a text whose sentences moved as
@@ -49,6 +50,8 @@ DIFFER = 0.1
 SEGMENT = 7
 #: Whole segments that two texts must share, where the training text has so many more than edits.
 REPEAT = 3
+#: Letters of a block, at least, among whose pieces the segments are chosen; blocks that are chosen from side by side.
+BLOCK, ASIDE = 128, 512
 EVALUATION, TRAINING = 1, 2
 _APART = np.uint64(1 << 47)  # no gram has the hash of a segment
 #: Bits of a sieve, which tells what the other side doesn't have: 16 MB whatever the data.
@@ -98,7 +101,8 @@ def _cell(values: np.ndarray, kind: int, bits: int) -> np.ndarray:
 
 
 def _pieces(cps: np.ndarray, starts: np.ndarray, train: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Hashes of segments (training) or of all pieces that may be one (evaluation), where they are, and their size."""
+    """Hashes of all pieces that may be segments of the text itself (training) or of texts near it (evaluation), where
+    they are, and their size."""
     lengths = np.diff(starts)
     owner = owners(starts)
     at = np.arange(len(cps)) - starts[owner]
@@ -106,8 +110,6 @@ def _pieces(cps: np.ndarray, starts: np.ndarray, train: bool) -> Iterator[tuple[
     for size in sorted(set().union(*own) - {0}):
         has = np.array([size in s for s in own])
         keep = has[owner] & (at + size <= lengths[owner])
-        if train:
-            keep &= at % size == 0
         where = np.flatnonzero(keep)
         if len(where):
             yield grams(cps, size)[where] ^ np.uint64(size << 40), where, size
@@ -125,57 +127,127 @@ def _has(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
 @dataclass
 class Known:
     """What is known of all records beforehand, in tables of fixed size: by cell, the logarithm of how often its hashes
-    occur (12-grams of all, pieces of the evaluation texts), and a sieve of the hashes of each side."""
+    occur (12-grams of all, pieces of the evaluation texts), and a sieve of the hashes of each side (of the pieces of
+    training texts, those that are offered)."""
 
     often: np.ndarray
     evaluation: np.ndarray
-    training: np.ndarray
+    training: np.ndarray | None = None
+
+
+def _logs(total: np.ndarray) -> np.ndarray:
+    return np.round(8 * np.log2(1.0 + total)).astype(np.uint8)  # up to 2^31 occurrences
+
+
+def chosen(cost: np.ndarray, text: np.ndarray, lengths: np.ndarray, size: int, count: np.ndarray) -> np.ndarray:
+    """Of all pieces of ``size`` letters (by text and place) ``count`` disjoint ones of each text, the least in sum of
+    ``cost`` if each block of a text has its share of them; which rows they are."""
+    own = np.flatnonzero(np.bincount(text, minlength=len(lengths)))
+    first, n, need = np.searchsorted(text, own), lengths[own], count[own]
+    blocks = np.maximum(n // BLOCK, 1)
+    o, j = np.repeat(np.arange(len(own)), blocks), np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    share = lambda x, j: x[o] * j // blocks[o]
+    row, letters, want = first[o] + share(n, j), share(n, j + 1) - share(n, j), share(need, j + 1) - share(need, j)
+    out, order = [], np.argsort(letters, kind="stable")
+    for k in range(0, len(order), ASIDE):
+        part = order[k : k + ASIDE]
+        at, left, b = row[part], want[part], np.arange(len(part))
+        width, most = int(letters[part].max()), int(left.max())
+        place = np.arange(width - size + 1)[:, None]
+        price = np.where(place <= letters[part] - size, cost[np.minimum(at + place, len(cost) - 1)], np.inf).astype(np.float32)
+        least = np.full((width + 1, most + 1, len(part)), np.inf, np.float32)  # of so many pieces up to a letter
+        least[:, 0] = 0
+        for p in range(size, width + 1):
+            np.add(least[p - size, :-1], price[p - size], out=least[p, 1:])
+            np.minimum(least[p, 1:], least[p - 1, 1:], out=least[p, 1:])
+        free = np.full(len(part), width)
+        for p in range(width, size - 1, -1):
+            ends = np.flatnonzero((free >= p) & (least[p, left, b] < least[p - 1, left, b]))
+            out.append(at[ends] + p - size)
+            free[ends] = p - size
+            left[ends] -= 1
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def _segments(values: np.ndarray, text: np.ndarray, lengths: np.ndarray, size: int, shared: Known, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the pieces of training texts that are offered, and how many of each text's must be whole."""
+    edits = -(-lengths // 9) - 1
+    whole = np.minimum(lengths // size - edits, REPEAT)
+    cost = np.where(_has(shared.evaluation, values), np.exp2(np.arange(256, dtype=np.float32) / 8)[shared.often[_cell(values, 0, bits)]], 0)
+    return chosen(cost, text, lengths, size, edits + whole), whole
 
 
 def known(records: DataFrame, bits: int = BITS, chunk: int = 1 << 15) -> Known:
-    """Counts and sieves over all ``records`` (side, _text)."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        table, sieves = np.zeros(1 << bits, np.int64), {side: np.zeros(1 << SIEVE, bool) for side in (EVALUATION, TRAINING)}
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                whole, starts = fold(strings(part, "_text"), marks=False)
-                sides, owner = np.array(strings(part, "side")), owners(starts)
-                for side, sieve in sieves.items():
-                    own = sides == side
-                    if not own.any():
-                        continue
-                    cps, begins = whole[own[owner]], np.concatenate([[0], np.cumsum(np.diff(starts)[own])])
-                    values = winnow(cps, begins)[0] ^ _APART
+    """Counts and sieves over all ``records`` (side, _text): of the evaluation side, then of the training side, whose
+    segments are chosen by what the evaluation side has."""
+
+    def counted(side: int, shared: Broadcast | None = None) -> tuple[np.ndarray, np.ndarray]:
+        def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            table, sieve = np.zeros(1 << bits, np.int64), np.zeros(1 << SIEVE, bool)
+            for batch in batches:
+                for part in slices(batch, "_text"):
+                    cps, starts = fold(strings(part, "_text"), marks=False)
+                    values = winnow(cps, starts)[0] ^ _APART
                     table += np.bincount(_cell(values, 1, bits), minlength=len(table))
                     sieve[_bit(values)] = True
-                    for values, _, _ in _pieces(cps, begins, side == TRAINING):
-                        sieve[_bit(values)] = True
+                    lengths, owner = np.diff(starts), owners(starts)
+                    for values, where, size in _pieces(cps, starts, side == TRAINING):
                         if side == EVALUATION:
                             table += np.bincount(_cell(values, 0, bits), minlength=len(table))
-        return np.concatenate([table, *(np.packbits(x, bitorder="little").view(np.int64) for x in sieves.values())])
+                        else:
+                            values = values[_segments(values, owner[where], lengths, size, shared.value, bits)[0]]
+                        sieve[_bit(values)] = True
+            return np.concatenate([table, np.packbits(sieve, bitorder="little").view(np.int64)])
+
+        rows = spread(records.where(F.col("side") == side).select("_text"))
+        total, sieve = np.split(table_sums(rows, count, (1 << bits) + (1 << (SIEVE - 6)), chunk, summed=1 << bits), [1 << bits])
+        return total, sieve.view(np.uint8)
 
-    words = 1 << (SIEVE - 6)
-    found = table_sums(spread(records.select("side", "_text")), count, (1 << bits) + 2 * words, chunk, summed=1 << bits)
-    total, evaluation, training = np.split(found, [1 << bits, (1 << bits) + words])
-    return Known(np.round(8 * np.log2(1.0 + total)).astype(np.uint8), evaluation.view(np.uint8), training.view(np.uint8))  # up to 2^31 occurrences
+    total, evaluation = counted(EVALUATION)
+    shared = records.sparkSession.sparkContext.broadcast(Known(_logs(total), evaluation))
+    more, training = counted(TRAINING, shared)
+    shared.unpersist()
+    # Pieces have the counts by which segments were chosen, so that they are chosen again.
+    return Known(_logs(total + more), evaluation, training)
 
 
 _HASH, _GRAM = (1 << 48) - 1, 1 << 32  # bits of a hash; what tells grams from segments
 
 
+def following(cps: np.ndarray, ends: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The eight letters from ``where`` on, before ``ends``, in four bits each: 1 to 15, and 0 behind the end."""
+    kind = ((cps * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(15) + np.uint32(1)
+    kind = np.concatenate([kind, np.zeros(8, np.uint32)])
+    out = np.zeros(len(where), np.int64)
+    for i in range(8):
+        out |= np.where(where + i < ends, kind[where + i], 0).astype(np.int64) << 4 * i
+    return out
+
+
+def goes_on(e: str, t: str) -> str:
+    """SQL: whether the letters that follow on both sides, where the upper half of ``t`` has bits, differ by one edit at
+    most. That may as well be where they differ first: behind it they must be the same, as they are or moved by one. (An
+    edit within the four bits of one letter may hide another one there.)"""
+    apart = f"(({e} ^ {t}) & shiftright({t}, 32))"
+    gone = f"((shiftright({t}, 4) ^ {e}) & shiftright({t}, 36))"
+    come = f"(({t} ^ shiftright({e}, 4)) & shiftright({t}, 32))"
+    return f"({apart} = 0 or least(shiftright({apart}, 4), {gone}, {come}) < ({apart} & -{apart}))"
+
+
 def offers(records: DataFrame, shared: Broadcast, train: bool, key: str = "_id", bits: int = BITS, share: float = SHARE) -> DataFrame:
     """What the texts of one side (``key``, cls, _text) offer, as far as the other side may have it, in few bytes: ``h``: 48
     bits of the hash, and the low 16 bits of its place; ``m``: a segment's ordinal, above it _GRAM and how many must meet
-    (from bit 33 on); ``n``: letters of the text, above them the rest of the place; ``key``."""
+    (from bit 33 on); ``n``: letters of the text, above them the rest of the place; ``x``: the letters behind a piece, of
+    training texts as many as a segment has, if there is a next one, and above them (from bit 32 on) which bits these are;
+    ``key``."""
     ship(records.sparkSession)
 
-    def made(part: pa.RecordBatch, rows: np.ndarray, values: np.ndarray, text: np.ndarray, at: np.ndarray, m: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    def made(part: pa.RecordBatch, rows: np.ndarray, values: np.ndarray, text: np.ndarray, at: np.ndarray, m: np.ndarray, x: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
         may = _has(shared.value.evaluation if train else shared.value.training, values)
-        values, text, at, m = values[may], text[may], at[may], m[may]
+        values, text, at, m, x = values[may], text[may], at[may], m[may], x[may]
         h = (values & np.uint64(_HASH)) | (at.astype(np.uint64) << np.uint64(48))
-        whole = [pa.array(h.view(np.int64), pa.int64()), pa.array(m, pa.int64()), pa.array(lengths[text] + ((at >> 16) << 32), pa.int64()), take(part, key, rows[text])]
-        return pa.RecordBatch.from_arrays(whole, ["h", "m", "n", key])
+        whole = [pa.array(h.view(np.int64), pa.int64()), pa.array(m, pa.int64()), pa.array(lengths[text] + ((at >> 16) << 32), pa.int64()), pa.array(x), take(part, key, rows[text])]
+        return pa.RecordBatch.from_arrays(whole, ["h", "m", "n", "x", key])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -188,16 +260,17 @@ def offers(records: DataFrame, shared: Broadcast, train: bool, key: str = "_id",
                 cps, starts = fold([texts[i] for i in rows], marks=False)
                 lengths, owner = np.diff(starts), owners(starts)
                 for values, where, size in _pieces(cps, starts, train):
-                    text, at, m = owner[where], where - starts[owner[where]], np.zeros(len(where), np.int64)
+                    text, m = owner[where], np.zeros(len(where), np.int64)
                     if train:
-                        order = np.lexsort((at, shared.value.often[_cell(values, 0, bits)], text))
-                        rank = np.arange(len(text)) - np.searchsorted(text, text)
-                        edits = -(-lengths // 9) - 1
-                        whole = np.minimum(lengths // size - edits, REPEAT)
-                        kept = np.sort(order[rank < (edits + whole)[text]])  # rows are by text, so ranks are as well
-                        values, text, at = values[kept], text[kept], at[kept]
+                        kept, whole = _segments(values, text, lengths, size, shared.value, bits)
+                        values, text, where = values[kept], text[kept], where[kept]
                         m = np.arange(len(text)) - np.searchsorted(text, text) + 1 + (whole[text] << 33)
-                    yield made(part, rows, values, text, at, m, lengths)
+                    x = following(cps, starts[text + 1], where + size)
+                    if train:
+                        last = np.append(text[1:] != text[:-1], True)
+                        mask = (1 << 4 * min(size, SEGMENT)) - 1
+                        x = np.where(last, 0, x & mask | mask << 32)
+                    yield made(part, rows, values, text, where - starts[text], m, x, lengths)
                 values, text = winnow(cps, starts)
                 values ^= _APART
                 order = np.lexsort((values, shared.value.often[_cell(values, 1, bits)], text))
@@ -208,10 +281,10 @@ def offers(records: DataFrame, shared: Broadcast, train: bool, key: str = "_id",
                 need = np.minimum(least, MEET)
                 keep = rank < (m - least + need)[text]
                 values, text = values[keep], text[keep]
-                yield made(part, rows, values, text, np.zeros(len(text), np.int64), _GRAM + (need[text] << 33), lengths)
+                yield made(part, rows, values, text, np.zeros(len(text), np.int64), _GRAM + (need[text] << 33), np.zeros(len(text), np.int64), lengths)
 
     kind = records.schema[key].dataType.simpleString()
-    return spread(records.select(key, "cls", "_text")).mapInArrow(run, f"h bigint, m bigint, n bigint, `{key}` {kind}")
+    return spread(records.select(key, "cls", "_text")).mapInArrow(run, f"h bigint not null, m bigint not null, n bigint not null, x bigint not null, `{key}` {kind}")
 
 
 def meetings(evaluation: DataFrame, training: DataFrame, key: str = "_id") -> DataFrame:
@@ -223,7 +296,7 @@ def meetings(evaluation: DataFrame, training: DataFrame, key: str = "_id") -> Da
     gram, need, ordinal = f"(t.m & {_GRAM}) <> 0", "shiftright({}.m, 33)", "(t.m & 4294967295)"
     shift, edits = f"({place('e')} - {place('t')})", f"((greatest({letters('e')}, {letters('t')}) - 1) div 10)"
     moved = f"abs({shift}) < {ordinal} and abs({letters('e')} - {letters('t')} - {shift}) <= {edits} + {need.format('t')} - {ordinal}"
-    met = e.join(t, F.expr(f"(e.h & {_HASH}) = (t.h & {_HASH}) and (e.m & {_GRAM}) = (t.m & {_GRAM}) and ({gram} or ({moved}))"))
+    met = e.join(t, F.expr(f"(e.h & {_HASH}) = (t.h & {_HASH}) and (e.m & {_GRAM}) = (t.m & {_GRAM}) and ({gram} or ({moved}) and {goes_on('e.x', 't.x')})"))
     weight = F.expr(f"cast(60 div greatest({need.format('e')}, {need.format('t')}) as int)")
     return met.select("eval_rep", "train_rep", weight.alias("w")).groupBy("eval_rep", "train_rep").agg(F.sum("w").alias("w")).where("w >= 60").select("eval_rep", "train_rep")
 

@@ -314,6 +314,63 @@ def test_scattered_edits_are_found(spark):
     assert set(got) == want and len(got) == len(want) and len(want) > 150
 
 
+def test_texts_of_few_phrases_rarely_meet(spark):
+    """Texts that share their phrases and differ in names: what meets in vain grows with the square of the records."""
+    rng, rows = random.Random(4), []
+    name = lambda: "".join(rng.choice("kgstpnmrlvz") + rng.choice("aeiou") for _ in range(rng.randint(3, 5)))
+    phrases = ["nobody but {0} knows why {1} {2} the {3}", "the road to {0} passes a {2} of {1}", "according to {0} the {2} book is kept in {1}", "after the {2} {0} went back to {1} with a {3}", "{0} {3} everything in the {2} beside {1}", "in {1} the people and {0} have {3} the {2}"]
+    words = [name() + name() for _ in range(60)]
+    for k in range(1200):
+        rows.append((k, "test" if k % 4 == 0 else "train", ". ".join(rng.choice(phrases).format(name(), name(), rng.choice(words), rng.choice(words)) for _ in range(6))))
+    rows += [(2000 + k, "train", edited(rng, rows[4 * k][2], 9)) for k in range(60)]
+    records = spark.createDataFrame(rows, "_id bigint, split string, _text string").selectExpr("_id", "cast(if(split = 'train', 2, 1) as tinyint) as side", "_text", "unhex(md5(cast(_text as binary))) as cls").cache()
+    shared = spark.sparkContext.broadcast(overlap.known(records))
+    held, train = (overlap.offers(records.where(f"side = {side}"), shared, side == 2).cache() for side in (1, 2))
+    met = {(r.eval_rep, r.train_rep) for r in overlap.meetings(held, train).collect()}
+    assert {(4 * k, 2000 + k) for k in range(60)} <= met and len(met) < 700
+    often = [d.where(f"(m & {1 << 32}) = 0").groupBy(F.expr(f"h & {(1 << 48) - 1}").alias("h")).count() for d in (held, train)]
+    assert often[0].join(often[1].toDF("h", "n"), "h").agg(F.sum(F.col("count") * F.col("n")).alias("n")).first().n < 550_000
+
+
+def test_the_cheapest_disjoint_segments_are_chosen():
+    def least(cost, size, count):
+        sums = [[0.0] + [np.inf] * count for _ in range(len(cost) + size)]
+        for p in range(size, len(sums)):
+            for j in range(1, count + 1):
+                sums[p][j] = min(sums[p - 1][j], sums[p - size][j - 1] + cost[p - size])
+        return sums[-1][count]
+
+    rng = np.random.default_rng(1)
+    lengths = np.array([0, 63, 70, 5, 100, 127, 200, 255, 256, 300, 700, 3000])
+    text = np.concatenate([np.full(n - 6 if n >= 63 else 0, t) for t, n in enumerate(lengths)])
+    cost, edits = rng.integers(0, 50, len(text)).astype(float), -(-lengths // 9) - 1
+    count = edits + np.minimum(lengths // 7 - edits, overlap.REPEAT)
+    rows = overlap.chosen(cost, text, lengths, 7, count)
+    for t in np.unique(text):
+        own = rows[text[rows] == t]
+        assert len(own) == count[t] and (np.diff(own) >= 7).all()
+        if lengths[t] < 2 * overlap.BLOCK:
+            assert cost[own].sum() == least(cost[text == t], 7, count[t])
+
+
+def test_letters_that_follow_may_have_one_edit(spark):
+    """No pair with one edit at most is lost, and few others are kept."""
+    rng, rows = random.Random(1), []
+    for _ in range(3000):
+        size, letters = rng.choice([5, 6, 7]), rng.choice(["ab", "abcdefgh"])
+        t = "".join(rng.choice(letters) for _ in range(size))
+        e = list(t + "".join(rng.choice(letters) for _ in range(3)))
+        for _ in range(rng.randrange(4)):
+            k, kind = rng.randrange(len(e)), rng.randrange(3)
+            e[k : k + 1] = [] if kind == 0 else [rng.choice(letters)] if kind == 1 else [rng.choice(letters), e[k]]
+        e = "".join(e)[: rng.choice([5, 8])]
+        of = lambda x: int(overlap.following(np.array([ord(c) for c in x], np.uint32), np.array([len(x)]), np.array([0]))[0])
+        rows.append((of(e), of(t) | ((1 << 4 * size) - 1) << 32, any(overlap.edit_distance(t, e[:n]) <= 1 for n in (size - 1, size, size + 1))))
+    got = spark.createDataFrame(rows, "e bigint, t bigint, near boolean").selectExpr("near", f"{overlap.goes_on('e', 't')} as kept", f"{overlap.goes_on('e', '0L')} as free").collect()
+    assert all(r.kept for r in got if r.near) and all(r.free for r in got)
+    assert sum(r.kept for r in got if not r.near) < 0.03 * sum(not r.near for r in got)
+
+
 def test_tables_are_joined_by_a_tree(spark):
     """Sums, and behind them bits, over several levels of groups."""
 
