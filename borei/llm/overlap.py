@@ -58,6 +58,15 @@ _APART = np.uint64(1 << 47)  # no gram has the hash of a segment
 SIEVE = 27
 
 
+def by_text(text: np.ndarray, keys: np.ndarray, stable: bool = False) -> np.ndarray:
+    """The order by text, then by key, with equal ones as they are if it must be ``stable``; small numbers are sorted by
+    their digits."""
+    order = np.argsort(keys, kind="stable" if stable else None)
+    if len(text):
+        text = text.astype(np.min_scalar_type(int(text.max())))
+    return order[np.argsort(text[order], kind="stable")]
+
+
 def winnow(cps: np.ndarray, starts: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the kept n-grams of all texts, and the text of each; each hash once per text. A text shorter than an
     n-gram has none (its segments are all of it)."""
@@ -70,11 +79,11 @@ def winnow(cps: np.ndarray, starts: np.ndarray, gram: int = GRAM, window: int =
             np.minimum(least, h[k : k + len(least)], out=least)
         for k in range(window):
             keep[k : k + len(least)] |= h[k : k + len(least)] == least
-    text = np.searchsorted(starts, np.arange(len(h)), side="right") - 1
+    text = owners(starts)[: len(h)]
     keep |= (lengths < gram + window - 1)[text]  # too short for a window: all n-grams
     keep &= np.arange(len(h)) + gram <= starts[text + 1]
     values, text = h[keep], text[keep]
-    order = np.lexsort((values, text))
+    order = by_text(text, values)
     values, text = values[order], text[order]
     first = np.ones(len(values), bool)
     first[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
@@ -158,8 +167,9 @@ def chosen(cost: np.ndarray, text: np.ndarray, lengths: np.ndarray, size: int, c
         least = np.full((width + 1, most + 1, len(part)), np.inf, np.float32)  # of so many pieces up to a letter
         least[:, 0] = 0
         for p in range(size, width + 1):
-            np.add(least[p - size, :-1], price[p - size], out=least[p, 1:])
-            np.minimum(least[p, 1:], least[p - 1, 1:], out=least[p, 1:])
+            fit = min(p // size, most)
+            np.add(least[p - size, :fit], price[p - size], out=least[p, 1 : fit + 1])
+            np.minimum(least[p, 1 : fit + 1], least[p - 1, 1 : fit + 1], out=least[p, 1 : fit + 1])
         free = np.full(len(part), width)
         for p in range(width, size - 1, -1):
             ends = np.flatnonzero((free >= p) & (least[p, left, b] < least[p - 1, left, b]))
@@ -273,7 +283,7 @@ def offers(records: DataFrame, shared: Broadcast, train: bool, key: str = "_id",
                     yield made(part, rows, values, text, where - starts[text], m, x, lengths)
                 values, text = winnow(cps, starts)
                 values ^= _APART
-                order = np.lexsort((values, shared.value.often[_cell(values, 1, bits)], text))
+                order = by_text(text, shared.value.often[_cell(values, 1, bits)], stable=True)  # by hash already
                 values, text = values[order], text[order]
                 m = np.bincount(text, minlength=len(rows))
                 rank = np.arange(len(text)) - np.repeat(np.cumsum(m) - m, m)

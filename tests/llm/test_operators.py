@@ -353,6 +353,19 @@ def test_the_cheapest_disjoint_segments_are_chosen():
             assert cost[own].sum() == least(cost[text == t], 7, count[t])
 
 
+def test_grams_are_ordered_by_digits():
+    """The order by digits is that of a full sort, for few and for many texts; a text keeps each hash once."""
+    rng = np.random.default_rng(2)
+    for many in (1, 200, 70_000):
+        text, keys = rng.integers(0, many, 5000), rng.integers(0, 200, 5000).astype(np.uint8)
+        assert (overlap.by_text(text, keys, stable=True) == np.lexsort((keys, text))).all()
+    assert len(overlap.by_text(np.zeros(0, np.int64), np.zeros(0, np.uint64))) == 0
+    cps, starts = folding.fold(["", "abc", "abcabcabcabcabcabcabcabc", None, "the old market of the people", ""], marks=False)
+    values, text = overlap.winnow(cps, starts)
+    assert set(text.tolist()) == {2, 4} and len(set(zip(text.tolist(), values.tolist(), strict=True))) == len(values)
+    assert (np.lexsort((values, text)) == np.arange(len(values))).all() and (text == 2).sum() <= 3
+
+
 def test_letters_that_follow_may_have_one_edit(spark):
     """No pair with one edit at most is lost, and few others are kept."""
     rng, rows = random.Random(1), []
