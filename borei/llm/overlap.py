@@ -143,6 +143,14 @@ class Known:
     evaluation: np.ndarray
     training: np.ndarray | None = None
 
+    def __getstate__(self) -> dict:
+        """Compressed, as each executor keeps what is broadcast to Python on its disk."""
+        return {k: v if v is None else (len(v), pa.compress(v.tobytes(), "zstd", asbytes=True)) for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        for k, v in state.items():
+            setattr(self, k, v if v is None else np.frombuffer(pa.decompress(v[1], v[0], "zstd", asbytes=True), np.uint8))
+
 
 def _logs(total: np.ndarray) -> np.ndarray:
     return np.round(8 * np.log2(1.0 + total)).astype(np.uint8)  # up to 2^31 occurrences
@@ -216,7 +224,7 @@ def known(records: DataFrame, bits: int = BITS, chunk: int = 1 << 15) -> Known:
     total, evaluation = counted(EVALUATION)
     shared = records.sparkSession.sparkContext.broadcast(Known(_logs(total), evaluation))
     more, training = counted(TRAINING, shared)
-    shared.unpersist()
+    shared.destroy()
     # Pieces have the counts by which segments were chosen, so that they are chosen again.
     return Known(_logs(total + more), evaluation, training)
 

@@ -1,5 +1,6 @@
 """The nine operators against brute force, round trips and held-out accuracy, and on odd tables."""
 
+import pickle
 import random
 import time
 import unicodedata
@@ -366,6 +367,13 @@ def test_grams_are_ordered_by_digits():
     assert (np.lexsort((values, text)) == np.arange(len(values))).all() and (text == 2).sum() <= 3
 
 
+def test_what_is_known_is_sent_compressed():
+    known = overlap.Known(np.arange(256, dtype=np.uint8), np.zeros(1 << 20, np.uint8))
+    sent = pickle.dumps(known)
+    got = pickle.loads(sent)
+    assert len(sent) < 5000 and (got.often == known.often).all() and (got.evaluation == known.evaluation).all() and got.training is None
+
+
 def test_letters_that_follow_may_have_one_edit(spark):
     """No pair with one edit at most is lost, and few others are kept."""
     rng, rows = random.Random(1), []
