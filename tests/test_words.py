@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 from itertools import pairwise
 
 import pytest
@@ -59,6 +61,37 @@ def test_merges_equal_recounting(spark):
     assert t.merges == want
 
 
+def test_merges_in_stages(spark, monkeypatch):
+    """The same merges when the driver may hold few pairs and symbols, so that it must come back for more."""
+    texts = ["កម្ពុជាកម្ពុជា", "កម្ពុ", "ជាកម្ពុជា", "aaab", "aab", "aaaaaaa", "baaaab", "cabcab", "cab", ""]
+    whole = T.BPETokenizer().train(corpus(spark, *texts), vocab_size=19)
+    stages, learn = [], T.BPETokenizer.learn
+    monkeypatch.setattr(T.BPETokenizer, "learn", lambda self, *rest: stages.append(len(self.merges)) or learn(self, *rest))
+    monkeypatch.setattr(T, "PAIRS", 3)
+    monkeypatch.setattr(T, "SYMBOLS", 8)
+    t = T.BPETokenizer().train(corpus(spark, *texts), vocab_size=19)
+    assert len(stages) > 2 and t.merges == whole.merges and len(t.merges) == 6 and t.vocab.tokens == whole.vocab.tokens
+
+
+def test_merges_leave_texts_on_the_executors(spark, monkeypatch):
+    """Of 8,000 distinct texts the driver gets symbols, the most frequent pairs and runs of these."""
+    rng, got = random.Random(1), []
+    letters = [chr(0x4E00 + i) for i in range(80)]
+    weights = [1 / (i + 1) for i in range(80)]
+    texts = list(dict.fromkeys("".join(rng.choices(letters, weights, k=7)) for _ in range(8200)))[:8000]
+    rows = corpus(spark, *texts)
+    for name in ("collect", "toLocalIterator"):
+        real = getattr(type(rows), name)
+        monkeypatch.setattr(type(rows), name, lambda self, *a, real=real, **k: got.extend(out := list(real(self, *a, **k))) or out)
+    t = T.BPETokenizer().train(rows, vocab_size=92)
+    seqs, want = [list(x) for x in texts], []
+    while len(want) < 8:
+        counts = Counter(p for s in seqs for p in pairwise(s))
+        want.append(max(counts, key=lambda p: (counts[p], p)))
+        seqs = [T.merged(s, want[-1]) for s in seqs]
+    assert t.merges == want and len(got) < len(texts) / 2
+
+
 def test_unigram(spark):
     t = T.UnigramTokenizer().train(corpus(spark, *T.SAMPLE), vocab_size=90)
     assert len(t.logprobs) <= 100 and all("".join(t.pieces_of(s)) == s for s in T.SAMPLE)
